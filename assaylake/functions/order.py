@@ -34,21 +34,25 @@ def value_steps(
     value: str,
     sums: Mapping[str, Column] | None = None,
     bucket: Column | None = None,
+    *,
+    ties: Sequence[str] = (),
+    weight: Column | None = None,
 ) -> DataFrame:
     """One row per (keys, distinct value), in order of value, with running counts and sums.
 
     Columns: keys, value, ``n`` (rows with the value), ``n_before`` (rows below it), ``n_total``
     (rows of the group), and for each name in ``sums``: the sum at the value, ``<name>_before``
-    and ``<name>_total``. NULL and NaN values take no part.
+    and ``<name>_total``. NULL and NaN values take no part. ``ties`` are further columns in the
+    order (then a step is a distinct combination); ``weight`` counts a row several times.
     """
-    keys = list(keys)
+    keys, order = list(keys), [value, *ties]
     sums = dict(sums or {})
     names = ["n", *sums]
     clean = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
     steps = (
         clean.withColumn(_BUCKET, magnitude_bucket(F.col(value)) if bucket is None else bucket)
-        .groupBy(*keys, _BUCKET, value)
-        .agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(k) for k, c in sums.items()])
+        .groupBy(*keys, _BUCKET, *order)
+        .agg((F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("n"), *[F.sum(c).alias(k) for k, c in sums.items()])
     )
     per_bucket = steps.groupBy(*keys, _BUCKET).agg(*[F.sum(k).alias(f"__b_{k}") for k in names])
     earlier = Window.partitionBy(*keys).orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
@@ -61,19 +65,19 @@ def value_steps(
     )
     inside = (
         Window.partitionBy(*keys, _BUCKET)
-        .orderBy(value)
+        .orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     local = steps.select(
         *keys,
         _BUCKET,
-        value,
+        *order,
         *names,
         *[F.coalesce(F.sum(k).over(inside), F.lit(0)).alias(f"__l_{k}") for k in names],
     )
     return local.join(offsets, [*keys, _BUCKET]).select(
         *keys,
-        value,
+        *order,
         *names,
         *[(F.col(f"__o_{k}") + F.col(f"__l_{k}")).alias(f"{k}_before") for k in names],
         *[f"{k}_total" for k in names],
@@ -99,9 +103,10 @@ def quantiles(
     value: str,
     probs: Mapping[str, float],
     count: str | None = None,
+    weight: Column | None = None,
 ) -> DataFrame:
     """Exact interpolated quantiles (type 7) per group, and the group's size as ``count``."""
-    steps = value_steps(df, keys, value)
+    steps = value_steps(df, keys, value, weight=weight)
     last = F.col("n_total") - 1
     index: dict[str, Column] = {}
     for name, p in probs.items():
@@ -118,8 +123,20 @@ def quantiles(
     return picked.select(*keys, *counted, *out)
 
 
-def median(df: DataFrame, keys: Sequence[str], value: str, name: str = "median", count: str | None = None) -> DataFrame:
-    return quantiles(df, keys, value, {name: 0.5}, count)
+def median(
+    df: DataFrame, keys: Sequence[str], value: str, name: str = "median", count: str | None = None, weight: Column | None = None
+) -> DataFrame:
+    return quantiles(df, keys, value, {name: 0.5}, count, weight)
+
+
+def auc(df: DataFrame, keys: Sequence[str], value: str, first: Column, name: str = "auc") -> DataFrame:
+    """P(a > b) + ½ P(a = b) of the rows where ``first`` holds (a) against the others (b)."""
+    steps = value_steps(df, keys, value, {"__a": F.when(first, 1).otherwise(0), "__b": F.when(first, 0).otherwise(1)})
+    wins = F.sum(F.col("__a") * (F.col("__b_before") + F.col("__b") / 2.0))
+    n_a, n_b = F.max("__a_total"), F.max("__b_total")
+    return steps.groupBy(*keys).agg(
+        F.when((n_a > 0) & (n_b > 0), wins / n_a / n_b).alias(name), n_a.alias(f"{name}_n1"), n_b.alias(f"{name}_n2")
+    )
 
 
 def with_average_rank(df: DataFrame, keys: Sequence[str], value: str, name: str = "rank") -> DataFrame:
@@ -156,16 +173,18 @@ def benjamini_hochberg(df: DataFrame, keys: Sequence[str], p: str = "p", name: s
     return df.join(adjusted, [*keys, p], "left")
 
 
-def quantile_bins(df: DataFrame, keys: Sequence[str], value: str, bins: Column, name: str = "bin") -> DataFrame:
-    """Adds the equal-count bin (from 0) of each value; ``bins`` is an expression of ``n_total``.
+def equal_bins(
+    df: DataFrame, keys: Sequence[str], value: str, bins: Column, ties: Sequence[str] = (), name: str = "bin"
+) -> DataFrame:
+    """Rows in ``bins`` groups of equal count by value, then ``ties``; ``bins`` may use ``n_total``.
 
-    A run of tied values goes whole to the bin its first row falls in, so that the assignment
-    does not depend on the order of rows.
+    One row per distinct (value, ties) and bin, with the number of rows as ``weight``; equal rows
+    on a border are divided between the bins they reach.
     """
-    steps = value_steps(df, keys, value).select(
-        *keys,
-        value,
-        "n_total",
-        F.floor((F.col("n_before") + 0.5) * bins / F.col("n_total")).cast("int").alias(name),
-    )
-    return df.join(steps, [*keys, value])
+    steps = value_steps(df, keys, value, ties=ties).withColumn("__bins", bins)
+    bin_of = lambda i: F.ceil((i + 1) * F.col("__bins") / F.col("n_total")) - 1
+    first, last = bin_of(F.col("n_before")), bin_of(F.col("n_before") + F.col("n") - 1)
+    spread = steps.withColumn(name, F.explode(F.sequence(first.cast("int"), last.cast("int"))))
+    start = F.greatest("n_before", F.floor(F.col(name) * F.col("n_total") / F.col("__bins")))
+    end = F.least(F.col("n_before") + F.col("n"), F.floor((F.col(name) + 1) * F.col("n_total") / F.col("__bins")))
+    return spread.select(*keys, value, *ties, "n_total", name, (end - start).alias("weight")).where("weight > 0")
