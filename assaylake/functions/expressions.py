@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The median of a chi-square with one degree of freedom, the normal 97.5% quantile,
@@ -65,3 +65,13 @@ def weighted_mean_parts(y: Column, v: Column) -> dict[str, Column]:
         "syy": F.sum(y * y),
         "v_any": F.max(v),
     }
+
+
+def settle(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns that later expressions and filters read instead of repeating their formulas.
+
+    A chain of ``withColumn`` is one expression to the optimizer, copied wherever a name is used;
+    columns out of a generator are not.
+    """
+    kept = [c for c in df.columns if c not in columns]
+    return df.select(*kept, F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))

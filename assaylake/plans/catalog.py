@@ -4,7 +4,7 @@ import importlib
 
 from assaylake.plans.registry import QUERIES
 
-MODULES = ["scoring", "quality"]
+MODULES = ["scoring", "quality", "tables"]
 
 for _module in MODULES:
     importlib.import_module(f"assaylake.plans.{_module}")

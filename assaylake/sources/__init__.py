@@ -1,0 +1 @@
+"""Reading tables, sheets, features and annotations; writing scores and reports."""
