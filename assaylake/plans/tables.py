@@ -121,7 +121,7 @@ def n13(t: Facts):
 @query(
     "n14_n_substitutions",
     "key:s n:i",
-    "SELECT DISTINCT key, CASE WHEN key IS NULL THEN -1 WHEN key = 'p.=' THEN 0 ELSE len(list_filter(string_split(replace(replace(replace(key, 'p.', ''), '[', ''), ']', ''), ';'), x -> NOT ends_with(x, '='))) END AS n FROM name_facts",
+    "SELECT DISTINCT key, CASE WHEN key IS NULL THEN -1 WHEN key = 'p.=' THEN 0 ELSE len(list_filter(string_split(replace(replace(replace(key, 'p.', ''), '[', ''), ']', ''), ';'), lambda x: NOT ends_with(x, '='))) END AS n FROM name_facts",
 )
 def n14(t: Facts):
     return nm.parse_variants(written(t)).select("key").distinct().withColumn("n", nm.n_substitutions(F.col("key")))
