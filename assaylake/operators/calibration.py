@@ -71,7 +71,7 @@ def classified_controls(records: DataFrame, min_stars: int = 1, kinds: Sequence[
     )
     if before is not None:
         reason = reason.when(F.col("evaluated").isNull(), "no date last evaluated").when(F.col("evaluated") >= f"{before}-01-01", "evaluated too late")
-    return rows.withColumn("reason", reason).drop("__main", "__c")
+    return rows.withColumn("reason", reason).withColumn("label", F.col("classification")).drop("__main", "__c")
 
 
 def side_from_words(label: Column) -> Column:

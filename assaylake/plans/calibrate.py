@@ -14,10 +14,10 @@ SHARED_SQL.update(
         "csteps": """SELECT set_id, u, p, b, sum(p) OVER w AS tp, sum(b) OVER w AS fp, n_p, n_b, lead(u) OVER w AS below FROM (SELECT set_id, -score AS u, count(*) FILTER (side = 'P') AS p, count(*) FILTER (side = 'B') AS b FROM controls GROUP BY ALL) JOIN control_totals USING (set_id)
             WINDOW w AS (PARTITION BY set_id ORDER BY u DESC)""",
         "croc": """SELECT *, tp / n_p AS sensitivity, (n_b - fp) / n_b AS specificity FROM (SELECT set_id, (u + below) / 2 AS threshold, tp, fp, n_p, n_b, false AS top FROM csteps UNION ALL SELECT set_id, NULL, 0, 0, n_p, n_b, true FROM control_totals)""",
-        "climits": """SELECT set_id, CASE WHEN a < n THEN (a + n) / 2 ELSE a END AS at, CASE WHEN a < n THEN (a + n) / 2 ELSE n END AS nt, a < n AS crossed FROM (
+        "climits": """SELECT set_id, CASE WHEN a < n THEN (a + n) / 2 ELSE a END AS ath, CASE WHEN a < n THEN (a + n) / 2 ELSE n END AS nth, a < n AS crossed FROM (
             SELECT set_id, arg_max(t, tp * 1000000 - fp) FILTER (fp <= floor(0.05 * n_b + 1e-9)) AS a, arg_max(t, -fp * 1000000 + tp) FILTER (n_p - tp <= floor(0.05 * n_p + 1e-9)) AS n FROM (
               SELECT *, CASE WHEN threshold IS NOT NULL THEN threshold WHEN top THEN 1e300 ELSE -1e300 END AS t FROM croc) GROUP BY ALL)""",
-        "limits_of": "SELECT set_id, CASE WHEN abs(at) < 1e299 THEN -at END AS abnormal, CASE WHEN abs(nt) < 1e299 THEN -nt END AS normal, crossed FROM climits",
+        "limits_of": "SELECT set_id, CASE WHEN abs(ath) < 1e299 THEN -ath END AS abnormal, CASE WHEN abs(nth) < 1e299 THEN -nth END AS normal, crossed FROM climits",
         "class_table": """SELECT set_id, class, p, b, sum(p) OVER (PARTITION BY set_id) AS n_p, sum(b) OVER (PARTITION BY set_id) AS n_b FROM (
             SELECT set_id, CASE WHEN score <= abnormal THEN 'abnormal-like' WHEN normal IS NOT NULL AND score > normal THEN 'WT-like' ELSE 'intermediate' END AS class, count(*) FILTER (side = 'P') AS p, count(*) FILTER (side = 'B') AS b FROM controls JOIN limits_of USING (set_id) GROUP BY ALL)""",
     }
