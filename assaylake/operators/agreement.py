@@ -105,15 +105,15 @@ def auc_delong(df: DataFrame, keys: Sequence[str], value: str, first: Column) ->
     A row's placement is the share of the other class below it (half of ties); the variance is
     that of the placements, so only running counts per distinct value are needed.
     """
-    steps = value_steps(df, keys, value, {"a": F.when(first, 1).otherwise(0), "b": F.when(first, 0).otherwise(1)})
-    pa = (F.col("b_before") + F.col("b") / 2.0) / F.col("b_total")
-    pb = (F.col("a_total") - F.col("a_before") - F.col("a") / 2.0) / F.col("a_total")
-    both = steps.where("a_total > 0 AND b_total > 0")
+    steps = value_steps(df, keys, value, {"in1": F.when(first, 1).otherwise(0), "in2": F.when(first, 0).otherwise(1)})
+    pa = (F.col("in2_before") + F.col("in2") / 2.0) / F.col("in2_total")
+    pb = (F.col("in1_total") - F.col("in1_before") - F.col("in1") / 2.0) / F.col("in1_total")
+    both = steps.where("in1_total > 0 AND in2_total > 0")
     s = both.groupBy(*keys).agg(
-        F.max("a_total").alias("n1"), F.max("b_total").alias("n2"), (F.sum(F.col("a") * pa) / F.max("a_total")).alias("auc")
+        F.max("in1_total").alias("n1"), F.max("in2_total").alias("n2"), (F.sum(F.col("in1") * pa) / F.max("in1_total")).alias("auc")
     )
     dev = both.join(s.select(*keys, "auc"), list(keys)).groupBy(*keys).agg(
-        F.sum(F.col("a") * (pa - F.col("auc")) * (pa - F.col("auc"))).alias("sa"), F.sum(F.col("b") * (pb - F.col("auc")) * (pb - F.col("auc"))).alias("sb")
+        F.sum(F.col("in1") * (pa - F.col("auc")) * (pa - F.col("auc"))).alias("sa"), F.sum(F.col("in2") * (pb - F.col("auc")) * (pb - F.col("auc"))).alias("sb")
     )
     out = s.join(dev, list(keys))
     n1, n2 = F.col("n1"), F.col("n2")
