@@ -383,14 +383,14 @@ def j8(t: Facts):
     return asm.control_rows(t.cond_score, controls)
 
 
-SHARED_SQL["second_scores"] = """SELECT 'D' || CAST(CAST(floor(c_custkey / 250) AS BIGINT) AS STRING) AS dataset_id, variant, kind, position, alt, avg(o_totalprice) / 100000 AS score, CASE WHEN count(*) > 1 THEN stddev_samp(o_totalprice) / 100000 / sqrt(count(*)) END AS se
+SHARED_SQL["second_scores"] = """SELECT 'D' || CAST(CAST(floor(c_custkey / 250) AS BIGINT) AS STRING) AS dataset_id, variant, kind, position, alt, avg(o_totalprice) / 98765.4321 AS score, CASE WHEN count(*) > 1 THEN stddev_samp(o_totalprice) / 98765.4321 / sqrt(count(*)) END AS se
     FROM orders JOIN customer ON o_custkey = c_custkey JOIN names ON names.v = o_custkey % 500 GROUP BY ALL"""
 
 
 def second_scores(t: Facts):
     joined = t.table("orders").join(t.table("customer").select("c_custkey"), F.col("o_custkey") == F.col("c_custkey"))
     sums = joined.groupBy(F.expr("concat('D', CAST(CAST(floor(c_custkey / 250) AS BIGINT) AS STRING))").alias("dataset_id"), F.expr("CAST(o_custkey % 500 AS INT)").alias("v")).agg(
-        (F.avg("o_totalprice") / 100000).alias("score"), F.when(F.count(F.lit(1)) > 1, F.stddev_samp("o_totalprice") / 100000 / F.sqrt(F.count(F.lit(1)))).alias("se")
+        (F.avg("o_totalprice") / 98765.4321).alias("score"), F.when(F.count(F.lit(1)) > 1, F.stddev_samp("o_totalprice") / 98765.4321 / F.sqrt(F.count(F.lit(1)))).alias("se")
     )
     return Facts.named(sums).drop("v", "ref")
 
@@ -436,7 +436,7 @@ def features(t: Facts):
 @query(
     "j11_match_controls",
     "dataset_id:s key:s found:s",
-    """SELECT l.dataset_id, l.variant AS key, CASE WHEN c.variant IS NULL THEN 'not in run' WHEN score IS NULL THEN 'not scored' ELSE 'scored' END AS found FROM second_scores l LEFT JOIN (SELECT dataset_id, variant, CASE WHEN k >= 3 THEN score END AS score FROM cond_score) c USING (dataset_id, variant)""",
+    """SELECT l.dataset_id, l.variant AS key, CASE WHEN c.variant IS NULL THEN 'not in run' WHEN c.score IS NULL THEN 'not scored' ELSE 'scored' END AS found FROM second_scores l LEFT JOIN (SELECT dataset_id, variant, CASE WHEN k >= 3 THEN score END AS score FROM cond_score) c USING (dataset_id, variant)""",
 )
 def j11(t: Facts):
     labels = second_scores(t).select("dataset_id", F.col("variant").alias("key"))
@@ -698,9 +698,9 @@ def s14_selection(t: Facts):
 
 @query(
     "s15_deposit_columns",
-    "dataset_id:s column:s n_values:i",
-    "SELECT dataset_id, 'score' AS column, count(score) AS n_values FROM cond_score GROUP BY ALL UNION ALL SELECT dataset_id, 'se', count(se) FROM cond_score GROUP BY ALL UNION ALL SELECT dataset_id, 'notes', 0 FROM cond_score GROUP BY ALL",
+    "dataset_id:s column_name:s n_values:i",
+    "SELECT dataset_id, 'score' AS column_name, count(score) AS n_values FROM cond_score GROUP BY ALL UNION ALL SELECT dataset_id, 'se', count(se) FROM cond_score GROUP BY ALL UNION ALL SELECT dataset_id, 'notes', 0 FROM cond_score GROUP BY ALL",
 )
 def s15(t: Facts):
     table = t.cond_score.selectExpr("dataset_id", "variant", "score", "se", "CAST(NULL AS STRING) AS notes")
-    return wr.deposit_table(table, "variant")[1]
+    return wr.deposit_table(table, "variant")[1].withColumnRenamed("column", "column_name")
