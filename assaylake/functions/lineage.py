@@ -27,3 +27,12 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{_shared_folder(spark)}/step-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, per_core: int = 2) -> DataFrame:
+    """The rows over at least a few partitions a core, for a scan of few files before heavy work per row.
+
+    A scan that already has that many partitions is left as it is.
+    """
+    wanted = df.sparkSession.sparkContext.defaultParallelism * per_core
+    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted)

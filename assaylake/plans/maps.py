@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from assaylake.functions import order
-from assaylake.functions.lineage import cut
+from assaylake.functions.lineage import cut, spread
 from assaylake.operators import conservation as cons
 from assaylake.operators import grid as gr
 from assaylake.operators import structure as st
@@ -174,7 +174,7 @@ SHARED_SQL.update(
 
 def msa(t: Facts):
     letters = F.upper(F.regexp_replace("text", "[^A-Za-z]", "-"))
-    rows = t.table("documents").select(F.col("lang").alias("aln_id"), F.col("doc_id").alias("seq_no"), F.posexplode(F.split(letters, "")).alias("i", "residue"))
+    rows = spread(t.table("documents").select("lang", "doc_id", "text")).select(F.col("lang").alias("aln_id"), F.col("doc_id").alias("seq_no"), F.posexplode(F.split(letters, "")).alias("i", "residue"))
     return rows.where(F.instr(F.lit(_LETTERS), F.col("residue")) > 0).where("residue <> ''").select("aln_id", "seq_no", (F.col("i") + 1).alias("col"), "residue")
 
 

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from assaylake.functions.expressions import settle
 from assaylake.operators import assemble as asm
 from assaylake.operators import barcodes as bc
 from assaylake.operators import names as nm
@@ -114,7 +115,7 @@ def n12(t: Facts):
 )
 def n13(t: Facts):
     s = nm.read_substitution(F.col("variant"))
-    rows = written(t).select("variant").distinct().select("variant", *[c.alias(k) for k, c in s.items()]).where("ref IS NOT NULL")
+    rows = settle(written(t).select("variant").distinct(), **s).where("ref IS NOT NULL")
     return rows.withColumn("key", nm.substitution_key(F.col("ref"), F.col("position"), F.col("alt")))
 
 
