@@ -27,16 +27,22 @@ def filter_reasons(
     min_replicates: int | str = 1,
     invalid: Column | None = None,
     expected: Column | None = None,
+    combine: bool = False,
 ) -> DataFrame:
     """One row per variant: usable replicates k, those expected, flags, and the stage leaving it out.
 
     ``rep`` has one row per variant and replicate with ``state, c0, ct``. The reason is NULL for a
-    variant that is scored.
+    variant that is scored. With ``combine``, the same aggregation also gives its fixed-effects
+    ``score`` and ``se`` from the replicates' (one shuffle for both).
     """
     state = F.col("state")
     used = state == "used"
     flag = lambda test, bit: F.when(F.max(F.when(used & test, 1)) == 1, bit).otherwise(0)
+    v = F.col("se") * F.col("se")
+    weigh = lambda c: F.sum(F.when(used & (v > 0), c / v))
+    parts = [F.avg(F.when(used & (v == 0), F.col("score"))).alias("__exact"), weigh(F.col("score")).alias("__wy"), weigh(F.lit(1.0)).alias("__w")] if combine else []
     sums = rep.groupBy(*keys).agg(
+        *parts,
         F.count(F.when(used, 1)).alias("k"),
         (F.count(F.lit(1)) if expected is None else F.max(expected)).alias("expected"),
         F.max((~state.isin(*NOT_MEASURED)).cast("int")).alias("__counted"),
@@ -59,8 +65,14 @@ def filter_reasons(
         .when(F.col("k") < minimum, "replicates")
     )
     fewer = F.when(F.col("k") < F.col("expected"), FLAG_FEWER_REPLICATES).otherwise(0)
+    kept = F.col("reason").isNull()
+    exact = F.col("__exact").isNotNull() if combine else None
+    combined = [
+        F.when(kept, F.when(exact, F.col("__exact")).otherwise(F.col("__wy") / F.col("__w"))).alias("score"), F.when(kept, F.when(exact, 0.0).otherwise(F.sqrt(1 / F.col("__w")))).alias("se")
+    ] if combine else []
     return sums.withColumn("reason", reason).select(
         *keys,
+        *combined,
         "k",
         "expected",
         "reason",

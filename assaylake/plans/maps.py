@@ -7,6 +7,7 @@ from assaylake.functions.lineage import cut, spread
 from assaylake.operators import conservation as cons
 from assaylake.operators import grid as gr
 from assaylake.operators import structure as st
+from assaylake.operators.filters import filter_reasons
 from assaylake.plans.facts import RESIDUES, SHARED_SQL, Facts
 from assaylake.plans.registry import query
 from assaylake.plans.tables import coords, features, second_scores
@@ -22,16 +23,7 @@ SHARED_SQL["wt_scores"] = "SELECT dataset_id, score AS wt FROM scored WHERE kind
 
 
 def scored(t: Facts):
-    from assaylake.operators.combine import combine_fixed
-    from assaylake.operators.filters import filter_reasons
-
-    keys = ["dataset_id", "variant", "kind", "position", "alt"]
-    rep = t.rep_score
-    reasons = filter_reasons(rep, keys, min_replicates=2, expected=F.lit(3))
-    scores = combine_fixed(rep.where("state = 'used'"), ["dataset_id", "variant"]).drop("k")
-    ok = F.col("reason").isNull()
-    out = reasons.join(scores, ["dataset_id", "variant"], "left").withColumn("score", F.when(ok, F.col("score"))).withColumn("se", F.when(ok, F.col("se")))
-    return out
+    return filter_reasons(t.rep_score, ["dataset_id", "variant", "kind", "position", "alt"], min_replicates=2, expected=F.lit(3), combine=True)
 
 
 def map_cells(t: Facts):

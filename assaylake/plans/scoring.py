@@ -101,12 +101,7 @@ def used_barcodes(t: Facts):
         FROM rep_score GROUP BY ALL) LEFT JOIN (SELECT dataset_id, variant, CASE WHEN k >= 2 THEN score END AS score, CASE WHEN k >= 2 THEN se END AS se FROM cond_score) USING (dataset_id, variant)""",
 )
 def slice0_scores(t: Facts):
-    rep = t.rep_score
-    reasons = fl.filter_reasons(rep, ["dataset_id", "variant"], min_replicates=2)
-    scores = cb.combine_fixed(rep.where("state = 'used'"), ["dataset_id", "variant"]).drop("k")
-    kept = reasons.join(scores, ["dataset_id", "variant"], "left")
-    scored = F.col("reason").isNull()
-    return kept.withColumn("score", F.when(scored, F.col("score"))).withColumn("se", F.when(scored, F.col("se")))
+    return fl.filter_reasons(t.rep_score, ["dataset_id", "variant"], min_replicates=2, combine=True)
 
 
 @query(

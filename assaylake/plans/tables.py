@@ -464,12 +464,14 @@ def j13(t: Facts):
     return asm.annotate(t.cond_score, notes, features(t))
 
 
-SHARED_SQL["coords"] = "SELECT concat('P', CAST(label AS STRING)) AS dataset_id, CAST(vec_id AS BIGINT) AS position, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding[3] AS DOUBLE) AS z, CAST(embedding[4] AS DOUBLE) AS rsa, CAST(embedding[5] AS DOUBLE) AS value FROM embeddings"
+# A protein is a label's vectors within a run of five hundred, so none is longer than that.
+PROTEIN = "concat('P', CAST(label AS STRING), '-', CAST(CAST(floor(vec_id / 500) AS BIGINT) AS STRING))"
+SHARED_SQL["coords"] = f"SELECT {PROTEIN} AS dataset_id, CAST(vec_id AS BIGINT) AS position, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding[3] AS DOUBLE) AS z, CAST(embedding[4] AS DOUBLE) AS rsa, CAST(embedding[5] AS DOUBLE) AS value FROM embeddings"
 
 
 def coords(t: Facts):
     return t.table("embeddings").selectExpr(
-        "concat('P', CAST(label AS STRING)) AS dataset_id", "vec_id AS position", "CAST(embedding[0] AS DOUBLE) AS x", "CAST(embedding[1] AS DOUBLE) AS y", "CAST(embedding[2] AS DOUBLE) AS z", "CAST(embedding[3] AS DOUBLE) AS rsa", "CAST(embedding[4] AS DOUBLE) AS value"
+        f"{PROTEIN} AS dataset_id", "vec_id AS position", "CAST(embedding[0] AS DOUBLE) AS x", "CAST(embedding[1] AS DOUBLE) AS y", "CAST(embedding[2] AS DOUBLE) AS z", "CAST(embedding[3] AS DOUBLE) AS rsa", "CAST(embedding[4] AS DOUBLE) AS value"
     )
 
 
