@@ -638,6 +638,14 @@ def s12(t: Facts):
     return rd.read_profile_json(doc.select("dataset_id", F.to_json(F.struct(body.alias("data"))).alias("value")))
 
 
+@query("s12_read_feature_json", "dataset_id:s type:s pos_start:i pos_end:i label:s", "SELECT DISTINCT dataset_id, type, pos_start, pos_end, label FROM feature_of, (SELECT dataset_id FROM targets)")
+def s12_features(t: Facts):
+    at = lambda c: F.struct(F.col(c).alias("value"))
+    f = F.struct("type", F.col("label").alias("description"), F.struct(at("pos_start").alias("start"), at("pos_end").alias("end")).alias("location"))
+    doc = features(t).groupBy("dataset_id").agg(F.collect_list(f).alias("features"))
+    return rd.read_feature_json(doc.select("dataset_id", F.to_json(F.struct("features")).alias("value")))
+
+
 def exported(t: Facts):
     from assaylake.plans.scoring import slice0_scores
 
