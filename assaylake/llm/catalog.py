@@ -4,7 +4,7 @@ import importlib
 
 from assaylake.llm.registry import ORACLES, QUERIES
 
-MODULES = ["mixing", "rules"]
+MODULES = ["mixing", "packing", "rules", "token_files", "warc"]
 
 for _module in MODULES:
     importlib.import_module(f"assaylake.llm.{_module}")
