@@ -22,6 +22,14 @@ def word_count(text: str | Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def small_batches(df: DataFrame, rows: int = 500) -> DataFrame:
+    """``df``, after the session's Arrow batches are limited to ``rows`` rows: texts can be long, and a batch is held whole."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > rows:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    return df
+
+
 def let(value: Column, body) -> Column:
     """``body`` of a value that is computed once: a lambda's variable is bound, an alias may be inlined."""
     return F.transform(F.array(value), body)[0]
