@@ -397,6 +397,18 @@ def remove_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_bytes
     return whole.unionByName(loose)
 
 
+def texts(removed: DataFrame) -> DataFrame:
+    """doc_id, other and text: what is left, without the parts of characters that a cut through their bytes leaves."""
+
+    def run(batches):
+        for batch in batches:
+            text = pa.array([(x or b"").decode("utf-8", "ignore") for x in batch["kept"].to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["other"], text], ["doc_id", "other", "text"])
+
+    kind = removed.schema["other"].dataType.simpleString()
+    return removed.select("doc_id", "other", "kept").mapInArrow(run, f"doc_id long, other {kind}, text string")
+
+
 @query("op8_prefix_doubling")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
