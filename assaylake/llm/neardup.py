@@ -198,7 +198,8 @@ def _links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """node and root: the smallest node reachable, for every node of ``links`` (a, b).
 
-    Every round moves nodes to their smallest neighbour and joins the links through that, until none is left; links at least halve.
+    Every round points nodes to their smallest neighbour, follows the pointers to their ends, doubling steps, and carries the
+    links there, until none is left. Every tree of pointers becomes one node, so nodes at least halve each round.
     """
     total = None
     while True:
@@ -207,6 +208,12 @@ def components(links: DataFrame) -> DataFrame:
             return cut(links.select(F.col("a").alias("node"), F.col("b").alias("root"))) if total is None else total
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         up = cut(both.groupBy("a").agg(F.min("b").alias("_m")).select(F.col("a").alias("_node"), F.least("a", "_m").alias("_up")))
+        while True:
+            over = up.select(F.col("_node").alias("_at"), F.col("_up").alias("_next"))
+            jumped = cut(up.join(over, F.col("_up") == F.col("_at")).select("_node", F.col("_next").alias("_up"), (F.col("_next") != F.col("_up")).alias("_moved")))
+            up = jumped.drop("_moved")
+            if jumped.where("_moved").isEmpty():
+                break
         if total is None:
             total = up.select(F.col("_node").alias("node"), F.col("_up").alias("root"))
         else:

@@ -332,6 +332,15 @@ def span_rows(rows: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array(b, pa.int32()), pa.array(spans, pa.binary()), longs([len(x) for v in per.values() for x in v])], ["b", "spans", "size"])
 
 
+def _nullable(column: pa.Array) -> pa.Array:
+    """A struct column whose fields may be null, as the result's schema has them."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    if not pa.types.is_struct(column.type):
+        return column
+    return column.cast(pa.struct([pa.field(f.name, f.type, True) for f in column.type]))
+
+
 def remove_rows(rows: pa.Table, spans: pa.Table) -> pa.Table:
     """The block's rows with n_bytes, n_removed, n_spans and the bytes kept, in place of text and b."""
     block = Block(rows)
@@ -351,7 +360,7 @@ def remove_rows(rows: pa.Table, spans: pa.Table) -> pa.Table:
     removed, runs = total(gone), total(edge)
     kept = [block.data[a:z][~gone[a:z]].tobytes() for a, z in zip(block.at, block.at[1:])]
     names = [x for x in rows.column_names if x not in ("b", "text")]
-    out = [rows[x].combine_chunks().take(pa.array(block.order)) for x in names]
+    out = [_nullable(rows[x].combine_chunks()).take(pa.array(block.order)) for x in names]
     return pa.Table.from_arrays(out + [longs(np.diff(block.at)), longs(removed), longs(runs), pa.array(kept, pa.binary())], [*names, "n_bytes", "n_removed", "n_spans", "kept"])
 
 
@@ -366,7 +375,7 @@ def remove_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_bytes
     dealt into blocks by a hash of the id; three passes read the same shuffled documents.
     """
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    other = F.struct(*[F.col(f"`{c}`") for c in rest]) if rest else F.struct(F.lit(0).alias("none"))
+    other = F.struct(*[F.col(f"`{c}`") for c in rest]) if rest else F.struct(F.lit(None).cast("int").alias("none"))
     rows = small_batches(docs).select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"), other.alias("other"))
     total = rows.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
     blocks, buckets = max(1, total // block_bytes), max(1, total // bucket_bytes)
@@ -403,7 +412,7 @@ def texts(removed: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             text = pa.array([(x or b"").decode("utf-8", "ignore") for x in batch["kept"].to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["other"], text], ["doc_id", "other", "text"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], _nullable(batch["other"]), text], ["doc_id", "other", "text"])
 
     kind = removed.schema["other"].dataType.simpleString()
     return removed.select("doc_id", "other", "kept").mapInArrow(run, f"doc_id long, other {kind}, text string")
