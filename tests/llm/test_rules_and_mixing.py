@@ -30,12 +30,12 @@ def test_measures_and_verdicts(spark):
 def test_shared_lines_are_removed_and_depleted_documents_rejected(spark):
     line = "a line that every page of this host has at its end and start and everywhere"
     own = "twelve words of its own are in each of these documents number "
-    rows = [(i, f"{line}\n{own}{i} {'x' * i}" if i % 2 else f"{line}\n{line}\nfew words {i}", "h") for i in range(60)]
+    rows = [(i, f"{line}\n{own}{i} {'x' * i}" if i % 2 else f"{line}\nfew words {i}", "h") for i in range(60)]
     rows += [(100, f"{line}\n{own}100", "other")] + [(200 + i, f"{line} \nsame text in many copies", "copies") for i in range(60)]
     got = {r.doc_id: r for r in rules.judge(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
     n = len(line.split())
     assert got[0].removed_words == 0 and got[0].kept
-    assert got[2].removed_words == 2 * n and not got[2].kept
+    assert got[2].removed_words == n and not got[2].kept
     assert got[3].removed_words == n and got[3].kept
     assert got[100].removed_words == 0 and got[205].removed_words == 0
 
