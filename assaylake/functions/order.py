@@ -5,9 +5,9 @@ holds every distinct value of a group in one buffer. Both fail when one dataset
 all rows. Here a group is ordered in two levels instead:
 
 1. rows are summed per distinct value (map-side combined), so ties never travel;
-2. each value falls in a bucket that is a monotone function of the value alone, and running sums
-   are taken inside a bucket;
-3. what comes before a bucket is read from a table of bucket totals, a few hundred rows per group.
+2. each value falls in one of 256 buckets between its group's own approximate quantiles, so buckets hold about equally many
+   distinct values however these lie, and running sums are taken inside a bucket;
+3. what comes before a bucket is read from a table of bucket totals, 256 rows per group.
 
 The results are exact. Buckets only decide how the work is spread.
 """
@@ -23,9 +23,17 @@ from pyspark.sql.window import Window
 _BUCKET = "__bucket"
 
 
-def magnitude_bucket(value: Column) -> Column:
-    """Monotone integer bucket, fine near zero and logarithmic beyond (about 600 over ±1e6)."""
-    return F.floor(F.signum(value) * F.log1p(F.abs(value) * 64.0) * 16.0).cast("int")
+BUCKETS = 256
+
+
+def _bucketed(steps: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """``steps`` with the number of its group's quantiles below each value, found by halving."""
+    cuts = steps.groupBy(*keys).agg(F.percentile_approx(F.col(value).cast("double"), [i / BUCKETS for i in range(1, BUCKETS)], 10_000).alias("__cuts"))
+    halves = F.array(*[F.lit(BUCKETS >> i) for i in range(1, BUCKETS.bit_length())])
+    v = F.col(value).cast("double")
+    below = F.aggregate(halves, F.lit(0), lambda at, half: at + F.when(F.get("__cuts", at + half - 1) < v, half).otherwise(0))
+    joined = steps.join(cuts, list(keys)) if keys else steps.join(cuts, F.lit(True))
+    return joined.withColumn(_BUCKET, below).drop("__cuts")
 
 
 def value_steps(
@@ -33,27 +41,28 @@ def value_steps(
     keys: Sequence[str],
     value: str,
     sums: Mapping[str, Column] | None = None,
-    bucket: Column | None = None,
     *,
     ties: Sequence[str] = (),
     weight: Column | None = None,
+    keep_bucket: bool = False,
 ) -> DataFrame:
     """One row per (keys, distinct value), in order of value, with running counts and sums.
 
     Columns: keys, value, ``n`` (rows with the value), ``n_before`` (rows below it), ``n_total``
     (rows of the group), and for each name in ``sums``: the sum at the value, ``<name>_before``
     and ``<name>_total``. NULL and NaN values take no part. ``ties`` are further columns in the
-    order (then a step is a distinct combination); ``weight`` counts a row several times.
+    order (then a step is a distinct combination); ``weight`` counts a row several times. With ``keep_bucket``
+    the bucket stays, as ``__bucket``.
     """
     keys, order = list(keys), [value, *ties]
     sums = dict(sums or {})
     names = ["n", *sums]
     clean = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
     steps = (
-        clean.withColumn(_BUCKET, magnitude_bucket(F.col(value)) if bucket is None else bucket)
-        .groupBy(*keys, _BUCKET, *order)
+        clean.groupBy(*keys, *order)
         .agg((F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("n"), *[F.sum(c).alias(k) for k, c in sums.items()])
     )
+    steps = _bucketed(steps, keys, value)
     per_bucket = steps.groupBy(*keys, _BUCKET).agg(*[F.sum(k).alias(f"__b_{k}") for k in names])
     earlier = Window.partitionBy(*keys).orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys)
@@ -77,6 +86,7 @@ def value_steps(
     )
     return local.join(offsets, [*keys, _BUCKET]).select(
         *keys,
+        *([_BUCKET] if keep_bucket else []),
         *order,
         *names,
         *[(F.col(f"__o_{k}") + F.col(f"__l_{k}")).alias(f"{k}_before") for k in names],
@@ -153,11 +163,10 @@ def with_average_rank(df: DataFrame, keys: Sequence[str], value: str, name: str
 def benjamini_hochberg(df: DataFrame, keys: Sequence[str], p: str = "p", name: str = "q") -> DataFrame:
     """Adds Benjamini–Hochberg adjusted p-values per family; missing p stays missing."""
     keys = list(keys)
-    bucket = magnitude_bucket(F.col(p))
-    steps = value_steps(df, keys, p, bucket=bucket).select(
+    steps = value_steps(df, keys, p, keep_bucket=True).select(
         *keys,
         p,
-        bucket.alias(_BUCKET),
+        _BUCKET,
         (F.col(p) * F.col("n_total") / (F.col("n_before") + F.col("n"))).alias("__c"),
     )
     later = Window.partitionBy(*keys).orderBy(_BUCKET).rowsBetween(1, Window.unboundedFollowing)

@@ -74,18 +74,22 @@ def classified_controls(records: DataFrame, min_stars: int = 1, kinds: Sequence[
     return rows.withColumn("reason", reason).withColumn("label", F.col("classification")).drop("__main", "__c")
 
 
+# Words that put a control on a side.
+PATHOGENIC_WORDS = ("pathogenic", "likely pathogenic", "pathogenic/likely pathogenic", "p", "lp", "p/lp", "plp", "abnormal", "functionally abnormal")
+BENIGN_WORDS = ("benign", "likely benign", "benign/likely benign", "b", "lb", "b/lb", "blb", "normal", "functionally normal")
+
+
 def side_from_words(label: Column) -> Column:
-    """P or B from a label's words."""
-    t = F.lower(F.trim(label))
-    return F.when(t.isin("p", "pathogenic", "likely pathogenic", "damaging", "deleterious", "lof", "loss of function", "abnormal", "plp", "p/lp"), "P").when(
-        t.isin("b", "benign", "likely benign", "tolerated", "neutral", "normal", "functional", "blb", "b/lb"), "B"
-    )
+    """P or B from the first term of a label; NULL for other words."""
+    first = F.element_at(F.split(label, "[,;]"), 1)
+    t = F.trim(F.regexp_replace(F.lower(first), r"[_\s]+", " "))
+    return F.when(t.isin(*PATHOGENIC_WORDS), "P").when(t.isin(*BENIGN_WORDS), "B")
 
 
 def merge_labels(labels: DataFrame, by: Sequence[str] = KEYS) -> DataFrame:
-    """One row per key: records on one side merged (most stars' label, latest date), others conflicting."""
+    """One row per key: records on one side merged (most stars' label, of several the last in order; latest date), others conflicting."""
     out = labels.groupBy(*by, "key").agg(
-        F.min("side").alias("side"), (F.min("side") != F.max("side")).alias("conflict"), F.max_by("label", "stars").alias("label"), F.max("stars").alias("stars"), F.max("evaluated").alias("evaluated"), F.count(F.lit(1)).alias("records")
+        F.min("side").alias("side"), (F.min("side") != F.max("side")).alias("conflict"), F.max(F.struct("stars", "label")).getField("label").alias("label"), F.max("stars").alias("stars"), F.max("evaluated").alias("evaluated"), F.count(F.lit(1)).alias("records")
     )
     return out
 

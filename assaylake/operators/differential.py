@@ -60,7 +60,7 @@ def pair_differences(reps: DataFrame, pairs: DataFrame, pseudocount: float = 0.5
 def diff_paired(differences: DataFrame, how: str = "moderated", by: Sequence[str] = ("dataset_id", "condition")) -> DataFrame:
     """Pairs' differences combined as replicates are."""
     if how == "moderated":
-        out = moderated_combination(differences, by)
+        out = moderated_combination(differences, by, own_is_v=False)
         return out.select(*by, "variant", F.col("score").alias("delta"), "se", "df", "k", (F.col("score") / F.col("se")).alias("z"))
     rows = differences.withColumn("se", F.sqrt("v")).withColumnRenamed("y", "score")
     out = combine_fixed(rows, [*by, "variant"])

@@ -22,15 +22,16 @@ MIN_PAIRS = 40
 PASSES = 10
 
 
-def measurement_arrays(rows: DataFrame, by: Sequence[str], key: str = "variant") -> DataFrame:
+def measurement_arrays(rows: DataFrame, by: Sequence[str], key: str = "variant", own_is_v: bool = True) -> DataFrame:
     """One row per variant: its measurements (replicate, y, v, own, share, u) as an ordered array.
 
     ``rows`` needs ``replicate_id, y, v``; ``own`` (a measurement's own variance), ``share`` (the first
-    sample), ``u`` (√ of the counting variance it shares, signed) and ``informative`` are optional.
+    sample), ``u`` (√ of the counting variance it shares, signed) and ``informative`` are optional. Without ``own_is_v`` a missing own variance stays
+    NULL, and the model's stands for it also where it could not be fitted.
     """
     opt = lambda c, t, d: F.col(c) if c in rows.columns else F.lit(d).cast(t)
     m = F.struct(
-        F.col("replicate_id").alias("r"), F.col("y").alias("y"), F.col("v").alias("v"), F.coalesce(opt("own", "double", None), F.col("v")).alias("own"),
+        F.col("replicate_id").alias("r"), F.col("y").alias("y"), F.col("v").alias("v"), (F.coalesce(opt("own", "double", None), F.col("v")) if own_is_v else opt("own", "double", None)).alias("own"),
         F.coalesce(opt("share", "string", None), F.concat(F.lit("\u0000"), F.col("replicate_id"))).alias("share"), F.coalesce(opt("u", "double", None), F.lit(0.0)).alias("u"),
     )
     return rows.groupBy(*by, key).agg(F.array_sort(F.collect_list(m)).alias("m"), F.min(opt("informative", "boolean", True)).alias("informative"))
@@ -138,7 +139,7 @@ def _gls(y: pd.Series, v: pd.Series, own: pd.Series, share: pd.Series, u: pd.Ser
         Y, V, O, U = stack(y), stack(v), stack(own), stack(u)
         names = np.vstack([np.asarray(share.iloc[j], dtype=object) for j in i])
         M = np.minimum(av[i], 1.0)[:, None, None] * (U[:, :, None] * U[:, None, :]) * (names[:, :, None] == names[:, None, :])
-        diag = np.where(fv[i][:, None], av[i][:, None] * V + ev[i][:, None], O)
+        diag = np.where(fv[i][:, None] | np.isnan(O), av[i][:, None] * V + ev[i][:, None], O)
         M[:, np.arange(k), np.arange(k)] = diag
         good = (np.linalg.eigvalsh(M) > 0).all(1)
         out[i[~good], 0], out[i[~good], 1] = Y[~good].mean(1), 0.0
@@ -203,13 +204,13 @@ def squeeze_var(rows: DataFrame, by: Sequence[str], s2: str = "phi", d: str = "d
     return every.select(*by, F.coalesce("s2_prior", F.lit(1.0)).alias("s2_prior"), F.coalesce("df_prior", F.lit(float("inf"))).alias("df_prior"), F.coalesce("pooled", F.lit(0.0)).alias("pooled"))
 
 
-def moderated_combination(rows: DataFrame, by: Sequence[str], key: str = "variant", bound: int = 200_000) -> DataFrame:
+def moderated_combination(rows: DataFrame, by: Sequence[str], key: str = "variant", bound: int = 200_000, own_is_v: bool = True) -> DataFrame:
     """Every variant's replicates combined: ``score, se, df, phi, k`` and the parts without the reference.
 
     Degrees of freedom of the reference's part and the model's are joined by Satterthwaite's rule.
     """
     by = list(by)
-    arrays = cut(measurement_arrays(rows, by, key))
+    arrays = cut(measurement_arrays(rows, by, key, own_is_v))
     groups = arrays.select(*by).distinct()
     model = groups.join(fit_error_model(arrays, by, bound), by, "left").join(shift_variance(replicate_shifts(arrays, by), by), by, "left")
     model = model.na.fill({"a": 1.0, "b": 0.0, "fitted": False, "shift_variance": 0.0, "n_shifts": 0, "pairs": 0})

@@ -72,11 +72,11 @@ def k1(t: Facts):
     "k2_label_controls",
     "word:s side:s date_text:s date:s",
     """SELECT DISTINCT lower(o_orderpriority) AS word, NULL AS side, strftime(o_orderdate, '%-d %b %Y') AS date_text, strftime(o_orderdate, '%Y-%m-%d') AS date FROM orders WHERE o_orderkey % 2 = 0
-       UNION SELECT DISTINCT CASE o_orderstatus WHEN 'F' THEN 'Benign' ELSE 'LoF' END, CASE o_orderstatus WHEN 'F' THEN 'B' ELSE 'P' END, strftime(o_orderdate, '%Y/%m/%d'), strftime(o_orderdate, '%Y-%m-%d') FROM orders WHERE o_orderkey % 2 = 1""",
+       UNION SELECT DISTINCT CASE o_orderstatus WHEN 'F' THEN 'Benign; association' WHEN 'O' THEN 'Functionally_abnormal' ELSE 'LoF' END, CASE o_orderstatus WHEN 'F' THEN 'B' WHEN 'O' THEN 'P' END, strftime(o_orderdate, '%Y/%m/%d'), strftime(o_orderdate, '%Y-%m-%d') FROM orders WHERE o_orderkey % 2 = 1""",
 )
 def k2(t: Facts):
     rows = t.table("orders").selectExpr(
-        "CASE WHEN o_orderkey % 2 = 0 THEN lower(o_orderpriority) WHEN o_orderstatus = 'F' THEN 'Benign' ELSE 'LoF' END AS word",
+        "CASE WHEN o_orderkey % 2 = 0 THEN lower(o_orderpriority) WHEN o_orderstatus = 'F' THEN 'Benign; association' WHEN o_orderstatus = 'O' THEN 'Functionally_abnormal' ELSE 'LoF' END AS word",
         "CASE WHEN o_orderkey % 2 = 0 THEN date_format(o_orderdate, 'd MMM yyyy') ELSE date_format(o_orderdate, 'yyyy/MM/dd') END AS date_text",
     ).distinct()
     return rows.withColumn("side", cal.side_from_words(F.col("word"))).withColumn("date", cal.read_date(F.col("date_text")))

@@ -66,7 +66,7 @@ def a18(t: Facts):
 def dimsum_parts(t: Facts):
     t.pairs = cut(t.pairs)
     fit = dm.fitness(t.pairs)
-    thresholds = dm.input_threshold(t.pairs, 3).withColumn("threshold", F.least(F.col("threshold"), F.lit(20.0)))
+    thresholds = dm.input_threshold(t.pairs, 3)
     arrays = cut(dm.fitting_arrays(fit, thresholds, REPS))
     return fit, arrays, cut(dm.normalise(arrays, 3))
 
@@ -80,14 +80,14 @@ def a19(t: Facts):
 @query("a20_dimsum_error_model", "dataset_id:s replicate:i variants:i input:d output:d additive:d")
 def a20(t: Facts):
     _, arrays, scales = dimsum_parts(t)
-    model = dm.error_model(arrays, scales, 3, bootstrap=20)
+    model = dm.error_model(arrays, scales, 3, dm.substitution_weights(t.pairs))
     return model.select("dataset_id", "variants", F.posexplode(F.arrays_zip("input", "output", "additive")).alias("replicate", "x")).select("dataset_id", "replicate", "variants", "x.*")
 
 
 @query("a22_dimsum_sigma", "dataset_id:s replicate_id:s variant:s score:d se:d")
 def a22(t: Facts):
     fit, arrays, scales = dimsum_parts(t)
-    return dm.score(fit, scales, dm.error_model(arrays, scales, 3, bootstrap=0), REPS)
+    return dm.score(fit, scales, dm.error_model(arrays, scales, 3, dm.substitution_weights(t.pairs), bootstrap=0), REPS)
 
 
 @query(
@@ -103,7 +103,7 @@ def a22_counting(t: Facts):
 @query("q20_qc_error_model", "dataset_id:s replicate:i input:d output:d additive:d input_low:d input_high:d")
 def q20(t: Facts):
     _, arrays, scales = dimsum_parts(t)
-    model = dm.error_model(arrays, scales, 3, bootstrap=20)
+    model = dm.error_model(arrays, scales, 3, dm.substitution_weights(t.pairs))
     return model.select("dataset_id", F.posexplode(F.arrays_zip("input", "output", "additive", "low", "high")).alias("replicate", "x")).select("dataset_id", "replicate", "x.input", "x.output", "x.additive", F.col("x.low").alias("input_low"), F.col("x.high").alias("input_high"))
 
 
