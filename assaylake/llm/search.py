@@ -28,19 +28,20 @@ TRIALS = 300
 
 @dataclass
 class Index:
-    """rotation, centers, how many rows each list has, how many lists a query probes."""
+    """rotation, centers, how many rows each list has, how many lists a query probes, rows of a block."""
 
     rotation: np.ndarray
     centers: np.ndarray
     sizes: np.ndarray
     probes: int
+    per_block: int = PER_BLOCK
 
     def turned(self, vectors: np.ndarray) -> np.ndarray:
         return vectors / np.linalg.norm(vectors, axis=1)[:, None] @ self.rotation
 
     def blocks(self) -> np.ndarray:
         """In how many parts a list's rows are scanned."""
-        return np.maximum(1, -(-self.sizes // PER_BLOCK))
+        return np.maximum(1, -(-self.sizes // self.per_block))
 
     def probed(self, turned: np.ndarray, k: int) -> list[np.ndarray]:
         """Lists for each query, nearest center first: ``probes`` of them, and more until they hold over ``k`` rows."""
@@ -59,9 +60,10 @@ def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
 
 
 def centers_of(turned: np.ndarray, lists: int, rounds: int = 12, seed: int = 11) -> np.ndarray:
-    """Spherical k-means; an empty list keeps its center."""
+    """Spherical k-means from different vectors, so that no two centers share equal rows; an empty list keeps its center."""
     draw = np.random.default_rng(seed)
-    centers = turned[draw.choice(len(turned), lists, replace=False)]
+    different = np.unique(turned.round(9), axis=0)
+    centers = different[draw.choice(len(different), min(lists, len(different)), replace=False)]
     for _ in range(rounds):
         own = np.argmax(turned @ centers.T, axis=1)
         sums = np.zeros_like(centers)
@@ -105,7 +107,7 @@ def fit(rows: DataFrame, k: int, sample: int = SAMPLE, seed: int = 11) -> Index
     turned = vectors / np.linalg.norm(vectors, axis=1)[:, None] @ rotation
     lists = int(min(MOST_LISTS, len(turned), max(1, round(np.sqrt(rows.count())))))
     centers = centers_of(turned, lists)
-    index = Index(rotation, centers, np.zeros(lists, np.int64), probes_for(turned, centers, k))
+    index = Index(rotation, centers, np.zeros(len(centers), np.int64), probes_for(turned, centers, k))
     counts = assigned(rows, spark.sparkContext.broadcast(index)).groupBy("list").count().collect()
     for r in counts:
         index.sizes[r["list"]] = r["count"]
@@ -156,12 +158,12 @@ def scan(index: Index, q: np.ndarray, q_id: np.ndarray, x: np.ndarray, x_id: np.
     return tuple(np.concatenate(c) for c in zip(*found))
 
 
-def search(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
+def search(vectors: DataFrame, every: int = 50, k: int = 5, per_block: int = PER_BLOCK) -> DataFrame:
     """query_id, rank (from 1), vec_id, score (cosine): the ``k`` nearest found for ids divisible by ``every``.
 
     Rows that take no part (see ``usable``) are neither queries nor found. Repeated ids: a query does not find rows of
     its own id; each of several rows of one query id would be scanned, so one of them, of the smallest vector, asks. Lists are scanned in blocks of about
-    PER_BLOCK rows, dealt by a hash, so that a list with most of the rows is many tasks.
+    ``per_block`` rows, dealt by a hash, so that a list with most of the rows is many tasks.
     """
     spark = vectors.sparkSession
     rows = usable(vectors)
@@ -169,6 +171,7 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
     schema = "query_id long, rank int, vec_id long, score double"
     if index is None:
         return spark.createDataFrame([], schema)
+    index.per_block = per_block
     shared = spark.sparkContext.broadcast(index)
     blocks = F.element_at(F.array(*[F.lit(int(b)) for b in index.blocks()]), F.col("list") + 1)
     placed = assigned(rows, shared).withColumn("block", F.pmod(F.xxhash64("vec_id"), blocks).cast("int"))
