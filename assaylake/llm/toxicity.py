@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from assaylake.functions.lineage import cut
 from assaylake.llm.common import binary_of, slices, small_batches, table
 from assaylake.llm.registry import query
 from assaylake.llm.terms import LETTERS, LOWER, U, hashes, mixed, runs
@@ -121,10 +122,13 @@ def held_out(doc_id: Column, folds: int, fold: int) -> Column:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, folds: int, fold: int, rows: int) -> DataFrame:
-    """doc_id, text, label of at most ``rows`` labelled documents outside the fold: those whose ids have the smallest hashes."""
+    """doc_id, text, label of at most ``rows`` labelled documents outside the fold: those whose ids have the smallest hashes.
+
+    The chosen ids are at most ``rows``, so they are broadcast; the sample's texts are written once.
+    """
     usable = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), folds, fold))
     some = usable.select("doc_id", F.col(label).cast("int").alias("label")).dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    return small_batches(docs).select("doc_id", "text").join(some, "doc_id")
+    return cut(small_batches(docs).select("doc_id", "text").join(F.broadcast(some), "doc_id"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5, fold: int = 0, rows: int = FIT_ROWS) -> Machine:

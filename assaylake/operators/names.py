@@ -42,38 +42,40 @@ def _first_number(c: Column) -> Column:
     return F.regexp_extract(c, r"([1-9][0-9]*)", 1).try_cast("int")
 
 
-def _lenient(s: Column, default_prefix: str) -> Column:
-    """A name rewritten into canonical form, as far as it can be."""
-    s = F.when(s.isin(*WILD_TYPE_WORDS), F.lit(f"{default_prefix}.=")).when(s == "_sy", F.lit("p.(=)")).otherwise(s)
-    s = F.when(s.rlike(r"^(?:[A-Za-z0-9_.-]+:)?[cgmnopr]\.\((?!=\)).+\)$"), F.regexp_replace(s, r"\.\((.+)\)$", r".$1")).otherwise(s)
-    bare = F.regexp_replace(F.regexp_replace(s, r"^p\.", ""), r"^\[|\]$", "")
-    tokens = F.filter(F.split(bare, r"[\s;]+"), lambda t: t != "")
-    letters = F.transform(
-        tokens,
-        lambda t: F.concat(
-            three_of(F.regexp_extract(t, ONE_LETTER, 1)), F.regexp_extract(t, ONE_LETTER, 2),
-            F.when(F.regexp_extract(t, ONE_LETTER, 3) == "=", "=").otherwise(three_of(F.regexp_extract(t, ONE_LETTER, 3))),
-        ),
-    )
-    all_letters = (F.size(tokens) > 0) & F.forall(tokens, lambda t: t.rlike(ONE_LETTER) & ~t.startswith("*"))
-    s = (
-        F.when(all_letters & (F.size(tokens) == 1), F.concat(F.lit("p."), F.get(letters, 0)))
-        .when(all_letters, F.concat(F.lit("p.["), F.array_join(letters, ";"), F.lit("]")))
-        .when(s.rlike(f"^{AA3}{POS}(?:{AA3}|=)$"), F.concat(F.lit("p."), s))
-        .otherwise(s)
-    )
-    return F.regexp_replace(s, r"([A-Z][a-z]{2}[1-9][0-9]*)\*", "$1Ter")
+HEAD = r"^(?:[A-Za-z0-9_.-]+:)?[cgmnopr]\."
+
 
+def _in_three(letters: Column) -> Column:
+    """A one-letter substitution (residue, position, residue or =) in three letters."""
+    side = lambda group: F.regexp_extract(letters, ONE_LETTER, group)
+    return F.concat(three_of(side(1)), side(2), F.when(side(3) == "=", "=").otherwise(three_of(side(3))))
 
-def _components(s: Column) -> Column:
-    """The components of a name: repeated ones once, bare equalities dropped, in order of position."""
-    body = F.regexp_replace(F.regexp_extract(s, r"^(?:[A-Za-z0-9_.-]+:)?[cgmnopr]\.(.*)$", 1), r"^\[(.*)\]$", "$1")
-    parts = F.array_distinct(F.split(body, ";"))
-    many = F.filter(parts, lambda p: ~p.isin("=", "(=)"))
-    kept = F.when(F.size(parts) == 1, parts).when(F.size(many) == 0, F.array(F.lit("="))).otherwise(many)
-    synonymous = F.transform(kept, lambda p: F.regexp_replace(p, r"^([A-Z][a-z]{2})([1-9][0-9]*)\1$", r"$1$2="))
-    keyed = F.transform(synonymous, lambda p, i: F.struct(F.coalesce(_first_number(p), F.lit(0)).alias("at"), i.alias("i"), p.alias("p")))
-    return F.transform(F.array_sort(keyed), lambda x: x["p"])
+
+def _read(text: Column, default_prefix: str) -> tuple[Column, Column]:
+    """Head (target and prefix, empty where there is none) and components of a name in any accepted form.
+
+    Accepted are words for the wild type, predictions in parentheses, residues in one letter, alone or several, and a three-letter
+    substitution without its prefix. Of several components equal ones count once and bare equalities not; they are ordered by position.
+    """
+    word = F.when(text.isin(*WILD_TYPE_WORDS), F.lit(f"{default_prefix}.=")).when(text == "_sy", F.lit("p.(=)")).otherwise(text)
+    written = F.regexp_extract(word, HEAD, 0)
+    tail = F.substring(word, F.length(written) + 1, F.length(word))
+    predicted = (written != "") & tail.rlike(r"^\(.+\)$") & (tail != "(=)")
+    body = F.when(predicted, F.regexp_extract(tail, r"^\((.+)\)$", 1)).otherwise(tail)
+    letters = F.filter(F.split(F.regexp_replace(body, r"^\[|\]$", ""), r"[\s;]+"), lambda x: x != "")
+    by_letters = written.isin("", "p.") & (F.size(letters) > 0) & F.forall(letters, lambda x: x.rlike(ONE_LETTER) & ~x.startswith("*"))
+    in_names = (written == "") & body.rlike(f"^{AA3}{POS}(?:{AA3}|=)$")
+    head = F.when(by_letters | in_names, "p.").otherwise(written)
+    given = F.when(head == "", F.array(F.lit(""))).otherwise(F.split(F.regexp_replace(body, r"^\[(.*)\]$", "$1"), ";"))
+    spelled = F.when(by_letters, F.transform(letters, _in_three)).otherwise(F.transform(given, lambda x: F.regexp_replace(x, r"([A-Z][a-z]{2}[1-9][0-9]*)\*", "$1Ter")))
+    different = F.array_distinct(spelled)
+    telling = F.filter(different, lambda x: ~x.isin("=", "(=)"))
+    kept = F.when(F.size(different) == 1, different).when(F.size(telling) == 0, F.array(F.lit("="))).otherwise(telling)
+    placed = F.transform(
+        kept,
+        lambda x, i: F.struct(F.coalesce(_first_number(x), F.lit(0)).alias("at"), i.alias("i"), F.regexp_replace(x, r"^([A-Z][a-z]{2})([1-9][0-9]*)\1$", r"$1$2=").alias("text")),
+    )
+    return head, F.transform(F.array_sort(placed), lambda x: x["text"])
 
 
 def parse_variants(names: DataFrame, column: str = "variant", default_prefix: str = "p") -> DataFrame:
@@ -83,11 +85,9 @@ def parse_variants(names: DataFrame, column: str = "variant", default_prefix: st
     """
     distinct = names.select(F.col(column).alias("variant")).distinct()
     text = F.trim(F.col("variant"))
-    df = settle(distinct, __s=_lenient(text, default_prefix))
-    prefix = F.regexp_extract("__s", r"^(?:[A-Za-z0-9_.-]+:)?([cgmnopr])\.", 1)
-    df = settle(
-        df, prefix=F.nullif(prefix, F.lit("")), target=F.nullif(F.regexp_extract("__s", r"^([A-Za-z0-9_.-]+):", 1), F.lit("")), parts=_components(F.col("__s"))
-    )
+    head, parts = _read(text, default_prefix)
+    df = settle(distinct, __head=head, parts=parts)
+    df = settle(df, prefix=F.nullif(F.regexp_extract("__head", r"([cgmnopr])\.$", 1), F.lit("")), target=F.nullif(F.regexp_extract("__head", r"^(.+):", 1), F.lit("")))
     number = lambda p: F.regexp_extract_all(p, F.lit(r"([1-9][0-9]*)"), 1)
     ends = F.transform("parts", lambda p: F.array_max(F.transform(number(F.regexp_replace(p, r"(ins|delins).*$", "")), lambda d: d.try_cast("int"))))
     df = settle(df, n_parts=F.size("parts"), starts=F.transform("parts", _first_number), ends=ends)
@@ -112,7 +112,7 @@ def parse_variants(names: DataFrame, column: str = "variant", default_prefix: st
         df, status=status, position=F.when(F.col("key").isNotNull(), F.get("starts", F.lit(0))), ref=F.when(single, one_of(ref3)),
         alt=F.when(single, one_of(F.when(alt3 == "=", ref3).otherwise(alt3))),
     )
-    return settle(df, kind=F.when(F.col("key").isNotNull(), variant_kind())).drop("__s", "starts", "ends")
+    return settle(df, kind=F.when(F.col("key").isNotNull(), variant_kind())).drop("__head", "starts", "ends")
 
 
 def variant_kind() -> Column:
