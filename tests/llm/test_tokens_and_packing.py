@@ -12,7 +12,7 @@ from assaylake.llm.tokens import Encoder
 from tests.llm.frames import SCHEMA, crc, documents
 
 FILES = [("byte_bpe_50k.json", "kept", 4), ("word_bpe_49k.json", "dropped", 2)]
-ODD = ["", " ", "  ", "a  b", " x", "x ", "\n\n x", "a\n b", "don't  stop it's", " \n ", "a  b", "<|endoftext|> hi", "É́ Σας", "a\n\nb c\td", "Été, ÀÉÎ!! Straße. ÿªº µm a×b ÷ x..y", "ǅ ŉ İI", "word.'s foo!? (bar) [x] __y__ ß", "one.\nTwo three\nFour", "12 3.5 a1 b\x1c c\x85d e f"]
+ODD = ["", " ", "  ", "a  b", " x", "x ", "\n\n x", "a\n b", "don't  stop it's", " \n ", "a  b", "<|endoftext|> hi", "É́ Σας", "a\n\nb c\td", "Été, ÀÉÎ!! Straße. ÿªº µm a×b ÷ x..y", "ǅ ŉ İI", "word.'s foo!? (bar) [x] __y__ ß", "one.\nTwo three\nFour", "x" * 300 + "1", "é" * 200 + "e" * 200 + "9", "12 3.5 a1 b\x1c c\x85d e f"]
 
 
 @pytest.mark.parametrize("name, spaces, width", FILES)
