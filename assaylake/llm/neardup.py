@@ -27,6 +27,9 @@ LEVELS = ((16, 3), (32, 6), (64, 9), (128, 12))
 MOST_CLASSES = 2_048
 MOST_SHINGLES = 4_000_000
 STEP_BYTES = 1 << 20
+#: Bits of the marks of wanted documents, and how many documents they serve at most.
+MARK_BITS = 1 << 25
+MOST_MARKED = 1 << 22
 
 
 # ---- sets and signatures ------------------------------------------------------------------------
@@ -87,11 +90,35 @@ def prefixes(value: np.ndarray, begin: np.ndarray, level: int) -> np.ndarray:
     return out
 
 
-def _per_text(docs: DataFrame, level: int | None, sets: bool) -> DataFrame:
-    """doc_id, n, print (a 128-bit hash of the set), and the level's prefixes or the set."""
+def _marks(wanted: DataFrame) -> np.ndarray:
+    """A bit for the hash of every wanted id: at most MARK_BITS / 8 bytes, however many ids."""
+    spot = F.pmod(F.xxhash64("doc_id"), F.lit(MARK_BITS)) + 1  # the bitmap functions count from 1
+    rows = wanted.groupBy(F.bitmap_bucket_number(spot).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(spot)).alias("bits")).collect()
+    out = np.zeros(MARK_BITS // 8 + 4096, np.uint8)
+    for r in rows:
+        out[(r.k - 1) * 4096 : r.k * 4096] = np.frombuffer(r.bits, np.uint8)
+    return out
+
+
+def _of(docs: DataFrame, wanted: DataFrame) -> tuple[DataFrame, object]:
+    """Documents among which are all the wanted ones (doc_id), and marks that tell nearly all others apart.
+
+    Up to MOST_MARKED wanted documents are told by broadcast marks, and texts stay where they are; more are joined.
+    """
+    if wanted.count() > MOST_MARKED:
+        return docs.join(wanted, "doc_id", "left_semi"), None
+    spot = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(MARK_BITS)).alias("spot")
+    return docs.select("doc_id", "text", spot), docs.sparkSession.sparkContext.broadcast(_marks(wanted))
+
+
+def _per_text(docs: DataFrame, level: int | None, sets: bool, marks=None) -> DataFrame:
+    """doc_id, n, print (a 128-bit hash of the set), and the level's prefixes or the set; with ``marks``, of marked documents."""
 
     def run(batches):
         for batch in batches:
+            if marks is not None:
+                spot = batch["spot"].to_numpy(zero_copy_only=False)
+                batch = batch.filter(pa.array((marks.value[spot >> 3] >> (spot & 7).astype(np.uint8)) & 1 == 1))
             for part in slices(batch, "text", STEP_BYTES):
                 value, begin = shingle_sets(*binary_of(part["text"]))
                 raw = value.tobytes()
@@ -108,7 +135,9 @@ def _per_text(docs: DataFrame, level: int | None, sets: bool) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(out, names)
 
     schema = "doc_id long, n long, print binary" + (", set binary" if sets else "") + (", prefixes array<long>" if level is not None else "")
-    return small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    columns = [F.col("doc_id").cast("long").alias("doc_id"), "text", *(["spot"] if marks is not None else [])]
+    rows = small_batches(docs).where("doc_id is not null") if marks is not None else small_batches(docs)
+    return rows.select(*columns).mapInArrow(run, schema)
 
 
 # ---- regions ------------------------------------------------------------------------------------
@@ -236,22 +265,34 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     for level in range(len(LEVELS)):
         members, dense = _regions(todo, last=level == len(LEVELS) - 1)
         members = cut(members)
-        wanted = members.select("rep").distinct()
-        texts = docs.join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi")
-        sets = _per_text(texts, None, sets=True).join(classes.select("print", "rep"), "print").where("doc_id = rep").dropDuplicates(["rep"]).select("rep", "set")
+        texts, marks = _of(docs, members.select(F.col("rep").alias("doc_id")).distinct())
+        sets = _per_text(texts, None, sets=True, marks=marks).join(classes.select("print", "rep"), "print").where("doc_id = rep").dropDuplicates(["rep"]).select("rep", "set")
         found = cut(_links(members, sets, percent))
         links = found if links is None else links.unionByName(found)
         dense = cut(dense)
         if dense.isEmpty() or level == len(LEVELS) - 1:
             break
-        texts = docs.join(dense.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi")
-        todo = cut(_per_text(texts, level + 1, sets=False).join(classes.select("print", "rep"), "print").where("doc_id = rep").dropDuplicates(["rep"]).select("rep", "n", "prefixes"))
+        texts, marks = _of(docs, dense.select(F.col("rep").alias("doc_id")))
+        todo = cut(_per_text(texts, level + 1, sets=False, marks=marks).join(classes.select("print", "rep"), "print").where("doc_id = rep").dropDuplicates(["rep"]).select("rep", "n", "prefixes"))
     tops = classes.select("print", "rep").join(components(links), F.col("rep") == F.col("node"), "left").select("print", F.coalesce("root", "rep").alias("_top"))
     own = light.select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("print")).alias("print"))
     placed = own.join(tops, "print", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("_top", "doc_id").alias("component_id"))
     return placed.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-@query("op9_lsh_forest")
+SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, CASE WHEN len(ws) < 5 THEN ws ELSE ws[i:i + 4] END AS sh FROM d, unnest(range(1, CASE WHEN len(ws) = 0 THEN 1 ELSE greatest(2, len(ws) - 3) END)) AS t(i)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+r AS (SELECT a AS doc_id, b AS to_id FROM e UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.to_id = e.a),
+m AS (SELECT doc_id, min(to_id) AS low FROM r GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, least(d.doc_id, coalesce(m.low, d.doc_id)) AS component_id, d.doc_id <= coalesce(m.low, d.doc_id) AS kept
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)
+"""
+
+
+@query("op9_lsh_forest", SQL)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
