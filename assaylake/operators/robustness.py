@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import random
 from collections.abc import Sequence
-from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,10 +24,20 @@ def specifications(choices: dict[str, list], limit: int = MAX_SPECS, seed: int =
     declared = {n: choices[n][0] for n in names}
     specs = [{**declared, "kind": "declared", "choice": None}]
     specs += [{**declared, n: o, "kind": "single", "choice": n} for n in names for o in choices[n][1:]]
-    rest = [dict(zip(names, p)) for p in product(*choices.values()) if sum(v != declared[n] for n, v in zip(names, p)) >= 2]
     rng = random.Random(seed)
-    rng.shuffle(rest)
-    specs += [{**r, "kind": "combined", "choice": None} for r in rest[: max(0, limit - len(specs))]]
+    total = math.prod(len(choices[n]) for n in names)
+    seen: set[int] = set()
+    while len(specs) < limit and len(seen) < total:
+        number = rng.randrange(total)  # a combination as a number in mixed base, drawn without listing them
+        if number in seen:
+            continue
+        seen.add(number)
+        drawn = {}
+        for n in names:
+            number, digit = divmod(number, len(choices[n]))
+            drawn[n] = choices[n][digit]
+        if sum(drawn[n] != declared[n] for n in names) >= 2:
+            specs.append({**drawn, "kind": "combined", "choice": None})
     return [{"spec_id": i, **s} for i, s in enumerate(specs)]
 
 

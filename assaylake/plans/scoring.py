@@ -245,7 +245,7 @@ def a9(t: Facts):
 
 @query("a10_bin_bootstrap", "dataset_id:s replicate_id:s variant:s score:d se:d se_bootstrap:d")
 def a10(t: Facts):
-    return bn.bin_bootstrap(bn.bin_average(bins(t)), samples=100)
+    return bn.bin_bootstrap(bn.bin_average(bins(t)), samples=200)
 
 
 @query("a11_bin_mle", "dataset_id:s replicate_id:s variant:s score:d se:d sigma:d state:s why:s")
