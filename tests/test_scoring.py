@@ -111,11 +111,37 @@ def test_moderated_combination_has_every_variant(spark):
     assert out["shift_variance"].iloc[0] == pytest.approx(np.var([0.0, 0.3, -0.2], ddof=1), rel=0.5)
 
 
-def test_normalise_large_path_agrees(spark):
+def test_normalise_reaches_a_minimum_for_every_dataset(spark):
     rng = np.random.default_rng(4)
     f = rng.normal(0, 1, (120, 1)) * np.array([1.0, 1.3, 0.8]) + np.array([0, 0.2, -0.1]) + rng.normal(0, 0.02, (120, 3))
-    df = spark.createDataFrame([("d", [float(x) for x in r]) for r in f], "dataset_id string, f array<double>")
-    a = dm.normalise(df, 3).first()
-    b = dm.normalise(df, 3, bound=10).first()
-    assert a["scale"] == pytest.approx(b["scale"], rel=1e-3)
-    assert a["scale"] == pytest.approx([1.0, 1 / 1.3, 1 / 0.8], rel=0.1)
+    rows = [(d, [float(x) for x in r]) for d in ("d", "it's") for r in f]
+    found = dm.normalise(spark.createDataFrame(rows, "dataset_id string, f array<double>"), 3).collect()
+    assert sorted(r["dataset_id"] for r in found) == ["d", "it's"]
+
+    def distance(a, b):
+        return np.sqrt(np.square((f + b) * a - (f + b).mean(1, keepdims=True)).sum(1)).sum()
+
+    for r in found:
+        assert r["scale"] == pytest.approx([1.0, 1 / 1.3, 1 / 0.8], rel=0.1)
+        shift = np.array(r["shift"])
+        size = min((distance(np.array(r["scale"]) * k, shift), k) for k in np.linspace(0.9, 1.1, 401))[1]
+        best = distance(np.array(r["scale"]) * size, shift)
+        for i in range(3):
+            for step in (-0.02, 0.02):
+                assert distance(np.array(r["scale"]) * size + step * np.eye(3)[i], shift) > best - 1e-6
+                assert distance(np.array(r["scale"]) * size, shift + step * np.eye(3)[i]) > best - 1e-6
+
+
+def test_own_variance_absent_uses_the_model(spark):
+    rows = [(f"v{i}", r, float(i % 5) + shift, 0.04) for i in range(12) for r, shift in (("1", 0.0), ("2", 1.0))]
+    df = spark.createDataFrame([("d", *r) for r in rows], "dataset_id string, variant string, replicate_id string, y double, v double")
+    with_own, without = (md.moderated_combination(df, ["dataset_id"], own_is_v=x).toPandas() for x in (True, False))
+    assert not without["fitted"].any()
+    assert (without["phi"] < with_own["phi"]).all()
+
+
+def test_weights_by_substitutions(spark):
+    names = [f"p.Ala{i}Val" for i in range(1, 31)] + [f"p.[Ala{i}Val;Gly{i + 1}Cys]" for i in range(1, 5)]
+    df = spark.createDataFrame([("d", n, 5.0, 5.0) for n in names], "dataset_id string, variant string, c0 double, ct double")
+    got = {r.variant: r.weight for r in dm.substitution_weights(df).collect()}
+    assert got[names[0]] == pytest.approx(np.sqrt(30)) and got[names[-1]] == pytest.approx(np.sqrt(np.sqrt(34)))
