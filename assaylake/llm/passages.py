@@ -346,10 +346,11 @@ def remove_rows(rows: pa.Table, spans: pa.Table) -> pa.Table:
     block = Block(rows)
     n = len(block.data)
     change = np.zeros(n + 1, np.int32)
-    for value, size in zip(spans["spans"].to_pylist(), spans["size"].to_pylist()):
-        index, start, end = np.frombuffer(pa.Codec(CODEC).decompress(value, size, asbytes=True), "<u4").reshape(3, -1).astype(np.int64)
-        change += np.bincount(block.at[index] + start, minlength=n + 1).astype(np.int32)
-        change -= np.bincount(block.at[index] + end, minlength=n + 1).astype(np.int32)
+    values = [np.frombuffer(pa.Codec(CODEC).decompress(v, size, asbytes=True), "<u4").reshape(3, -1) for v, size in zip(spans["spans"].to_pylist(), spans["size"].to_pylist())]
+    if values:
+        index, start, end = np.concatenate(values, axis=1).astype(np.int64)
+        np.add.at(change, block.at[index] + start, 1)
+        np.subtract.at(change, block.at[index] + end, 1)
     gone = np.cumsum(change[:n]) > 0
     edge = gone.copy()
     edge[1:] &= ~gone[:-1]
@@ -418,6 +419,20 @@ def texts(removed: DataFrame) -> DataFrame:
     return removed.select("doc_id", "other", "kept").mapInArrow(run, f"doc_id long, other {kind}, text string")
 
 
-@query("op8_prefix_doubling")
+SQL = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n FROM documents),
+w AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM d, unnest(range(0, n - 49)) AS t(i)),
+f AS (SELECT s, min(doc_id) AS low FROM w GROUP BY s HAVING min(doc_id) < max(doc_id)),
+g AS (SELECT w.doc_id, w.i, lag(w.i) OVER (PARTITION BY w.doc_id ORDER BY w.i) AS before FROM w JOIN f USING (s) WHERE f.low < w.doc_id),
+k AS (SELECT doc_id, i, sum(CASE WHEN before IS NULL OR i > before + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM g),
+runs AS (SELECT doc_id, run, min(i) AS a, max(i) + 50 AS z FROM k GROUP BY doc_id, run),
+cuts AS (SELECT doc_id, a, z, lag(z, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS from_z FROM runs),
+left_ AS (SELECT c.doc_id, count(*) AS n_spans, sum(z - a) AS n_removed, string_agg(substr(h, 2 * from_z + 1, 2 * (a - from_z)), '' ORDER BY a) || substr(any_value(h), 2 * max(z) + 1) AS kept FROM cuts c JOIN d USING (doc_id) GROUP BY c.doc_id)
+SELECT d.doc_id, d.n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN left_ USING (doc_id)
+"""
+
+
+@query("op8_prefix_doubling", SQL)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
