@@ -88,7 +88,8 @@ def test_packing_places_every_piece(spark):
 
 def test_layouts_hold_the_histogram():
     draw = np.random.default_rng(5)
-    for sizes in (draw.integers(1, 2049, 3000), np.full(50, 1025), np.repeat([1500, 548, 700], 40), [1]):
+    many = draw.integers(1, 2049, 3000)
+    for sizes, most in ((many, 1.02 * many.sum() / 2048 + 2), (np.full(50, 1025), 50), (np.repeat([1500, 548, 700], 40), 60), ([1], 1)):
         histogram = collections.Counter(int(x) for x in sizes)
         found = packing.layouts(histogram, rounds=60)
         held = collections.Counter()
@@ -97,8 +98,7 @@ def test_layouts_hold_the_histogram():
             for length, k in items:
                 held[length] += k * times
         assert held == histogram
-        bound = max(-(-sum(sizes) // 2048), sum(1 for x in sizes if x > 1024))
-        assert sum(n for _, n in found) <= bound * 1.02 + 2
+        assert sum(n for _, n in found) <= most
 
 
 def test_packing_of_an_empty_table(spark):
