@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from assaylake.functions.lineage import cut
 from assaylake.llm.common import SPACE, WORD, let, table
 from assaylake.llm.registry import query
 
@@ -48,12 +49,15 @@ def measures(text: Column) -> Column:
     t = F.coalesce(text, F.lit(""))
     words = F.filter(F.split(t, SPACE), lambda x: x != "")
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(WORD))
-    return F.struct(
-        F.regexp_count(t, F.lit(WORD)).cast("long").alias("n_words"),
-        F.length(F.regexp_replace(t, SPACE, "")).cast("long").alias("word_chars"),
-        (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-        _repeat_words(words).alias("n_repeat_words"),
+    return let(
+        words,
+        lambda w: F.struct(
+            F.size(w).cast("long").alias("n_words"),
+            F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
+            (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+            let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
+            _repeat_words(w).alias("n_repeat_words"),
+        ),
     )
 
 
@@ -80,18 +84,19 @@ def judge(docs: DataFrame, limit: int = LINE_LIMIT, left_percent: int = LEFT_PER
 
     base_failed: fewer than ten words, or over 20% of the words in repeated windows. kept: not
     base_failed, and of the words at least ten and ``left_percent`` in a hundred are left after shared lines are removed. A null
-    text has no words and fails; null sources are one host. Rows of equal id, source and text get equal results.
+    text has no words and fails; null sources are one host. Rows of equal id, source and text get equal results. Texts are read
+    once: measures and line hashes are written, and the steps across documents start from there.
     """
     host = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))
     keyed = docs.select("doc_id", host.alias("host"), F.xxhash64("text").alias("content"), "text")
     key = ["doc_id", "host", "content"]
-    rows = keyed.select(*key, _lines(F.col("text")).alias("lines"))
+    rows = cut(keyed.select(*key, _lines(F.col("text")).alias("lines"), measures(F.col("text")).alias("m")))
     shared = shared_lines(rows, limit)
     each = rows.select(*key, F.explode("lines").alias("line")).groupBy(*key, F.col("line.h").alias("h")).agg(F.sum("line.n").alias("n"), F.count("*").alias("_k"))
-    copies = keyed.groupBy(*key).agg(F.count("*").alias("_copies"))
+    copies = rows.groupBy(*key).agg(F.count("*").alias("_copies"))
     removed = each.join(shared, ["host", "h"]).where(~F.col("doc_id").eqNullSafe(F.col("first_id"))).groupBy(*key).agg(F.sum("n").alias("_removed"))
     removed = removed.join(copies, [removed[k].eqNullSafe(copies[k]) for k in key]).select(*[removed[k].alias(f"_{k}") for k in key], (F.col("_removed") / F.col("_copies")).cast("long").alias("removed_words"))
-    base = keyed.select(*key, measures(F.col("text")).alias("m")).select(*key, "m.*")
+    base = rows.select(*key, "m.*")
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > REPEATED_PERCENT * F.col("n_words"))
     left = F.col("n_words") - F.col("removed_words")
     return (
