@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from assaylake.functions.lineage import _shared_folder, cut
-from assaylake.llm.common import binary_of, longs, slices, table
+from assaylake.llm.common import binary_of, longs, slices, small_batches, table
 from assaylake.llm.registry import query
 from assaylake.llm.tokens import encoder
 
@@ -60,7 +60,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, spaces: str = "drop
             footer = np.array(keys, "<i8").tobytes() + np.array(sizes, "<u4").tobytes() + struct.pack("<Q", len(keys)) + MAGIC
             yield pa.RecordBatch.from_arrays([pa.array([footer], pa.binary())], ["row"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), "text")
+    rows = small_batches(docs).select(F.col("doc_id").cast("long"), "text")
     ranged = rows.repartitionByRange(shards, "doc_id") if shards else rows.repartitionByRange("doc_id")
     ordered = ranged.sortWithinPartitions("doc_id", F.xxhash64("text"))
     ordered.mapInArrow(run, "row binary").select(F.col("row").cast("string")).write.option("lineSep", separator.decode()).text(path)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assaylake.functions.lineage import _shared_folder, cut
-from assaylake.llm.common import table
+from assaylake.llm.common import small_batches, table
 from assaylake.llm.registry import query
 
 SEGMENT_BYTES = 16 << 10
@@ -105,7 +105,7 @@ def write_archives(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYT
                 out += records_of(row["page_id"], row["url"], row["html"].encode(), row["refers_to"], record, segment_bytes)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["row"])
 
-    rows = pages.select("page_id", "url", "html", "refers_to", F.monotonically_increasing_id().alias("_row"))
+    rows = small_batches(pages).select("page_id", "url", "html", "refers_to", F.monotonically_increasing_id().alias("_row"))
     rows.mapInArrow(run, "row binary").select(F.col("row").cast("string")).write.option("lineSep", END).option("compression", "gzip").text(path)
 
 
