@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from assaylake.functions.lineage import cut
-from assaylake.llm.common import binary_of, longs, slices, table
+from assaylake.llm.common import binary_of, longs, slices, small_batches, table
 from assaylake.llm.registry import query
 from assaylake.llm.tokens import encoder
 
@@ -28,8 +28,10 @@ STEP = 0.05
 STEP_BYTES = 1 << 20
 
 
-def cut_pieces(docs: DataFrame, path: str, spaces: str = "kept", end_id: int = END_ID, capacity: int = CAPACITY) -> DataFrame:
-    """doc_id, piece, start, length, ids (little-endian unsigned 32-bit): whole texts as pieces of at most ``capacity`` tokens.
+def cut_pieces(docs: DataFrame, path: str, spaces: str = "kept", end_id: int = END_ID, capacity: int = CAPACITY, ids: bool = True) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32 (unsigned) and ids (little-endian unsigned 32-bit): whole texts as pieces of at most ``capacity`` tokens.
+
+    Without ``ids`` they stay in the task that made them, and only their digest travels.
 
     A document is its ids and ``end_id``; a null text is the end id alone. A longer document's first piece
     takes the remainder, all others are full. Repeated rows are pieces of their own.
@@ -42,9 +44,9 @@ def cut_pieces(docs: DataFrame, path: str, spaces: str = "kept", end_id: int = E
             for part in slices(batch, "text", STEP_BYTES):
                 data, at = binary_of(part["text"])
                 raw = data.tobytes()
-                ids = [x + end for x in coder.encode([raw[a:b] for a, b in zip(at, at[1:])])]
+                texts = [x + end for x in coder.encode([raw[a:b] for a, b in zip(at, at[1:])])]
                 which, piece, start, length, payload = [], [], [], [], []
-                for i, x in enumerate(ids):
+                for i, x in enumerate(texts):
                     n = len(x) // 4
                     first = n if n <= capacity else (n - 1) % capacity + 1
                     begin, k = 0, 0
@@ -53,9 +55,12 @@ def cut_pieces(docs: DataFrame, path: str, spaces: str = "kept", end_id: int = E
                         which.append(i), piece.append(k), start.append(begin), length.append(size), payload.append(x[4 * begin : 4 * (begin + size)])
                         begin, k = begin + size, k + 1
                 doc = part["doc_id"].take(pa.array(which, pa.int64()))
-                yield pa.RecordBatch.from_arrays([doc.cast(pa.int64()), pa.array(piece, pa.int32()), longs(start), longs(length), pa.array(payload, pa.binary())], ["doc_id", "piece", "start", "length", "ids"])
+                columns = [doc.cast(pa.int64()), pa.array(piece, pa.int32()), longs(start), longs(length), longs([zlib.crc32(x) for x in payload])]
+                yield pa.RecordBatch.from_arrays(columns + ([pa.array(payload, pa.binary())] if ids else []), names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids binary")
+    names = ["doc_id", "piece", "start", "length", "ids_crc32"] + (["ids"] if ids else [])
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids binary" if ids else "")
+    return small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
 
 # ---- the program over the histogram -------------------------------------------------------------
@@ -174,7 +179,7 @@ def places(found: list[tuple[tuple[tuple[int, int], ...], int]]) -> list[tuple[i
     return rows
 
 
-def place(pieces: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS, per_bucket: int = 20_000) -> DataFrame:
+def place(pieces: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS, per_bucket: int = 5_000) -> DataFrame:
     """``pieces`` (doc_id, piece, length and any other columns) with sequence_id and offset.
 
     Pieces of a length are numbered in buckets of a hash of (doc_id, piece), so that a length most pieces
@@ -216,22 +221,11 @@ def place(pieces: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS, per
     return ranked.mapInArrow(run, f"{names}, sequence_id long, offset long")
 
 
-def digests(pieces: DataFrame) -> DataFrame:
-    """Pieces with the unsigned crc32 of their ids in place of the ids."""
-
-    def run(batches):
-        for batch in batches:
-            crc = longs([zlib.crc32(x) for x in batch["ids"].to_pylist()])
-            yield pa.RecordBatch.from_arrays([batch[n] for n in ("doc_id", "piece", "start", "length")] + [crc], ["doc_id", "piece", "start", "length", "ids_crc32"])
-
-    return pieces.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
-
-
 def packed(docs: DataFrame) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of whole documents with the byte vocabulary."""
     import public_tokenizers
 
-    return place(digests(cut_pieces(docs, public_tokenizers.path("byte_bpe_50k.json"))))
+    return place(cut_pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), ids=False))
 
 
 @query("op6_configuration_packing")
