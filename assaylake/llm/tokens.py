@@ -39,7 +39,7 @@ class Encoder:
     Two generations of at most ``remembered`` units each are kept, the older one is dropped when the newer one is full.
     """
 
-    def __init__(self, path: str, spaces: str, width: int, remembered: int = 250_000):
+    def __init__(self, path: str, spaces: str, width: int, remembered: int = 350_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
