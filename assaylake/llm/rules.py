@@ -61,13 +61,24 @@ def measures(text: Column) -> Column:
     )
 
 
+def _plain(text: Column) -> Column:
+    """The normalised lines of a text, blank ones too."""
+    return F.transform(F.split(F.lower(F.coalesce(text, F.lit(""))), "\n"), lambda x: F.trim(F.regexp_replace(x, SPACE, " ")))
+
+
 def _lines(text: Column) -> Column:
     """Distinct normalised lines of a text: hash h, words n of all its occurrences."""
-    plain = F.transform(F.split(F.lower(F.coalesce(text, F.lit(""))), "\n"), lambda x: F.trim(F.regexp_replace(x, SPACE, " ")))
-    kept = F.transform(F.filter(plain, lambda x: x != ""), lambda x: F.struct(F.xxhash64(x).alias("h"), (F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1).cast("long").alias("n")))
+    kept = F.transform(F.filter(_plain(text), lambda x: x != ""), lambda x: F.struct(F.xxhash64(x).alias("h"), (F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1).cast("long").alias("n")))
     return kept
 
 
+def _without(text: Column, gone: Column) -> Column:
+    """The text without the lines whose hashes are in ``gone``; the other lines, blank ones too, as they are."""
+    hashes = F.transform(_plain(text), lambda x: F.when(x != "", F.xxhash64(x)))
+    stays = lambda h: F.filter(F.split(text, "\n"), lambda x, i: F.get(h, i).isNull() | ~F.array_contains(gone, F.get(h, i)))
+    return F.array_join(let(hashes, stays), "\n")
+
+
 def shared_lines(rows: DataFrame, limit: int = LINE_LIMIT) -> DataFrame:
     """host, h, first_id: lines in more than ``limit`` different texts of a host.
 
@@ -79,23 +90,20 @@ def shared_lines(rows: DataFrame, limit: int = LINE_LIMIT) -> DataFrame:
     return texts.groupBy("host", "h").agg(F.count("*").alias("_texts"), F.min("doc_id").alias("first_id")).where(F.col("_texts") > limit).drop("_texts")
 
 
-def judge(docs: DataFrame, limit: int = LINE_LIMIT, left_percent: int = LEFT_PERCENT) -> DataFrame:
-    """A row per input row: doc_id, the measures, base_failed, removed_words (in shared lines) and kept.
+def _host() -> Column:
+    return F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))
 
-    base_failed: fewer than ten words, or over 20% of the words in repeated windows. kept: not
-    base_failed, and of the words at least ten and ``left_percent`` in a hundred are left after shared lines are removed. A null
-    text has no words and fails; null sources are one host. Rows of equal id, source and text get equal results. Texts are read
-    once: measures and line hashes are written, and the steps across documents start from there.
-    """
-    host = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))
-    keyed = docs.select("doc_id", host.alias("host"), F.xxhash64("text").alias("content"), "text")
+
+def _judged(docs: DataFrame, limit: int, left_percent: int) -> DataFrame:
+    """The columns of ``judge``, and gone: the hashes of the lines that are removed, null where there are none."""
+    keyed = docs.select("doc_id", _host().alias("host"), F.xxhash64("text").alias("content"), "text")
     key = ["doc_id", "host", "content"]
     rows = cut(keyed.select(*key, _lines(F.col("text")).alias("lines"), measures(F.col("text")).alias("m")))
     shared = shared_lines(rows, limit)
     each = rows.select(*key, F.explode("lines").alias("line")).groupBy(*key, F.col("line.h").alias("h")).agg(F.sum("line.n").alias("n"), F.count("*").alias("_k"))
     copies = rows.groupBy(*key).agg(F.count("*").alias("_copies"))
-    removed = each.join(shared, ["host", "h"]).where(~F.col("doc_id").eqNullSafe(F.col("first_id"))).groupBy(*key).agg(F.sum("n").alias("_removed"))
-    removed = removed.join(copies, [removed[k].eqNullSafe(copies[k]) for k in key]).select(*[removed[k].alias(f"_{k}") for k in key], (F.col("_removed") / F.col("_copies")).cast("long").alias("removed_words"))
+    removed = each.join(shared, ["host", "h"]).where(~F.col("doc_id").eqNullSafe(F.col("first_id"))).groupBy(*key).agg(F.sum("n").alias("_removed"), F.collect_list("h").alias("gone"))
+    removed = removed.join(copies, [removed[k].eqNullSafe(copies[k]) for k in key]).select(*[removed[k].alias(f"_{k}") for k in key], (F.col("_removed") / F.col("_copies")).cast("long").alias("removed_words"), "gone")
     base = rows.select(*key, "m.*")
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > REPEATED_PERCENT * F.col("n_words"))
     left = F.col("n_words") - F.col("removed_words")
@@ -104,10 +112,30 @@ def judge(docs: DataFrame, limit: int = LINE_LIMIT, left_percent: int = LEFT_PER
         .join(removed, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in key], "left")
         .withColumn("removed_words", F.coalesce("removed_words", F.lit(0).cast("long")))
         .withColumn("kept", ~F.col("base_failed") & (left >= LEAST_WORDS) & (100 * left >= left_percent * F.col("n_words")))
-        .select("doc_id", "host", "content", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "removed_words", "kept")
+        .select("doc_id", "host", "content", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "removed_words", "kept", "gone")
     )
 
 
+def judge(docs: DataFrame, limit: int = LINE_LIMIT, left_percent: int = LEFT_PERCENT) -> DataFrame:
+    """A row per input row: doc_id, the measures, base_failed, removed_words (in shared lines) and kept.
+
+    base_failed: fewer than ten words, or over 20% of the words in repeated windows. kept: not
+    base_failed, and of the words at least ten and ``left_percent`` in a hundred are left after shared lines are removed. A null
+    text has no words and fails; null sources are one host. Rows of equal id, source and text get equal results. Texts are read
+    once: measures and line hashes are written, and the steps across documents start from there.
+    """
+    return _judged(docs, limit, left_percent).drop("gone")
+
+
+def cleaned(docs: DataFrame, limit: int = LINE_LIMIT, left_percent: int = LEFT_PERCENT) -> DataFrame:
+    """The rows of ``docs`` that ``judge`` keeps, in the same columns, their texts without the lines it counts as removed."""
+    key = ["doc_id", "host", "content"]
+    kept = _judged(docs, limit, left_percent).where("kept").dropDuplicates(key).select(*[F.col(k).alias(f"_{k}") for k in key], F.col("gone").alias("_gone"))
+    same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (_host() == F.col("_host")) & (F.xxhash64("text") == F.col("_content"))
+    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(_without(F.col("text"), F.col("_gone")))
+    return docs.join(kept, same).withColumn("text", text).select(*docs.columns)
+
+
 SQL = r"""
 WITH d AS (SELECT doc_id, coalesce('=' || source, '') AS host, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 win AS (SELECT doc_id, i, ws[i:i + 4] AS g FROM d, unnest(range(1, len(ws) - 3)) AS t(i)),

@@ -13,11 +13,16 @@ from assaylake.functions.lineage import cut
 from assaylake.llm import mixing, neardup, packing, passages, rules
 
 
+def _counted(left: DataFrame, docs: DataFrame) -> DataFrame:
+    """``left`` in the columns of ``docs``, n_chars renewed."""
+    if "n_chars" in docs.columns:
+        left = left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return left.select(*docs.columns)
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules keep, whole and unchanged; repeated rows and rows without an id are judged like others."""
-    kept = rules.judge(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("content").alias("_content")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_content"))
-    return docs.join(kept, same, "left_semi")
+    """Documents that the rules keep, without the lines their host shares; n_chars follows. Repeated rows and rows without an id are judged like others."""
+    return _counted(rules.cleaned(docs), docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,10 +34,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that one of smaller id has; n_chars follows. A document of which nothing is left stays, empty."""
-    left = passages.texts(passages.remove_repeats(docs)).select("doc_id", "text", "other.*")
-    if "n_chars" in docs.columns:
-        left = left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return left.select(*docs.columns)
+    return _counted(passages.texts(passages.remove_repeats(docs)).select("doc_id", "text", "other.*"), docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

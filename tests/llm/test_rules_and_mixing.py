@@ -2,6 +2,7 @@ import collections
 
 import pytest
 
+import corpus_pipeline
 from assaylake.llm import mixing, rules
 from tests.llm.frames import SCHEMA, WORD, documents
 
@@ -40,6 +41,19 @@ def test_shared_lines_are_removed_and_depleted_documents_rejected(spark):
     assert got[100].removed_words == 0 and got[205].removed_words == 0
 
 
+def test_stage_emits_texts_without_shared_lines(spark):
+    """Short lines too, which the passage stage doesn't see; the first holder, other hosts and blank lines stay whole."""
+    line, long = "Licensed under the Apache License, Version 2.0.", "A long ΣΑΣ\tline that stands in every document of this host, in any case"
+    body = lambda i: f"twelve words of its own are in each of these documents number {i}\n\n  indented {'x' * i} "
+    rows = [(i, f"{line}\n{body(i)}\n{long.upper() if i % 2 else long}\n {line.lower()} \n", "h") for i in range(40)]
+    rows += [(40, rows[3][1], "other"), (3, rows[3][1], "other"), (7, rows[7][1], "h"), (None, rows[8][1], "h"), (41, f"{line}\ntoo few", "h")]
+    docs = spark.createDataFrame([(*r, len(r[1])) for r in rows], "doc_id long, text string, source string, n_chars int")
+    want = [(i, t if i == 0 or s == "other" else t.split("\n", 1)[1].rsplit("\n", 3)[0] + "\n", s) for i, t, s in rows if i != 41]
+    got = corpus_pipeline.quality_rules(spark, docs, "")
+    assert got.columns == docs.columns
+    assert collections.Counter(map(tuple, got.collect())) == collections.Counter((i, t, s, len(t)) for i, t, s in want)
+
+
 def test_rules_of_an_empty_table(spark):
     assert rules.judge(spark.createDataFrame([], SCHEMA)).count() == 0
 
