@@ -5,7 +5,8 @@ position and h further on. Names double inside a block of documents up to 16 byt
 every offset would move some thirty times the text, so from there on only anchors travel: of each window of the threshold's length, the position of
 the smallest name. Two equal windows choose the same anchor, so nothing is lost. A first shuffle by name drops what is unique to one document;
 a second brings together the anchors left, with the bytes around them, doubles their offset to the threshold in both directions and reranks: a window whose name has a smaller document
-is removed there.
+is removed there. Anchors of a name that more than MOST_CONTEXTS positions have (a passage of very many documents) double inside their block instead: the
+block sends each window name once, with its smallest document, and gets the smallest of all blocks back.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ CONTEXT = THRESHOLD + SIDE
 BLOCK_BYTES = 4 << 20
 BUCKET_BYTES = 24 << 20
 STEP_BYTES = 1 << 19
+MOST_CONTEXTS = 20_000
 TOP = U(0xFFFFFFFFFFFFFFFF)
 LETTER = mixed(np.arange(1, 257, dtype=U) * U(0x9E3779B97F4A7C15))
 CODEC = "zstd"
@@ -130,7 +132,10 @@ def _bucket_of(names: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def name_rows(rows: pa.Table, buckets: int) -> pa.Table:
-    """bucket, names, several: the distinct names of a block's anchors, and which of them two of its documents have."""
+    """bucket, names, more, counts: the distinct names of a block's anchors, which of them it has twice or more, and of these how often.
+
+    The lowest bit of a count says that two documents have the name; counts end at 32,767, above any limit.
+    """
     block = Block(rows)
     found, names = block.anchors()
     doc = block.ids[np.searchsorted(block.at, found, side="right") - 1]
@@ -141,34 +146,44 @@ def name_rows(rows: pa.Table, buckets: int) -> pa.Table:
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(names)) - 1
     several = doc[first] != doc[last] if len(first) else np.zeros(0, bool)
-    names = names[first]
-    out = [(k, _six(names[i]), np.packbits(several[i]).tobytes()) for k, i in _split(_bucket_of(names, buckets), buckets)]
-    columns = list(zip(*out)) or [(), (), ()]
-    return pa.Table.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.binary())], ["bucket", "names", "several"])
+    names, times = names[first], last - first + 1
+    out = []
+    for k, i in _split(_bucket_of(names, buckets), buckets):
+        more = times[i] > 1
+        j = i[more]
+        out.append((k, _six(names[i]), np.packbits(more).tobytes(), (np.minimum(times[j], 32767) * 2 + several[j]).astype("<u2").tobytes()))
+    columns = list(zip(*out)) or [(), (), (), ()]
+    return pa.Table.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], ["bucket", "names", "more", "counts"])
 
 
-def shared_rows(rows: pa.Table) -> pa.Table:
-    """b, names: of a bucket, the names of each block that another block, or two documents of it, have too."""
+def shared_rows(rows: pa.Table, most: int = MOST_CONTEXTS) -> pa.Table:
+    """b, names, hot: of a bucket, the names of each block that another block, or two documents of it, have too; which of them more than ``most`` positions have."""
     per = [_wide(x) for x in rows["names"].to_pylist()]
-    flags = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(p)).astype(bool) for x, p in zip(rows["several"].to_pylist(), per)]
     sizes = np.array([len(p) for p in per])
-    names, several = np.concatenate(per), np.concatenate(flags)
+    names = np.concatenate(per)
+    more = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=n).astype(bool) for x, n in zip(rows["more"].to_pylist(), sizes)])
+    counts = np.full(len(names), 2, np.int64)
+    counts[more] = np.frombuffer(b"".join(rows["counts"].to_pylist()), "<u2")
+    several, times = counts % 2 == 1, counts // 2
     order = np.argsort(names, kind="stable")
     ranked = names[order]
     new = np.ones(len(ranked), bool)
     new[1:] = ranked[1:] != ranked[:-1]
     group = np.cumsum(new) - 1
     counts = np.bincount(group) + np.bincount(group, several[order])
-    keep = np.zeros(len(names), bool)
+    keep, hot = np.zeros(len(names), bool), np.zeros(len(names), bool)
     keep[order] = counts[group] > 1
+    hot[order] = (np.bincount(group, times[order]) > most)[group]
     ends = np.cumsum(sizes)
-    b, out = [], []
+    b, out, hots = [], [], []
     for block, end, size in zip(rows["b"].to_pylist(), ends, sizes):
-        some = names[end - size : end][keep[end - size : end]]
+        here = slice(end - size, end)
+        some = names[here][keep[here]]
         if len(some):
             b.append(block)
             out.append(_six(some))
-    return pa.Table.from_arrays([pa.array(b, pa.int32()), pa.array(out, pa.binary())], ["b", "names"])
+            hots.append(np.packbits(hot[here][keep[here]]).tobytes())
+    return pa.Table.from_arrays([pa.array(b, pa.int32()), pa.array(out, pa.binary()), pa.array(hots, pa.binary())], ["b", "names", "hot"])
 
 
 # ---- contexts: reranking at the threshold -------------------------------------------------------
@@ -223,39 +238,102 @@ def repeated_in(name: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return later, number
 
 
+def contexts_at(block: Block, found: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of anchors of a block: their contexts, document's index, place, and the bytes of the document left and right of them, at most SIDE."""
+    index = np.searchsorted(block.at, found, side="right") - 1
+    place = found - block.at[index]
+    left = np.minimum(SIDE, place)
+    right = np.minimum(SIDE, block.at[index + 1] - found - GRAM)
+    room = np.concatenate([np.zeros(SIDE, np.uint8), block.data, np.zeros(SIDE, np.uint8)])
+    context = np.empty((len(found), CONTEXT), np.uint8)
+    column = np.arange(CONTEXT)
+    for a in range(0, len(found), 1 << 14):
+        s = slice(a, a + (1 << 14))
+        part = room[found[s, None] + column[None]]
+        part[(column[None] < (SIDE - left[s])[:, None]) | (column[None] >= (SIDE + GRAM + right[s])[:, None])] = 0
+        context[s] = part
+    return context, index, place, left, right
+
+
+def smallest(name: np.ndarray, doc: np.ndarray, several: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct names, their smallest documents, and whether two documents have them (or an entry says so)."""
+    order = np.lexsort((doc, name))
+    name, doc, several = name[order], doc[order], several[order]
+    first = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]])) if len(name) else np.zeros(0, np.int64)
+    last = np.append(first[1:], len(name)) - 1 if len(name) else first
+    both = (doc[first] != doc[last]) | (np.add.reduceat(several.astype(np.int64), first) > 0 if len(name) else np.zeros(0, bool))
+    return name[first], doc[first], both
+
+
+def window_rows(context: np.ndarray, left: np.ndarray, right: np.ndarray, doc: np.ndarray, buckets: int) -> list[tuple[int, int, bytes]]:
+    """bucket, kind 2, payload: each window name of these contexts once, with its smallest document and whether it has two."""
+    parts = []
+    for a in range(0, len(context), 1 << 14):
+        s = slice(a, a + (1 << 14))
+        pairs = [(w, doc[s][inside]) for _, inside, w in window_names(context[s], left[s], right[s], row_names(context[s, SIDE : SIDE + GRAM]))]
+        w, d = (np.concatenate(c) for c in zip(*pairs))
+        parts.append(smallest(w, d, np.zeros(len(w), bool)))
+    name, low, several = smallest(*(np.concatenate(c) for c in zip(*parts)))
+    out = []
+    for k, i in _split((name % U(buckets)).astype(np.int64), buckets):
+        i = i[np.argsort(low[i], kind="stable")]  # neighbours of one document compress
+        raw = name[i].astype("<u8").tobytes() + low[i].astype("<i8").tobytes() + several[i].astype("u1").tobytes()
+        out.append((k, 2, np.int64(len(raw)).tobytes() + pa.Codec(CODEC, 1).compress(raw, asbytes=True)))
+    return out
+
+
+def lows_of(parts: list[tuple[int, bytes]]) -> list[tuple[int, bytes]]:
+    """b, payload: for each block the names of its windows in which some document of it has a smaller one, and the smallest of all."""
+    names, lows, several, blocks = [], [], [], []
+    for b, payload in parts:
+        raw = pa.Codec(CODEC).decompress(payload[8:], int(np.frombuffer(payload[:8], np.int64)[0]), asbytes=True)
+        n = len(raw) // 17
+        names.append(np.frombuffer(raw, "<u8", n).astype(U))
+        lows.append(np.frombuffer(raw, "<i8", n, 8 * n).astype(np.int64))
+        several.append(np.frombuffer(raw, "u1", n, 16 * n) > 0)
+        blocks.append(np.full(n, b, np.int64))
+    name, low, some, block = (np.concatenate(c) for c in (names, lows, several, blocks))
+    all_names, all_lows, _ = smallest(name, low, some)
+    best = all_lows[np.searchsorted(all_names, name)]
+    told = np.flatnonzero(some | (best < low))
+    told = told[np.argsort(block[told], kind="stable")]
+    out = []
+    for b in np.unique(block[told]):
+        i = told[slice(*np.searchsorted(block[told], [b, b + 1]))]
+        out.append((int(b), name[i].astype("<u8").tobytes() + best[i].astype("<i8").tobytes()))
+    return out
+
+
 def context_rows(rows: pa.Table, shared: pa.Table, buckets: int, names_buckets: int) -> pa.Table:
-    """bucket, kind, payload: contexts of a block's shared anchors by bucket, and spans already settled inside the block.
+    """bucket, kind, payload: contexts of a block's shared anchors by bucket (kind 0), and spans already settled inside the block (1).
 
-    A context that a smaller document of the block has is a repeat as a whole; it needs no more company.
+    A context that a smaller document of the block has is a repeat as a whole; it needs no more company. Anchors of hot names
+    send their windows (2) in place of contexts, and the names themselves (3), which come back to the block.
     """
     block = Block(rows)
     wanted = [_wide(x) | (U(k) << U(48)) for k, x in zip(shared["bucket"].to_pylist(), shared["names"].to_pylist())]
+    flags = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(w)).astype(bool) for x, w in zip(shared["hot"].to_pylist(), wanted)]
     found, names = block.anchors()
     out = []
     if wanted and len(found):
-        known = np.unique(np.concatenate(wanted))
+        known, at = np.unique(np.concatenate(wanted), return_index=True)
+        hot = np.concatenate(flags)[at]
         key = (names & LOW48) | (_bucket_of(names, names_buckets).astype(U) << U(48))
-        some = known[np.minimum(np.searchsorted(known, key), len(known) - 1)] == key
-        found, names = found[some], names[some]
-        index = np.searchsorted(block.at, found, side="right") - 1
-        place = found - block.at[index]
-        left = np.minimum(SIDE, place)
-        right = np.minimum(SIDE, block.at[index + 1] - found - GRAM)
-        room = np.concatenate([np.zeros(SIDE, np.uint8), block.data, np.zeros(SIDE, np.uint8)])
-        context = np.empty((len(found), CONTEXT), np.uint8)
-        column = np.arange(CONTEXT)
-        for a in range(0, len(found), 1 << 14):
-            s = slice(a, a + (1 << 14))
-            part = room[found[s, None] + column[None]]
-            part[(column[None] < (SIDE - left[s])[:, None]) | (column[None] >= (SIDE + GRAM + right[s])[:, None])] = 0
-            context[s] = part
+        nearest = np.minimum(np.searchsorted(known, key), len(known) - 1)
+        some = known[nearest] == key
+        found, names, hot = found[some], names[some], hot[nearest[some]]
+        context, index, place, left, right = contexts_at(block, found)
         doc = block.ids[index]
         whole = mixed(row_names(context) + (left * 64 + right).astype(U))
         later, _ = repeated_in(whole, doc)
         if later.any():
             full = later & (left + right >= SIDE)
             out.append((int(rows["b"][0].as_py()) % buckets, 1, _pack_spans(index[full], (place - left)[full], (place + GRAM + right)[full])))
-        go = np.flatnonzero(~later)
+        if hot.any():
+            i = np.flatnonzero(hot & ~later)
+            out += window_rows(context[i], left[i], right[i], doc[i], buckets)
+            out.append((int(rows["b"][0].as_py()) % buckets, 3, np.unique(names[hot]).astype("<u8").tobytes()))
+        go = np.flatnonzero(~later & ~hot)
         for k, i in _split((names[go] % U(buckets)).astype(np.int64), buckets):
             j = go[i]
             out.append((k, 0, packed(context[j], doc=doc[j], index=index[j], place=place[j], left=left[j], right=right[j])))
@@ -263,29 +341,39 @@ def context_rows(rows: pa.Table, shared: pa.Table, buckets: int, names_buckets:
     return pa.Table.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.binary())], ["bucket", "kind", "payload"])
 
 
-def window_repeats(context: np.ndarray, left: np.ndarray, right: np.ndarray, doc: np.ndarray, name: np.ndarray) -> np.ndarray:
-    """entries × (SIDE + 1): whether the window that begins o bytes before the anchor has a smaller document."""
+def window_names(context: np.ndarray, left: np.ndarray, right: np.ndarray, name: np.ndarray):
+    """For o from 0 to SIDE: o, the entries that hold the window that begins o bytes before the anchor, and its names."""
     m = len(context)
     lefts, rights = np.empty((SIDE + 1, m), U), np.empty((SIDE + 1, m), U)
     lefts[0], rights[0] = name, name * U(3)
     for o in range(1, SIDE + 1):
         lefts[o] = doubled(lefts[o - 1], LETTER[context[:, SIDE - o]])
         rights[o] = doubled(rights[o - 1], LETTER[context[:, SIDE + GRAM + o - 1]])
-    out = np.zeros((m, SIDE + 1), bool)
     for o in range(SIDE + 1):
         inside = np.flatnonzero((left >= o) & (right >= SIDE - o))
+        yield o, inside, mixed(doubled(lefts[o][inside], rights[SIDE - o][inside]))
+
+
+def window_repeats(context: np.ndarray, left: np.ndarray, right: np.ndarray, doc: np.ndarray, name: np.ndarray) -> np.ndarray:
+    """entries × (SIDE + 1): whether the window that begins o bytes before the anchor has a smaller document."""
+    out = np.zeros((len(context), SIDE + 1), bool)
+    for o, inside, window in window_names(context, left, right, name):
         if len(inside):
-            out[inside, o] = repeated_in(mixed(doubled(lefts[o][inside], rights[SIDE - o][inside])), doc[inside])[0]
+            out[inside, o] = repeated_in(window, doc[inside])[0]
     return out
 
 
 def span_rows(rows: pa.Table) -> pa.Table:
-    """b, spans: repeated spans (document's number in its block, start, end) of a bucket's contexts."""
+    """b, spans, size, kind: repeated spans (document's number in its block, start, end) of a bucket's contexts (kind 0); of hot names the smallest documents of windows (2) and the names (3)."""
     per: dict[int, list[bytes]] = {}
-    parts, blocks = [], []
+    parts, blocks, windows, told = [], [], [], []
     for b, kind, payload in zip(rows["b"].to_pylist(), rows["kind"].to_pylist(), rows["payload"].to_pylist()):
         if kind == 1:
             per.setdefault(b, []).append(payload)
+        elif kind == 2:
+            windows.append((b, payload))
+        elif kind == 3:
+            told.append((b, 3, payload))
         else:
             parts.append(unpacked(payload))
             blocks.append(np.full(len(parts[-1][0]), b, np.int64))
@@ -327,9 +415,29 @@ def span_rows(rows: pa.Table) -> pa.Table:
         for x in np.unique(where):
             s = slice(*np.searchsorted(where, [x, x + 1]))
             per.setdefault(int(x), []).append(_pack_spans(index[s], start[s], end[s]))
-    b = [k for k, v in per.items() for _ in v]
-    spans = [pa.Codec(CODEC, 1).compress(x, asbytes=True) for v in per.values() for x in v]
-    return pa.Table.from_arrays([pa.array(b, pa.int32()), pa.array(spans, pa.binary()), longs([len(x) for v in per.values() for x in v])], ["b", "spans", "size"])
+    if windows:
+        told += [(b, 2, x) for b, x in lows_of(windows)]
+    told += [(b, 0, x) for b, v in per.items() for x in v]
+    b, kinds, values = zip(*told) if told else ((), (), ())
+    spans = [pa.Codec(CODEC, 1).compress(x, asbytes=True) for x in values]
+    return pa.Table.from_arrays([pa.array(b, pa.int32()), pa.array(spans, pa.binary()), longs([len(x) for x in values]), pa.array(kinds, pa.int32())], ["b", "spans", "size", "kind"])
+
+
+def mark_hot(block: Block, change: np.ndarray, hot: np.ndarray, name: np.ndarray, low: np.ndarray) -> None:
+    """Adds to ``change`` the windows around anchors of ``hot`` names whose smallest document, by ``name`` and ``low``, is smaller than their own."""
+    found, names = block.anchors()
+    found = found[np.isin(names, hot)]
+    order = np.argsort(name, kind="stable")
+    name, low = name[order], low[order]
+    for a in range(0, len(found), 1 << 14):
+        at = found[a : a + (1 << 14)]
+        context, index, _, left, right = contexts_at(block, at)
+        doc = block.ids[index]
+        for o, inside, window in window_names(context, left, right, row_names(context[:, SIDE : SIDE + GRAM])):
+            near = np.minimum(np.searchsorted(name, window), len(name) - 1)
+            begin = at[inside[(name[near] == window) & (low[near] < doc[inside])]] - o
+            np.add.at(change, begin, 1)
+            np.subtract.at(change, begin + THRESHOLD, 1)
 
 
 def _nullable(column: pa.Array) -> pa.Array:
@@ -346,11 +454,16 @@ def remove_rows(rows: pa.Table, spans: pa.Table) -> pa.Table:
     block = Block(rows)
     n = len(block.data)
     change = np.zeros(n + 1, np.int32)
-    values = [np.frombuffer(pa.Codec(CODEC).decompress(v, size, asbytes=True), "<u4").reshape(3, -1) for v, size in zip(spans["spans"].to_pylist(), spans["size"].to_pylist())]
-    if values:
-        index, start, end = np.concatenate(values, axis=1).astype(np.int64)
+    values: dict[int, list[bytes]] = {0: [], 2: [], 3: []}
+    for v, size, kind in zip(spans["spans"].to_pylist(), spans["size"].to_pylist(), spans["kind"].to_pylist()):
+        values[kind].append(pa.Codec(CODEC).decompress(v, size, asbytes=True))
+    if values[0]:
+        index, start, end = np.concatenate([np.frombuffer(v, "<u4").reshape(3, -1) for v in values[0]], axis=1).astype(np.int64)
         np.add.at(change, block.at[index] + start, 1)
         np.subtract.at(change, block.at[index] + end, 1)
+    if values[2] and values[3]:
+        name, low = np.concatenate([np.frombuffer(v, "<u8").reshape(2, -1) for v in values[2]], axis=1)
+        mark_hot(block, change, np.frombuffer(values[3][0], "<u8").astype(U), name.astype(U), low.astype(np.int64))
     gone = np.cumsum(change[:n]) > 0
     edge = gone.copy()
     edge[1:] &= ~gone[:-1]
@@ -368,7 +481,7 @@ def remove_rows(rows: pa.Table, spans: pa.Table) -> pa.Table:
 # ---- the plan -----------------------------------------------------------------------------------
 
 
-def remove_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES, most_contexts: int = MOST_CONTEXTS) -> DataFrame:
     """doc_id, other (a struct of the other columns), n_bytes, n_removed, n_spans, kept: per input row, the bytes that stay.
 
     A byte goes when a string of THRESHOLD bytes that covers it also begins in a document of smaller id; strings are
@@ -386,20 +499,20 @@ def remove_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_bytes
 
     def first(key, t):
         out = name_rows(t, buckets)
-        return out.append_column("b", pa.array([key[0].as_py()] * out.num_rows, pa.int32())).select(["b", "bucket", "names", "several"])
+        return out.append_column("b", pa.array([key[0].as_py()] * out.num_rows, pa.int32())).select(["b", "bucket", "names", "more", "counts"])
 
     def second(key, t):
-        out = shared_rows(t)
-        return out.append_column("bucket", pa.array([key[0].as_py()] * out.num_rows, pa.int32())).select(["b", "bucket", "names"])
+        out = shared_rows(t, most_contexts)
+        return out.append_column("bucket", pa.array([key[0].as_py()] * out.num_rows, pa.int32())).select(["b", "bucket", "names", "hot"])
 
     def third(key, t, s):
         out = context_rows(t, s, buckets, buckets) if t.num_rows else context_rows(t.slice(0, 0), s.slice(0, 0), 1, 1)
         return out.append_column("b", pa.array([key[0].as_py()] * out.num_rows, pa.int32())).select(["b", "bucket", "kind", "payload"])
 
-    names = by_block.applyInArrow(first, "b int, bucket int, names binary, several binary")
-    shared = names.groupBy("bucket").applyInArrow(second, "b int, bucket int, names binary")
+    names = by_block.applyInArrow(first, "b int, bucket int, names binary, more binary, counts binary")
+    shared = names.groupBy("bucket").applyInArrow(second, "b int, bucket int, names binary, hot binary")
     contexts = by_block.cogroup(shared.groupBy("b")).applyInArrow(third, "b int, bucket int, kind int, payload binary")
-    spans = contexts.groupBy("bucket").applyInArrow(span_rows, "b int, spans binary, size long")
+    spans = contexts.groupBy("bucket").applyInArrow(span_rows, "b int, spans binary, size long, kind int")
     result = f"doc_id long, other {kind}, n_bytes long, n_removed long, n_spans long, kept binary"
     whole = by_block.cogroup(spans.groupBy("b")).applyInArrow(remove_rows, result)
     zero = F.lit(0).cast("long")

@@ -1,7 +1,10 @@
+import collections
 import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 from assaylake.llm import neardup, passages
@@ -95,6 +98,30 @@ def test_passages_equal_brute_force(spark, sizes):
     assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got) == sorted(brute(rows))
 
 
+def test_passages_with_hot_names_equal_brute_force(spark):
+    rows = passages_rows() + [(300 + i, f"{i} {PASSAGE[:60]} {'z' * (i % 70)}") for i in range(60)] + [(300, PASSAGE), (None, PASSAGE)]
+    for most in (0, 5, 40):
+        got = passages.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), block_bytes=800, bucket_bytes=1500, most_contexts=most).collect()
+        order = lambda r: (r[0] is None, r[0] or 0, r[1:])
+        assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got), key=order) == sorted(brute(rows), key=order)
+
+
+def test_a_hot_passage_costs_a_row_per_block():
+    """A footer of 1,200 documents, each after a text of its own: no task gets its contexts."""
+    draw = random.Random(3)
+    rows = [(i, "".join(draw.choice("abcdefgh ") for _ in range(60)) + PASSAGE[:60]) for i in range(1200)]
+    blocks = [pa.table({"doc_id": [i for i, _ in part], "text": [t for _, t in part], "b": pa.array([b] * len(part), pa.int32())}) for b, part in enumerate(rows[k::4] for k in range(4))]
+    own = lambda t, b: t.append_column("b", pa.array([b] * t.num_rows, pa.int32()))
+    shared = passages.shared_rows(pa.concat_tables([own(passages.name_rows(t, 1), b) for b, t in enumerate(blocks)]), 100)
+    shared = shared.append_column("bucket", pa.array([0] * shared.num_rows, pa.int32()))
+    sent = pa.concat_tables([own(passages.context_rows(t, shared.filter(pc.equal(shared["b"], b)), 1, 1), b) for b, t in enumerate(blocks)])
+    cores = [passages.unpacked(p)[0][:, passages.SIDE : passages.SIDE + passages.GRAM] for k, p in zip(sent["kind"].to_pylist(), sent["payload"].to_pylist()) if k == 0]
+    assert all(n <= 100 for n in collections.Counter(bytes(x) for c in cores for x in c).values())
+    spans = passages.span_rows(sent)
+    kept = pa.concat_tables([passages.remove_rows(t, spans.filter(pc.equal(spans["b"], b))) for b, t in enumerate(blocks)]).to_pylist()
+    assert sorted((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept"]) for r in kept) == sorted(brute(rows))
+
+
 def test_passages_of_hard_rows(spark):
     rows = documents()
     df = spark.createDataFrame(rows, SCHEMA)
