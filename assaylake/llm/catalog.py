@@ -4,7 +4,7 @@ import importlib
 
 from assaylake.llm.registry import ORACLES, QUERIES
 
-MODULES = ["mixing", "neardup", "packing", "passages", "quality", "rules", "search", "token_files", "toxicity", "warc"]
+MODULES = ["mixing", "neardup", "packing", "passages", "phrases", "prefix_hashes", "prefix_trie", "quality", "rules", "search", "token_files", "toxicity", "warc"]
 
 for _module in MODULES:
     importlib.import_module(f"assaylake.llm.{_module}")
