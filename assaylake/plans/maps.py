@@ -164,15 +164,14 @@ SHARED_SQL.update(
 )
 
 
-def msa(t: Facts):
+def alignments(t: Facts):
     letters = F.upper(F.regexp_replace("text", "[^A-Za-z]", "-"))
-    rows = spread(t.table("documents").select("lang", "doc_id", "text")).select(F.col("lang").alias("aln_id"), F.col("doc_id").alias("seq_no"), F.posexplode(F.split(letters, "")).alias("i", "residue"))
-    return rows.where(F.instr(F.lit(_LETTERS), F.col("residue")) > 0).where("residue <> ''").select("aln_id", "seq_no", (F.col("i") + 1).alias("col"), "residue")
+    return spread(t.table("documents").select("lang", "doc_id", "text")).select(F.col("lang").alias("aln_id"), F.col("doc_id").alias("seq_no"), letters.alias("residues"))
 
 
 def columns(t: Facts):
-    m = cut(msa(t))
-    return cons.column_freq(m, cut(cons.henikoff(m)), cutoff=0.5)
+    counts = cut(cons.column_counts(alignments(t)))
+    return cons.column_freq(alignments(t), counts, cut(cons.henikoff(alignments(t), counts)), cutoff=0.5)
 
 
 def smoothed(t: Facts):
@@ -181,7 +180,7 @@ def smoothed(t: Facts):
 
 @query("v1_henikoff", "aln_id:s seq_no:i weight:d", "SELECT * FROM seq_weights")
 def v1(t: Facts):
-    return cons.henikoff(msa(t))
+    return cons.henikoff(alignments(t), cut(cons.column_counts(alignments(t))))
 
 
 @query("v2_column_freq", "aln_id:s col:i residues:d gap_share:d scored:b", "SELECT aln_id, col, residues, gap_share, gap_share <= 0.5 AS scored FROM cols")
