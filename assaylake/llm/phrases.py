@@ -30,7 +30,7 @@ INSIDE_PERCENT = 50
 BLOCK_BYTES = 4 << 20
 MOST_SUMS = 1 << 20
 #: Phrases of one trie; bits of a bitmap for each entry, and at most.
-MOST_PHRASES = 1 << 20
+MOST_PHRASES = 1 << 19
 BITS_EACH, MOST_BITS = 16, 28
 NO_LANG = "und"
 
@@ -170,59 +170,59 @@ class Trie:
     def __init__(self, phrases: np.ndarray, lengths: np.ndarray, n_words: int):
         """``phrases``: a row of word numbers for each, the first ``lengths`` of them used; ``states`` follow its rows."""
         self.digits = max(1, (max(n_words - 1, 1).bit_length() + 7) // 8)
-        shifts = np.arange(self.digits - 1, -1, -1) * 8
-        rows = ((phrases[:, :, None] >> shifts) & 255).reshape(len(phrases), -1)
+        shifts = np.arange(self.digits - 1, -1, -1, dtype=phrases.dtype) * 8
+        rows = ((phrases[:, :, None] >> shifts) & 255).astype(np.uint8).reshape(len(phrases), -1)
         depth = lengths * self.digits
-        node = np.zeros(len(rows), np.int64)
+        node = np.zeros(len(rows), np.int32)
         parents, labels, n = [], [], 1
         for level in range(rows.shape[1]):
             at = np.flatnonzero(depth > level)
-            edges, back = np.unique(node[at] * 256 + rows[at, level], return_inverse=True)
+            edges, back = np.unique(node[at].astype(np.int64) << 8 | rows[at, level], return_inverse=True)
             node[at] = n + back
-            parents.append(edges >> 8)
-            labels.append(edges & 255)
+            parents.append((edges >> 8).astype(np.int32))
+            labels.append((edges & 255).astype(np.uint8))
             n += len(edges)
-        parent, label = (np.concatenate([[0], *x]).astype(np.int64) for x in (parents, labels))
-        cell = self._place(parent, label, n)
-        self.states = cell[node]
+        del rows
+        self.states = self._place(np.concatenate([np.zeros(1, np.int32), *parents]), np.concatenate([np.zeros(1, np.uint8), *labels]), n)[node]
 
     def _place(self, parent: np.ndarray, label: np.ndarray, n: int) -> np.ndarray:
         """Cells of all nodes. Nodes with many children get windows of their own, those with few fall into the free cells at random, many at a time."""
-        order = np.argsort(parent[1:], kind="stable") + 1
-        kids = np.bincount(parent[1:], minlength=n) if n > 1 else np.zeros(n, np.int64)
-        begin = np.concatenate([[0], np.cumsum(kids)])[:-1]
+        kids = np.bincount(parent[1:], minlength=n).astype(np.int32)
+        # Nodes of a level are numbered in the order of their parents, so children of a node stand together.
+        begin = np.concatenate([np.ones(1, np.int32), np.cumsum(kids, dtype=np.int32)[:-1] + 1])
         wide = np.flatnonzero(kids > 16)
-        size = 1 + max((len(wide) + 1) * 256, 2 * n + 512)
-        free = np.ones(size, bool)
+        free = np.ones(1 + max((len(wide) + 1) * 256, 2 * n + 512), bool)
         free[0] = False
-        base = np.zeros(n, np.int64)
-        cell = np.zeros(n, np.int64)
+        base = np.zeros(n, np.int32)
+        cell = np.zeros(n, np.int32)
 
         def settle(nodes, bases):
             base[nodes] = bases
-            kid = order[_ranges(begin[nodes], kids[nodes])]
+            kid = _ranges(begin[nodes], kids[nodes])
             cell[kid] = base[parent[kid]] + label[kid]
             free[cell[kid]] = False
 
         settle(wide, 1 + np.arange(len(wide)) * 256)
         draw = np.random.default_rng(n)
         for k in range(16, 0, -1):
-            left = np.flatnonzero(kids == k)
-            tries = 0
+            left, tries = np.flatnonzero(kids == k), 0
             while len(left):
                 if tries > 60:  # the holes are too small for so many children: room is added
                     free = np.concatenate([free, np.ones(len(left) * 32 + 256, bool)])
                     tries = 0
                 tries += 1
-                low = draw.integers(1, len(free) - 256, len(left))
-                cells = low[:, None] + label[order[begin[left][:, None] + np.arange(k)]]
-                fits = np.flatnonzero(free[cells].all(axis=1))
-                claimed, first = np.unique(cells[fits].ravel(), return_index=True)
-                own = np.bincount(first // k, minlength=len(fits)) == k
-                settle(left[fits[own]], low[fits[own]])
-                rest = np.ones(len(left), bool)
-                rest[fits[own]] = False
-                left = left[rest]
+                rest = []
+                for some in np.array_split(left, len(left) // (1 << 18) + 1):
+                    low = draw.integers(1, len(free) - 256, len(some), dtype=np.int32)
+                    cells = low[:, None] + label[begin[some][:, None] + np.arange(k, dtype=np.int32)]
+                    fits = np.flatnonzero(free[cells].all(axis=1))
+                    first = np.unique(cells[fits].ravel(), return_index=True)[1]
+                    own = np.bincount(first // k, minlength=len(fits)) == k
+                    settle(some[fits[own]], low[fits[own]])
+                    others = np.ones(len(some), bool)
+                    others[fits[own]] = False
+                    rest.append(some[others])
+                left = np.concatenate(rest)
         self.base = np.zeros(len(free), np.int32)
         self.check = np.full(len(free), -1, np.int32)
         self.base[cell] = base
@@ -245,7 +245,7 @@ class Trie:
 def _ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
     """start, start + 1, … for n numbers each, one after the other."""
     ends = np.cumsum(n)
-    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - n), n)
+    return np.arange(ends[-1] if len(ends) else 0, dtype=np.int32) + np.repeat((start - (ends - n)).astype(np.int32), n)
 
 
 def _counted_by(docs: DataFrame, phrases: pa.Table) -> DataFrame:
@@ -255,7 +255,7 @@ def _counted_by(docs: DataFrame, phrases: pa.Table) -> DataFrame:
     third = phrases["h3"].is_valid().to_numpy(zero_copy_only=False)
     h = np.stack([*h, phrases["h3"].fill_null(0).to_numpy(zero_copy_only=False)], axis=1).view(U)
     known = np.unique(np.concatenate([h[:, :2].ravel(), h[third, 2]]))
-    trie = Trie(np.searchsorted(known, h) % max(len(known), 1), 2 + third.astype(np.int64), len(known))
+    trie = Trie((np.searchsorted(known, h) % max(len(known), 1)).astype(np.int32), 2 + third, len(known))
     told = spark.sparkContext.broadcast((known, trie.digits, trie.base, trie.check))
 
     def count(batches):
@@ -309,7 +309,7 @@ def collocations(docs: DataFrame, least: int = LEAST, inside_percent: int = INSI
     counted = cut(words(docs))
     totals = counted.groupBy("lang").agg(F.sum("f").alias("n"))
     frequent = cut(counted.where(F.col("f") >= least).select("lang", "hash", "word", "f"))
-    phrases = cut(phrase_counts(docs, candidates(docs, frequent, least)).where(F.col("a") >= least))
+    phrases = cut(phrase_counts(docs, cut(candidates(docs, frequent, least))).where(F.col("a") >= least))
     word = lambda i: frequent.select(F.col("hash").alias(f"h{i}"), F.col("word").alias(f"w{i}"), F.col("f").alias(f"f{i}"))
     pairs = phrases.where("h3 is null").select("h1", "h2", "a")
     triples = phrases.where("h3 is not null")
