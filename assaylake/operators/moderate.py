@@ -86,7 +86,7 @@ def fit_error_model(arrays: DataFrame, by: Sequence[str], bound: int = 200_000)
     by = list(by)
     pairs = cut(difference_pairs(arrays, by))
     sizes = pairs.groupBy(*by).agg(F.count(F.lit(1)).alias("pairs"))
-    schema = ", ".join(f"{k} string" for k in by) + ", a double, b double, fitted boolean"
+    schema = ", ".join(f"{k} {pairs.schema[k].dataType.simpleString()}" for k in by) + ", a double, b double, fitted boolean"
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b, ok = _fit_group(pdf)

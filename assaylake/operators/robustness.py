@@ -6,12 +6,18 @@ import math
 import random
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assaylake.functions.expressions import MAD_TO_SD, Z95
+from assaylake.functions.lineage import cut
 from assaylake.functions.order import median, value_steps
 from assaylake.operators.agreement import spearman_ci
+from assaylake.operators.combine import reml_batch
+from assaylake.operators.moderate import moderated_combination
 
 KEYS = ("dataset_id", "variant")
 MAX_SPECS, SEED = 48, 20261016
@@ -41,48 +47,153 @@ def specifications(choices: dict[str, list], limit: int = MAX_SPECS, seed: int =
     return [{"spec_id": i, **s} for i, s in enumerate(specs)]
 
 
-# The type of each option of a specification.
-SPEC_TYPES = {"spec_id": "int", "kind": "string", "choice": "string", "pseudocount": "double", "normalization": "string", "combination": "string", "min_input": "double", "leave_out": "string"}
+# The type of each option of a specification. Combinations are fixed, mean, reml and moderated.
+SPEC_TYPES = {"spec_id": "int", "kind": "string", "choice": "string", "pseudocount": "double", "normalization": "string", "combination": "string", "min_input": "double", "leave_out": "string", "min_replicates": "int"}
+LIBRARY = ("complete0", "complete1", "full0", "full1", "wt0", "wt1")
+#: Reads before or after selection below which a measurement does not inform the error model.
+INFORMATIVE = 5
 
 
-def spec_array(specs: Sequence[dict]) -> Column:
-    """The specifications as a literal array, so that counts are expanded by them without a join."""
-    return F.array(*[F.struct(*[F.lit(s.get(c)).cast(t).alias("spec_kind" if c == "kind" else c) for c, t in SPEC_TYPES.items()]) for s in specs])
+def _centring(specs: Sequence[dict]) -> list[tuple[float, float]]:
+    """What a synonymous median depends on: pseudocount and least input."""
+    return sorted({(float(s["pseudocount"]), float(s["min_input"])) for s in specs if s["normalization"] == "synonymous"})
+
+
+def _libraries(pairs: DataFrame, specs: Sequence[dict]) -> DataFrame:
+    """A row per dataset: of each replicate, what its counts are relative to, and its synonymous medians, in the order of :func:`_centring`.
+
+    Only synonymous rows are expanded, once for each pseudocount and least input.
+    """
+    both = F.col("c0").isNotNull() & F.col("ct").isNotNull()
+    wt = F.col("kind") == "wild type"
+    sums = pairs.groupBy("dataset_id", "replicate_id").agg(
+        F.sum(F.when(both, F.col("c0"))).cast("double").alias("complete0"), F.sum(F.when(both, F.col("ct"))).cast("double").alias("complete1"), F.sum("c0").cast("double").alias("full0"), F.sum("ct").cast("double").alias("full1"),
+        F.max(F.when(wt, F.col("c0"))).cast("double").alias("wt0"), F.max(F.when(wt, F.col("ct"))).cast("double").alias("wt1"),
+    )
+    centring = _centring(specs)
+    if centring:
+        options = F.array(*[F.struct(F.lit(i).alias("_i"), F.lit(p).alias("_p"), F.lit(m).alias("_m")) for i, (p, m) in enumerate(centring)])
+        rows = pairs.where(both & (F.col("kind") == "synonymous")).withColumn("_o", F.explode(options)).select("*", "_o.*").where(F.col("c0") >= F.col("_m"))
+        rows = rows.withColumn("_y", F.log(F.col("ct") + F.col("_p")) - F.log(F.col("c0") + F.col("_p")))
+        centre = median(rows, ["dataset_id", "replicate_id", "_i"], "_y", "_c").groupBy("dataset_id", "replicate_id").agg(
+            F.array(*[F.coalesce(F.max(F.when(F.col("_i") == i, F.col("_c"))), F.lit(0.0)) for i in range(len(centring))]).alias("centres")
+        )
+        sums = sums.join(centre, ["dataset_id", "replicate_id"], "left")
+    else:
+        sums = sums.withColumn("centres", F.lit(None).cast("array<double>"))
+    return sums.groupBy("dataset_id").agg(F.collect_list(F.struct("replicate_id", *LIBRARY, "centres")).alias("libraries"))
+
+
+class _Measured:
+    """The counted replicates of a batch of variants, laid end to end, with the library of each."""
+
+    def __init__(self, batch: pa.RecordBatch, n_centres: int):
+        reps, libraries = batch["reps"], batch["libraries"]
+        self.n = batch.num_rows
+        lengths = np.diff(reps.offsets.to_numpy())
+        self.row = np.repeat(np.arange(self.n), lengths)
+        flat = reps.flatten()
+        self.replicate = flat.field("replicate_id").to_numpy(zero_copy_only=False)
+        self.c0, self.ct = (flat.field(c).to_numpy(zero_copy_only=False).astype(float) for c in ("c0", "ct"))
+        names = batch["dataset_id"].dictionary_encode()
+        dataset = names.indices.to_numpy(zero_copy_only=False)
+        _, first = np.unique(dataset, return_index=True)
+        told = libraries.take(pa.array(first))
+        of = np.repeat(dataset[first], np.diff(told.offsets.to_numpy()))
+        told = told.flatten()
+        place = pd.MultiIndex.from_arrays([of, told.field("replicate_id").to_numpy(zero_copy_only=False)]).get_indexer(pd.MultiIndex.from_arrays([dataset[self.row], self.replicate]))
+        self.library = {c: told.field(c).to_numpy(zero_copy_only=False).astype(float)[place] for c in LIBRARY}
+        centres = np.array([c if c is not None else [0.0] * n_centres for c in told.field("centres").to_pylist()], float).reshape(len(told), n_centres)
+        self.centres = centres[place]
+
+    def under(self, spec: dict, centring: list[tuple[float, float]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places, scores and variances of the measurements a specification uses."""
+        p, how = float(spec["pseudocount"]), spec["normalization"]
+        at = np.flatnonzero((self.c0 >= float(spec["min_input"])) & ((self.replicate != spec["leave_out"]) if spec["leave_out"] is not None else True))
+        c0, ct = self.c0[at] + p, self.ct[at] + p
+        y, v = np.log(ct) - np.log(c0), 1 / c0 + 1 / ct
+        if how == "synonymous":
+            return at, y - self.centres[at, centring.index((p, float(spec["min_input"])))], v
+        r0, r1 = self.library[f"{how}0"][at] + p, self.library[f"{how}1"][at] + p
+        return at, y - (np.log(r1) - np.log(r0)), v + 1 / r0 + 1 / r1
+
+
+def _combined(how: str, row: np.ndarray, y: np.ndarray, v: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Score and SE of ``n`` variants from their measurements; a measurement without a score takes no part."""
+    known = ~np.isnan(y)
+    row, y, v = row[known], y[known], v[known]
+    total = lambda x=None: np.bincount(row, x, minlength=n)
+    if how == "fixed":
+        w = total(1 / v)
+        return total(y / v) / w, np.sqrt(1 / w)
+    k = total()
+    if how == "mean":
+        mean = total(y) / k
+        sd = np.sqrt(total(np.square(y - mean[row])) / (k - 1))
+        return mean, np.where(k == 1, np.sqrt(total(v)), sd / np.sqrt(k))
+    if how == "reml":
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        width = int(k.max(initial=0))
+        ys, vs = np.full((n, width), np.nan), np.full((n, width), np.nan)
+        ys[row, place], vs[row, place] = y, v
+        fit = reml_batch(ys, vs)
+        return fit["estimate"].to_numpy(), fit["se"].to_numpy()
+    raise ValueError(f"unknown combination {how!r}")
 
 
 def run_specs(pairs: DataFrame, specs: Sequence[dict]) -> DataFrame:
-    """Scores of every variant under every specification: ``spec_id, …, k, score, se``.
+    """Scores of every variant under every specification: ``spec_id, spec_kind, choice, k, score, se``.
 
-    ``pairs(dataset_id, replicate_id, variant, kind, c0, ct)``. Each count row is expanded once per
-    specification after the counts are summed, and normalisers, centring and combination carry the
-    specification in their keys.
+    ``pairs(dataset_id, replicate_id, variant, kind, position, c0, ct)``. A variant's replicates travel once, as an array; every specification is evaluated over
+    the arrays of an Arrow batch. A variant with fewer than ``min_replicates`` keeps its row, without score. The moderated combination fits a model
+    to each dataset and specification, so its measurements, and only those, are laid out per specification.
     """
-    cols = [c if c != "kind" else "spec_kind" for c in SPEC_TYPES]
-    rows = pairs.withColumn("__s", F.explode(spec_array(specs))).select("*", *[F.col(f"__s.{c}") for c in cols]).drop("__s")
-    rows = rows.where(F.col("leave_out").isNull() | (F.col("leave_out") != F.col("replicate_id")))
+    specs = [{**s, "min_replicates": s.get("min_replicates") or 1} for s in specs]
+    centring = _centring(specs)
     both = F.col("c0").isNotNull() & F.col("ct").isNotNull()
-    rep = ["dataset_id", "replicate_id"]
-    library = pairs.groupBy(*rep).agg(
-        F.sum(F.when(both, F.col("c0"))).alias("__c0"), F.sum(F.when(both, F.col("ct"))).alias("__ct"), F.sum("c0").alias("__f0"), F.sum("ct").alias("__ft"),
-        F.max(F.when(F.col("kind") == "wild type", F.col("c0"))).alias("__w0"), F.max(F.when(F.col("kind") == "wild type", F.col("ct"))).alias("__wt"),
-    )
-    p, n = F.col("pseudocount"), F.col("normalization")
-    pick = lambda a, b, c: F.when(n == "complete", F.col(a) + p).when(n == "full", F.col(b) + p).when(n == "wt", F.col(c) + p).otherwise(1.0)
-    used = rows.where(both & (F.col("c0") >= F.col("min_input"))).join(library, rep).withColumn("r0", pick("__c0", "__f0", "__w0")).withColumn("rt", pick("__ct", "__ft", "__wt"))
-    y = (F.log(F.col("ct") + p) - F.log("rt")) - (F.log(F.col("c0") + p) - F.log("r0"))
-    v = 1 / (F.col("c0") + p) + 1 / (F.col("ct") + p) + F.when(n == "synonymous", 0.0).otherwise(1 / F.col("r0") + 1 / F.col("rt"))
-    used = used.withColumn("y", y).withColumn("v", v)
-    if any(s["normalization"] == "synonymous" for s in specs):
-        centre = median(used.where("normalization = 'synonymous' AND kind = 'synonymous'"), [*rep, "spec_id"], "y", "__m")
-        used = used.join(centre, [*rep, "spec_id"], "left").withColumn("y", F.col("y") - F.coalesce("__m", F.lit(0.0)))
-    out = used.groupBy(*KEYS, "kind", "position", "spec_id", "spec_kind", "choice", "combination").agg(
-        F.count(F.lit(1)).alias("k"), F.sum(F.col("y") / F.col("v")).alias("__wy"), F.sum(1 / F.col("v")).alias("__w"), F.avg("y").alias("__m"), F.stddev_samp("y").alias("__sd"), F.max("v").alias("__v")
-    )
-    mean_se = F.when(F.col("k") == 1, F.sqrt("__v")).otherwise(F.col("__sd") / F.sqrt(F.col("k")))
-    fixed = F.col("combination") == "fixed"
-    return out.select(
-        *KEYS, "kind", "position", "spec_id", "spec_kind", "choice", "k", F.when(fixed, F.col("__wy") / F.col("__w")).otherwise(F.col("__m")).alias("score"), F.when(fixed, F.sqrt(1 / F.col("__w"))).otherwise(mean_se).alias("se")
-    )
+    keys = [*KEYS, "kind", "position"]
+    arrays = pairs.where(both).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("replicate_id", F.col("c0").cast("double").alias("c0"), F.col("ct").cast("double").alias("ct")))).alias("reps"))
+    arrays = arrays.join(_libraries(pairs, specs), "dataset_id")
+    plain = [s for s in specs if s["combination"] != "moderated"]
+    moderated = [s for s in specs if s["combination"] == "moderated"]
+
+    def evaluate(batches):
+        for batch in batches:
+            m = _Measured(batch, len(centring))
+            for spec in plain:
+                at, y, v = m.under(spec, centring)
+                k = np.bincount(m.row[at], minlength=m.n)
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    score, se = _combined(spec["combination"], m.row[at], y, v, m.n)
+                some = np.flatnonzero(k)
+                short = k[some] < spec["min_replicates"]
+                value = lambda x: pa.array(np.where(short, np.nan, x[some]), mask=short | np.isnan(x[some]))  # noqa: B023, E731
+                told = [batch[c].take(pa.array(some)) for c in keys]
+                told += [pa.array([spec[c]] * len(some), t) for c, t in (("spec_id", pa.int32()), ("kind", pa.string()), ("choice", pa.string()))]
+                yield pa.RecordBatch.from_arrays([*told, pa.array(k[some], pa.int64()), value(score), value(se)], [*keys, "spec_id", "spec_kind", "choice", "k", "score", "se"])
+
+    kinds = ", ".join(f"{c} {arrays.schema[c].dataType.simpleString()}" for c in keys)
+    out = arrays.mapInArrow(evaluate, f"{kinds}, spec_id int, spec_kind string, choice string, k long, score double, se double")
+    if not moderated:
+        return out
+
+    def lay_out(batches):
+        for batch in batches:
+            m = _Measured(batch, len(centring))
+            for spec in moderated:
+                at, y, v = m.under(spec, centring)
+                k = np.bincount(m.row[at], minlength=m.n)
+                low = np.bincount(m.row[at], np.minimum(m.c0[at], m.ct[at]) < INFORMATIVE, minlength=m.n)
+                told = [batch[c].take(pa.array(m.row[at])) for c in keys]
+                told += [pa.array([spec[c]] * len(at), t) for c, t in (("spec_id", pa.int32()), ("kind", pa.string()), ("choice", pa.string()))]
+                told += [pa.array(k[m.row[at]], pa.int64()), pa.array(m.replicate[at], pa.string()), pa.array(y, mask=np.isnan(y)), pa.array(v), pa.array(low[m.row[at]] == 0)]
+                yield pa.RecordBatch.from_arrays(told, [*keys, "spec_id", "spec_kind", "choice", "k", "replicate_id", "y", "v", "informative"])
+
+    laid = cut(arrays.mapInArrow(lay_out, f"{kinds}, spec_id int, spec_kind string, choice string, k long, replicate_id string, y double, v double, informative boolean"))
+    least = F.element_at(F.create_map(*[F.lit(x) for s in moderated for x in (s["spec_id"], s["min_replicates"])]), F.col("spec_id"))
+    fitted = moderated_combination(laid.where((F.col("k") >= least) & F.col("y").isNotNull()), ["dataset_id", "spec_id"]).select("dataset_id", "variant", "spec_id", "score", "se")
+    named = laid.select(*keys, "spec_id", "spec_kind", "choice", "k").distinct()
+    return out.unionByName(named.join(fitted, ["dataset_id", "variant", "spec_id"], "left").select(*out.columns))
 
 
 def replicate_dispersion(rows: DataFrame, by: Sequence[str] = ("dataset_id",)) -> DataFrame:

@@ -4,7 +4,7 @@ import importlib
 
 from assaylake.plans.registry import QUERIES
 
-MODULES = ["scoring", "quality", "tables", "maps", "calibrate", "fits", "comparisons"]
+MODULES = ["analyses", "scoring", "quality", "tables", "maps", "calibrate", "fits", "comparisons"]
 
 for _module in MODULES:
     importlib.import_module(f"assaylake.plans.{_module}")

@@ -145,7 +145,7 @@ def c12(t: Facts):
 CHOICES = {"pseudocount": [0.5, 0.1, 1.0], "normalization": ["complete", "full", "wt", "synonymous"], "combination": ["fixed", "mean"], "min_input": [1.0, 10.0], "leave_out": [None, "r1", "r2", "r3"]}
 SPECS = rb.specifications(CHOICES)
 _lit = lambda v: "NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v)
-SHARED_SQL["specs"] = "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(_lit(s.get(c)) for c in rb.SPEC_TYPES) + ")" for s in SPECS) + ") x(spec_id, spec_kind, choice, pseudocount, normalization, combination, min_input, leave_out)"
+SHARED_SQL["specs"] = "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(_lit(s.get(c)) for c in rb.SPEC_TYPES) + ")" for s in SPECS) + ") x(" + ", ".join("spec_kind" if c == "kind" else c for c in rb.SPEC_TYPES) + ")"
 SHARED_SQL["spec_library"] = """SELECT dataset_id, replicate_id, sum(CASE WHEN ct IS NOT NULL THEN c0 END) AS lc0, sum(CASE WHEN c0 IS NOT NULL THEN ct END) AS lct, sum(c0) AS f0, sum(ct) AS ft, max(CASE WHEN kind = 'wild type' THEN c0 END) AS w0, max(CASE WHEN kind = 'wild type' THEN ct END) AS wt FROM pairs GROUP BY ALL"""
 SHARED_SQL["spec_rows"] = """SELECT *, (ln(ct + pseudocount) - ln(rr)) - (ln(c0 + pseudocount) - ln(r)) AS y0, 1 / (c0 + pseudocount) + 1 / (ct + pseudocount) + CASE WHEN normalization = 'synonymous' THEN 0 ELSE 1 / r + 1 / rr END AS vv FROM (
     SELECT *, CASE normalization WHEN 'complete' THEN lc0 + pseudocount WHEN 'full' THEN f0 + pseudocount WHEN 'wt' THEN w0 + pseudocount ELSE 1 END AS r, CASE normalization WHEN 'complete' THEN lct + pseudocount WHEN 'full' THEN ft + pseudocount WHEN 'wt' THEN wt + pseudocount ELSE 1 END AS rr
@@ -176,6 +176,27 @@ def r2(t: Facts):
     return rb.run_specs(t.pairs, SPECS)
 
 
+# REML and the least number of replicates, each replicate left out in turn: two replicates have a closed form.
+MORE_CHOICES = {"pseudocount": [0.5], "normalization": ["complete", "synonymous"], "combination": ["reml"], "min_input": [1.0], "leave_out": ["r1", "r2", "r3"], "min_replicates": [1, 2]}
+MORE_SPECS = rb.specifications(MORE_CHOICES)
+MORE_SQL = "(VALUES " + ", ".join("(" + ", ".join(_lit(s.get(c)) for c in rb.SPEC_TYPES) + ")" for s in MORE_SPECS) + ") x(" + ", ".join("spec_kind" if c == "kind" else c for c in rb.SPEC_TYPES) + ")"
+SHARED_SQL["more_rows"] = f"""SELECT *, ln(ct + pseudocount) - ln(c0 + pseudocount) - CASE normalization WHEN 'complete' THEN ln(lct + pseudocount) - ln(lc0 + pseudocount) ELSE 0 END AS y0,
+    1 / (c0 + pseudocount) + 1 / (ct + pseudocount) + CASE normalization WHEN 'complete' THEN 1 / (lc0 + pseudocount) + 1 / (lct + pseudocount) ELSE 0 END AS v
+    FROM pairs JOIN spec_library USING (dataset_id, replicate_id) CROSS JOIN (SELECT * FROM {MORE_SQL}) WHERE c0 >= min_input AND ct IS NOT NULL AND leave_out <> replicate_id"""
+SHARED_SQL["more_centred"] = """SELECT m.*, y0 - coalesce(c, 0) AS y FROM more_rows m LEFT JOIN (SELECT dataset_id, replicate_id, spec_id, median(y0) AS c FROM more_rows WHERE normalization = 'synonymous' AND kind = 'synonymous' GROUP BY ALL) USING (dataset_id, replicate_id, spec_id)"""
+
+
+@query(
+    "r2_run_specs_reml",
+    "dataset_id:s variant:s spec_id:i spec_kind:s k:i score:d se:d",
+    """SELECT dataset_id, variant, spec_id, spec_kind, k, CASE WHEN k >= min_replicates THEN score END AS score, CASE WHEN k >= min_replicates THEN se END AS se FROM (
+       SELECT dataset_id, variant, spec_id, spec_kind, min_replicates, any_value(k) AS k, sum(y / (v + tau2)) / sum(1 / (v + tau2)) AS score, sqrt(1 / sum(1 / (v + tau2))) AS se
+       FROM more_centred JOIN (SELECT dataset_id, variant, spec_id, count(*) AS k, CASE WHEN count(*) = 2 THEN greatest(0, (pow(max(y) - min(y), 2) - sum(v)) / 2) ELSE 0 END AS tau2 FROM more_centred GROUP BY ALL) USING (dataset_id, variant, spec_id) GROUP BY ALL)""",
+)
+def r2_reml(t: Facts):
+    return rb.run_specs(t.pairs, MORE_SPECS)
+
+
 @query(
     "r3_replicate_dispersion",
     "dataset_id:s n:i dispersion:d",
