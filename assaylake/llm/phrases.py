@@ -30,7 +30,7 @@ INSIDE_PERCENT = 50
 BLOCK_BYTES = 4 << 20
 MOST_SUMS = 1 << 20
 #: Phrases of one trie; bits of a bitmap for each entry, and at most.
-MOST_PHRASES = 1 << 19
+MOST_PHRASES = 1 << 18
 BITS_EACH, MOST_BITS = 16, 28
 NO_LANG = "und"
 
@@ -283,13 +283,18 @@ def _counted_by(docs: DataFrame, phrases: pa.Table) -> DataFrame:
 
 
 def phrase_counts(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """h1, h2, h3, a: candidates with their exact number of occurrences, counted by tries of at most ``MOST_PHRASES``."""
-    n = found.count()
-    parts = -(-n // MOST_PHRASES)
-    out = found.withColumn("a", F.lit(0).cast("long")).limit(0)
-    dealt = cut(numbered(found, [F.col(h) for h in ("h1", "h2", "h3")], "_nth").withColumn("_trie", F.floor(F.col("_nth") / MOST_PHRASES))) if parts > 1 else found.withColumn("_trie", F.lit(0))
+    """h1, h2, h3, a: candidates (with their ``lang``) and their exact number of occurrences, counted by tries of at most ``MOST_PHRASES``.
+
+    Candidates are dealt to tries in the order of their language, and a trie only passes over the texts of its languages.
+    """
+    parts = -(-found.count() // MOST_PHRASES)
+    texts = docs.select(F.coalesce("lang", F.lit(NO_LANG)).alias("lang"), "text")
+    dealt = cut(numbered(found, [F.col(c) for c in ("lang", "h1", "h2", "h3")], "_nth").withColumn("_trie", F.floor(F.col("_nth") / MOST_PHRASES))) if parts > 1 else found.withColumn("_trie", F.lit(0))
+    reach = {r._trie: r for r in dealt.groupBy("_trie").agg(F.min("lang").alias("low"), F.max("lang").alias("high")).collect()}
+    out = found.select("h1", "h2", "h3", F.lit(0).cast("long").alias("a")).limit(0)
     for part in range(parts):
-        out = out.unionByName(cut(_counted_by(docs, dealt.where(F.col("_trie") == part).select("h1", "h2", "h3").toArrow())))
+        some = dealt.where(F.col("_trie") == part).select("h1", "h2", "h3").toArrow()
+        out = out.unionByName(cut(_counted_by(texts.where(F.col("lang").between(reach[part].low, reach[part].high)), some)))
     return out
 
 
@@ -309,7 +314,8 @@ def collocations(docs: DataFrame, least: int = LEAST, inside_percent: int = INSI
     counted = cut(words(docs))
     totals = counted.groupBy("lang").agg(F.sum("f").alias("n"))
     frequent = cut(counted.where(F.col("f") >= least).select("lang", "hash", "word", "f"))
-    phrases = cut(phrase_counts(docs, cut(candidates(docs, frequent, least))).where(F.col("a") >= least))
+    found = candidates(docs, frequent, least).join(frequent.select("lang", F.col("hash").alias("h1")), "h1")
+    phrases = cut(phrase_counts(docs, cut(found)).where(F.col("a") >= least))
     word = lambda i: frequent.select(F.col("hash").alias(f"h{i}"), F.col("word").alias(f"w{i}"), F.col("f").alias(f"f{i}"))
     pairs = phrases.where("h3 is null").select("h1", "h2", "a")
     triples = phrases.where("h3 is not null")
