@@ -1,9 +1,9 @@
 """Best-fit packing of documents into sequences by a configuration linear program.
 
 Only the histogram of piece lengths (at most ``capacity`` numbers) reaches the driver. The program over
-configurations (multisets of lengths that fit a sequence) is solved there by multiplicative weights: lengths
-still short of cover weigh more, a knapsack table finds the configuration of most weight. Rounded configurations become a table
-of places; every piece finds its place from its length and its number among the pieces of that length.
+configurations (multisets of lengths that fit a sequence) is solved there by multiplicative weights: lengths start with their share of the
+volume, those still short of cover come to weigh more, and a knapsack table prices the configurations of most weight. It ends when every length is covered.
+Rounded configurations become a table of places; every piece finds its place from its length and its number among the pieces of that length.
 """
 
 from __future__ import annotations
@@ -22,9 +22,12 @@ from assaylake.llm.tokens import encoder
 
 CAPACITY = 2048
 END_ID = 0
-ROUNDS = 300
-SPEED = 12.0
-STEP = 0.05
+#: How fast weights fall with the part covered, the part of its scarcest length that a step covers, configurations taken from one knapsack table, and the parts of a
+#: sequence that the configurations kept may leave empty, tried in turn.
+SPEED = 0.1
+STEP = 0.25
+COLUMNS = 64
+WASTES = (0.0005, 0.002, 0.01)
 STEP_BYTES = 1 << 20
 
 
@@ -66,49 +69,57 @@ def cut_pieces(docs: DataFrame, path: str, spaces: str = "kept", end_id: int = E
 # ---- the program over the histogram -------------------------------------------------------------
 
 
-def price(value: np.ndarray, lengths: np.ndarray, capacity: int) -> np.ndarray:
-    """How often each length is in the configuration of most value (unbounded knapsack by dynamic programming)."""
+def price(value: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """The unbounded knapsack by dynamic programming: for every room, the length last put into the most valuable filling, and the room that this filling uses."""
     best, taken = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+    known = np.searchsorted(lengths, np.arange(capacity + 1), side="right")
     for w in range(int(lengths[0]), capacity + 1):
-        k = int(np.searchsorted(lengths, w, side="right"))
-        gain = value[:k] + best[w - lengths[:k]]
-        i = int(np.argmax(gain))
+        gain = value[: known[w]] + best[w - lengths[: known[w]]]
+        i = gain.argmax()
         if gain[i] >= best[w - 1]:
             best[w], taken[w] = gain[i], i
         else:
             best[w] = best[w - 1]
-    counts, w = np.zeros(len(lengths), np.int64), capacity
-    while w > 0:
-        if taken[w] >= 0:
-            counts[taken[w]] += 1
-            w -= int(lengths[taken[w]])
-        else:
-            w -= 1
-    return counts
+    return taken, np.maximum.accumulate(np.where(taken >= 0, np.arange(capacity + 1), 0))
 
 
-def solve(lengths: np.ndarray, need: np.ndarray, capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[np.ndarray, float]]:
-    """Configurations and how often each is used, a fractional cover of ``need`` by multiplicative weights.
+def solve(lengths: np.ndarray, need: np.ndarray, capacity: int = CAPACITY) -> list[tuple[np.ndarray, float]]:
+    """Configurations and how often each is used: a fractional cover of ``need``, met exactly, by multiplicative weights.
 
-    A length's weight falls exponentially in the share of its need already covered; the knapsack prices the next configuration,
-    which is used as far as its scarcest length allows in one step. At the end all is scaled to cover exactly.
+    A length weighs its volume, times a factor that falls exponentially in the part of its need already covered. One knapsack table prices, for each of
+    the ``COLUMNS`` least covered lengths, the best configuration with it. A configuration is used as far as a quarter of its scarcest need, in whole numbers where that leaves any, and
+    never beyond a need; so lengths are covered evenly, and the sum exceeds the bound by volume only by what configurations leave empty.
     """
-    covered, used = np.zeros(len(lengths)), {}
-    total = float(need @ lengths) / capacity
-    for _ in range(rounds):
-        share = covered / need
-        if share.min() >= 1.0:
+    left, used = need.astype(float).copy(), {}
+    while True:
+        share = 1 - left / need
+        short = np.flatnonzero(left > 1e-9 * need)
+        if not len(short):
             break
-        value = np.exp(-SPEED * (share - share.min())) / need
-        counts = price(value / value.max(), lengths, capacity)
-        inside = counts > 0
-        amount = max(total / rounds, STEP * float((need[inside] / counts[inside]).min()))
-        key = counts.tobytes()
-        used[key] = used.get(key, 0.0) + amount
-        covered += amount * counts
-    configs = [(np.frombuffer(k, np.int64), x) for k, x in used.items()]
-    over = np.maximum(covered, 1e-12) / need
-    return [(c, x / max(1.0, float(over[c > 0].max()))) for c, x in configs]
+        inner = lengths[short]
+        taken, reach = price(inner / capacity * np.exp(-SPEED * (share[short] - share[short].min())), inner, capacity)
+        for start in short[np.argsort(share[short], kind="stable")[:COLUMNS]].tolist():
+            if left[start] <= 1e-9 * need[start]:
+                continue
+            items, room = {start: 1}, capacity - int(lengths[start])
+            while (room := int(reach[room])) > 0:
+                i = int(short[taken[room]])
+                items[i] = items.get(i, 0) + 1
+                room -= int(lengths[i])
+            amount, most = STEP * min(need[i] / k for i, k in items.items()), min(left[i] / k for i, k in items.items())
+            amount = min(most, np.floor(amount) if amount >= 1 else 1.0 if most >= 1 else amount)
+            if amount <= 1e-12:
+                continue
+            key = tuple(sorted(items.items()))
+            used[key] = used.get(key, 0.0) + amount
+            for i, k in items.items():
+                left[i] -= amount * k
+    out = []
+    for key, amount in used.items():
+        counts = np.zeros(len(lengths), np.int64)
+        counts[[i for i, _ in key]] = [k for _, k in key]
+        out.append((counts, float(amount)))
+    return out
 
 
 def _best_fit(rest: np.ndarray, lengths: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
@@ -131,25 +142,25 @@ def _best_fit(rest: np.ndarray, lengths: np.ndarray, capacity: int) -> list[tupl
     return out
 
 
-def _rounded(solved: list[tuple[np.ndarray, float]], need: np.ndarray, lengths: np.ndarray, capacity: int, waste: float) -> list[tuple[np.ndarray, int]]:
-    """Whole uses of the configurations that leave at most ``waste`` of a sequence empty, and best fit for the rest."""
+def _rounded(solved: list[tuple[np.ndarray, float]], need: np.ndarray, lengths: np.ndarray, capacity: int, waste: float) -> tuple[list[tuple[np.ndarray, int]], int]:
+    """Whole uses of the configurations that leave at most ``waste`` of a sequence empty, then best fit for the rest; and how many sequences are the program's."""
     out, rest = [], need.astype(np.int64)
-    good = [(c, x) for c, x in solved if c @ lengths >= capacity * (1 - waste)]
+    good = sorted([(c, x) for c, x in solved if c @ lengths >= capacity * (1 - waste)], key=lambda c: -int(c[0] @ lengths))
     for up in (False, True):
-        for counts, x in sorted(good, key=lambda c: -(c[1] % 1)) if up else good:
-            inside = counts > 0
-            times = min(1 if up and x % 1 >= 0.5 else 0 if up else int(x), int((rest[inside] // counts[inside]).min()))
+        for counts, x in good:
+            inside = np.flatnonzero(counts)
+            times = min(int(x % 1 >= 0.5) if up else int(x + 1e-9), int((rest[inside] // counts[inside]).min()))
             if times > 0:
                 out.append((counts, times))
-                rest = rest - times * counts
-    return out + _best_fit(rest, lengths, capacity)
+                rest[inside] -= times * counts[inside]
+    return out + _best_fit(rest, lengths, capacity), sum(n for _, n in out)
 
 
-def layouts(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[tuple[tuple[int, int], ...], int]]:
+def layouts(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[tuple[int, int], ...], int]]:
     """((length, count), ...) and in how many sequences it is laid out; together they hold the histogram exactly.
 
-    Full lengths are sequences of their own. The fractional solution is rounded at three tolerances of waste,
-    each completed by best fit, and the rounding with the fewest sequences is taken.
+    Full lengths are sequences of their own. The fractional solution is rounded at several tolerances of waste, each completed by best fit. The rounding with
+    the fewest sequences is taken, of equal ones that with most from the program; best fit alone is a last rounding, so that the result is never worse.
     """
     out: list[tuple[tuple[tuple[int, int], ...], int]] = []
     left = {int(k): int(v) for k, v in histogram.items() if v > 0}
@@ -158,10 +169,10 @@ def layouts(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = R
     if not left:
         return out
     lengths = np.array(sorted(left), np.int64)
-    need = np.array([left[int(x)] for x in lengths], np.float64)
-    solved = solve(lengths, need, capacity, rounds)
-    tried = [_rounded(solved, need, lengths, capacity, waste) for waste in (0.0, 0.002, 1.0)]
-    best = min(tried, key=lambda r: sum(n for _, n in r))
+    need = np.array([left[int(x)] for x in lengths], np.int64)
+    solved = solve(lengths, need, capacity)
+    tried = [_rounded(solved, need, lengths, capacity, waste) for waste in WASTES] + [(_best_fit(need, lengths, capacity), 0)]
+    best, _ = min(tried, key=lambda r: (sum(n for _, n in r[0]), -r[1]))
     return out + [(tuple((int(lengths[i]), int(c[i])) for i in np.flatnonzero(c)[::-1]), n) for c, n in best]
 
 
@@ -179,17 +190,17 @@ def places(found: list[tuple[tuple[tuple[int, int], ...], int]]) -> list[tuple[i
     return rows
 
 
-def place(pieces: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS, per_bucket: int = 5_000) -> DataFrame:
+def place(pieces: DataFrame, capacity: int = CAPACITY, per_bucket: int = 5_000) -> DataFrame:
     """``pieces`` (doc_id, piece, length and any other columns) with sequence_id and offset.
 
     Pieces of a length are numbered in buckets of a hash of (doc_id, piece), so that a length most pieces
     have is spread; the buckets are offset by the counts before. The order inside a bucket is by id and piece; equal rows may swap.
-    The table of places grows with configurations and lengths, at most ``rounds`` and ``capacity``, not with pieces.
+    The table of places grows with the configurations, a few for each length, of which there are at most ``capacity``; not with pieces.
     """
     spark = pieces.sparkSession
     frozen = cut(pieces)
     histogram = {r.length: r.n for r in frozen.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    rows = places(layouts(histogram, capacity, rounds))
+    rows = places(layouts(histogram, capacity))
     by_length = {}
     for row in rows:
         by_length.setdefault(row[0], []).append(row[1:])

@@ -91,7 +91,7 @@ def test_layouts_hold_the_histogram():
     many = draw.integers(1, 2049, 3000)
     for sizes, most in ((many, 1.02 * many.sum() / 2048 + 2), (np.full(50, 1025), 50), (np.repeat([1500, 548, 700], 40), 60), ([1], 1)):
         histogram = collections.Counter(int(x) for x in sizes)
-        found = packing.layouts(histogram, rounds=60)
+        found = packing.layouts(histogram)
         held = collections.Counter()
         for items, times in found:
             assert sum(length * k for length, k in items) <= 2048
@@ -101,5 +101,25 @@ def test_layouts_hold_the_histogram():
         assert sum(n for _, n in found) <= most
 
 
+def histogram_of(n, seed=0):
+    sizes = np.clip(np.exp(np.random.default_rng(seed).normal(6.2, 1.0, n)), 1, 2047).astype(int)
+    lengths, need = np.unique(sizes, return_counts=True)
+    return lengths, need
+
+
+@pytest.mark.parametrize("n, part", [(10_000, 0.7), (400_000, 0.9)])
+def test_program_covers_the_histogram_and_most_sequences_are_its_own(n, part):
+    lengths, need = histogram_of(n)
+    solved = packing.solve(lengths, need)
+    assert sum(c * x for c, x in solved) == pytest.approx(need, rel=1e-6)
+    bound = need @ lengths / 2048
+    assert all(c @ lengths <= 2048 for c, _ in solved) and sum(x for _, x in solved) <= 1.01 * bound
+    alone = sum(k for _, k in packing._best_fit(need, lengths, 2048))
+    rounded = [packing._rounded(solved, need, lengths, 2048, waste) for waste in packing.WASTES]
+    total, own = min((sum(k for _, k in r), -own) for r, own in rounded)
+    assert -own >= part * total
+    assert sum(k for _, k in packing.layouts(dict(zip(lengths.tolist(), need.tolist())))) <= min(alone, total)
+
+
 def test_packing_of_an_empty_table(spark):
     assert packing.packed(spark.createDataFrame([], SCHEMA)).count() == 0
