@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -79,3 +81,18 @@ def slices(batch: pa.RecordBatch | pa.Table, column: str, most_bytes: int):
 
 def longs(values) -> pa.Array:
     return pa.array(np.ascontiguousarray(values, dtype=np.int64))
+
+
+_LIBC: list = []
+
+
+def give_back() -> None:
+    """Returns freed memory of a Python worker to the system: workers outlive their tasks, and what one stage needed must not stay beside the next one's."""
+    if not _LIBC:
+        try:
+            libc = ctypes.CDLL("libc.so.6")
+            _LIBC.append(libc.malloc_trim)
+        except (OSError, AttributeError):  # another C library
+            _LIBC.append(lambda _: 0)
+    pa.default_memory_pool().release_unused()
+    _LIBC[0](0)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assaylake.functions.lineage import cut
-from assaylake.llm.common import binary_of, longs, slices, small_batches, table
+from assaylake.llm.common import binary_of, give_back, longs, slices, small_batches, table
 from assaylake.llm.registry import query
 from assaylake.llm.terms import LOWER, SPACES, U, hashes, mixed, runs
 
@@ -133,6 +133,7 @@ def _per_text(docs: DataFrame, level: int | None, sets: bool, marks=None) -> Dat
                     out.append(pa.ListArray.from_arrays(np.arange(len(keys) + 1, dtype=np.int32) * keys.shape[1], longs(keys.ravel().view(np.int64))))
                     names.append("prefixes")
                 yield pa.RecordBatch.from_arrays(out, names)
+        give_back()
 
     schema = "doc_id long, n long, print binary" + (", set binary" if sets else "") + (", prefixes array<long>" if level is not None else "")
     columns = [F.col("doc_id").cast("long").alias("doc_id"), "text", *(["spot"] if marks is not None else [])]
@@ -219,6 +220,8 @@ def _links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         rep = rep[order]
         top = linked(np.array([len(x) for x in own], np.int64), np.concatenate(own), percent)
         some = np.flatnonzero(top != np.arange(len(rep)))
+        if len(data) > 1 << 20:
+            give_back()
         return pa.Table.from_arrays([longs(rep[top[some]]), longs(rep[some])], ["a", "b"])
 
     return members.join(sets, "rep").groupBy("region").applyInArrow(run, "a long, b long")

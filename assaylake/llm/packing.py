@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from assaylake.functions.lineage import cut
-from assaylake.llm.common import binary_of, longs, slices, small_batches, table
+from assaylake.llm.common import binary_of, give_back, longs, slices, small_batches, table
 from assaylake.llm.registry import query
 from assaylake.llm.tokens import encoder
 
@@ -60,6 +60,8 @@ def cut_pieces(docs: DataFrame, path: str, spaces: str = "kept", end_id: int = E
                 doc = part["doc_id"].take(pa.array(which, pa.int64()))
                 columns = [doc.cast(pa.int64()), pa.array(piece, pa.int32()), longs(start), longs(length), longs([zlib.crc32(x) for x in payload])]
                 yield pa.RecordBatch.from_arrays(columns + ([pa.array(payload, pa.binary())] if ids else []), names)
+        coder.rest()
+        give_back()
 
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + (["ids"] if ids else [])
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids binary" if ids else "")

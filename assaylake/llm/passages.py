@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaylake.llm.common import binary_of, longs, small_batches, table
+from assaylake.llm.common import binary_of, give_back, longs, small_batches, table
 from assaylake.llm.registry import query
 from assaylake.llm.terms import U, mixed
 
@@ -499,22 +499,35 @@ def remove_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_bytes
 
     def first(key, t):
         out = name_rows(t, buckets)
+        give_back()
         return out.append_column("b", pa.array([key[0].as_py()] * out.num_rows, pa.int32())).select(["b", "bucket", "names", "more", "counts"])
 
     def second(key, t):
         out = shared_rows(t, most_contexts)
+        give_back()
         return out.append_column("bucket", pa.array([key[0].as_py()] * out.num_rows, pa.int32())).select(["b", "bucket", "names", "hot"])
 
     def third(key, t, s):
         out = context_rows(t, s, buckets, buckets) if t.num_rows else context_rows(t.slice(0, 0), s.slice(0, 0), 1, 1)
+        give_back()
         return out.append_column("b", pa.array([key[0].as_py()] * out.num_rows, pa.int32())).select(["b", "bucket", "kind", "payload"])
 
+    def fourth(t):
+        out = span_rows(t)
+        give_back()
+        return out
+
+    def fifth(t, s):
+        out = remove_rows(t, s)
+        give_back()
+        return out
+
     names = by_block.applyInArrow(first, "b int, bucket int, names binary, more binary, counts binary")
     shared = names.groupBy("bucket").applyInArrow(second, "b int, bucket int, names binary, hot binary")
     contexts = by_block.cogroup(shared.groupBy("b")).applyInArrow(third, "b int, bucket int, kind int, payload binary")
-    spans = contexts.groupBy("bucket").applyInArrow(span_rows, "b int, spans binary, size long, kind int")
+    spans = contexts.groupBy("bucket").applyInArrow(fourth, "b int, spans binary, size long, kind int")
     result = f"doc_id long, other {kind}, n_bytes long, n_removed long, n_spans long, kept binary"
-    whole = by_block.cogroup(spans.groupBy("b")).applyInArrow(remove_rows, result)
+    whole = by_block.cogroup(spans.groupBy("b")).applyInArrow(fifth, result)
     zero = F.lit(0).cast("long")
     loose = rows.where("doc_id is null").select("doc_id", "other", F.octet_length("text").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.col("text").cast("binary").alias("kept"))
     return whole.unionByName(loose)

@@ -126,6 +126,10 @@ class Encoder:
         self.now[unit] = ids
         return ids
 
+    def rest(self) -> None:
+        """Between tasks only the newer generation stays."""
+        self.before = {}
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text (UTF-8), as bytes."""
         running = gc.isenabled()
