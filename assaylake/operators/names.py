@@ -5,9 +5,8 @@ Names repeat in every sample and dataset, so each distinct name is read once and
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -321,99 +320,126 @@ def consequence_subs(names: DataFrame, codons: DataFrame, by: Sequence[str] = ("
     return out.unionByName(wild)
 
 
-CODE = {a + b + c: GENETIC_CODE[16 * i + 4 * j + k] for i, a in enumerate(BASES) for j, b in enumerate(BASES) for k, c in enumerate(BASES)}
-TO_THREE = dict(zip(ONE, THREE))
+def protein(dna: Column) -> Column:
+    """One letter for every whole codon."""
+    codons = F.when(F.length(dna) >= 3, F.sequence(F.lit(1), F.floor(F.length(dna) / 3).cast("int"))).otherwise(F.array().cast("array<int>"))
+    return F.array_join(F.transform(codons, lambda i: F.coalesce(translated(F.substr(dna, 3 * i - 2, F.lit(3))), F.lit("X"))), "")
 
 
-def _protein(dna: str, to_stop: bool) -> str:
-    out = "".join(CODE.get(dna[i : i + 3], "X") for i in range(0, len(dna) - 2, 3))
-    return out[: out.index("*") + 1] if to_stop and "*" in out else out
+def _up_to_stop(residues: Column, least: Column | None = None) -> Column:
+    """Residues up to the first stop that stands at ``least`` (from 1) or later, all where there is none."""
+    stop = F.locate("*", residues, 1) if least is None else F.call_function("locate", F.lit("*"), residues, least)
+    return F.when(stop > 0, F.substr(residues, F.lit(1), stop)).otherwise(residues)
 
 
-def _span(ref: str, a: int, b: int) -> str:
-    first = f"{TO_THREE.get(ref[a - 1], 'Xaa')}{a}"
-    return first if b <= a else f"{first}_{TO_THREE.get(ref[b - 1], 'Xaa')}{b}"
+def _shared(a: Column, b: Column) -> Column:
+    """How many first elements two arrays share."""
+    differs = F.array_position(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y)), False)
+    return F.when(differs > 0, differs - 1).otherwise(F.size(a).cast("long")).cast("int")
 
 
-def indel_consequence(name: str, dna: str) -> tuple[str | None, str | None, int | None]:
-    """Class, protein key and position of one coding deletion, insertion, duplication or delins."""
-    import re
+def _three(text: Column) -> Column:
+    return F.array_join(F.transform(F.filter(F.split(text, ""), lambda x: x != ""), lambda x: F.coalesce(three_of(x), F.lit("Xaa"))), "")
 
-    m = re.match(r"^c\.(\d+)(?:_(\d+))?(del|dup|ins|delins)([ACGT]*)$", name)
-    if not m:
-        if re.match(r"^c\..*\d[+-]\d", name):
-            near = any(abs(int(x)) <= 2 for x in re.findall(r"\d([+-]\d+)", name))
-            return ("splice site" if near else "intronic"), None, None
-        if re.match(r"^c\.-\d", name):
-            return "5' UTR", None, None
-        return ("3' UTR", None, None) if re.match(r"^c\.\*\d", name) else (None, None, None)
-    s, e, what, seq = int(m[1]) - 1, int(m[2] or m[1]), m[3], m[4]
-    if e > len(dna) or s < 0:
-        return None, None, None
-    if what == "dup":
-        alt, first = dna[:e] + dna[s:e] + dna[e:], e
-    elif what == "ins":
-        alt, first = dna[: s + 1] + seq + dna[s + 1 :], s + 1
-    else:
-        alt, first = dna[:s] + seq + dna[e:], s
-    ref = _protein(dna, True)
-    shift = (len(alt) - len(dna)) % 3 != 0
-    new = _protein(alt, True) if shift or "*" not in ref else _protein(alt, False)
-    if not shift and "*" in ref and "*" in new[len(ref) - 1 :]:
-        new = new[: new.index("*", len(ref) - 1) + 1]
-    k = 0
-    while k < min(len(ref), len(new)) and ref[k] == new[k]:
-        k += 1
-    if ref == new:
-        p = first // 3 + 1
-        return ("synonymous", "p.=", None) if p > len(ref) else ("synonymous", f"p.{TO_THREE[ref[p - 1]]}{p}=", p)
-    if k == 0 and ref[:1] == "M":
-        return "start lost", None, 1
-    if shift:
-        p = min(k, len(ref) - 1)
-        if k < len(new) and k < len(ref) and new[k] == "*":
-            return "nonsense", f"p.{TO_THREE[ref[k]]}{k + 1}Ter", k + 1
-        if k < len(new) and k < len(ref) and ref[k] == "*":
-            return "stop lost", f"p.Ter{k + 1}{TO_THREE.get(new[k], 'Xaa')}", k + 1
-        return "frameshift", f"p.{TO_THREE.get(ref[p], 'Xaa')}{p + 1}fs", p + 1
-    tail = 0
-    while tail < min(len(ref), len(new)) - k and ref[-1 - tail] == new[-1 - tail]:
-        tail += 1
-    gone, put = ref[k : len(ref) - tail], new[k : len(new) - tail]
-    put = put[: put.index("*") + 1] if put.find("*") > 0 else put
-    p = k + 1
-    if put.startswith("*"):
-        return "nonsense", f"p.{TO_THREE[gone[0]] if gone else TO_THREE[ref[k]]}{p}Ter", p
-    if len(gone) == 1 and len(put) == 1:
-        return "missense", f"p.{TO_THREE[gone]}{p}{TO_THREE.get(put, 'Xaa')}", p
-    three = "".join(TO_THREE.get(x, "Xaa") for x in put)
-    if gone and put:
-        return "deletion-insertion", f"p.{_span(ref, p, p + len(gone) - 1)}delins{three}", p
-    if gone:
-        return "deletion", f"p.{_span(ref, p, p + len(gone) - 1)}del", p
-    b = k - len(put)
-    if b >= 0 and ref[b:k] == put:
-        return "duplication", f"p.{_span(ref, b + 1, k)}dup", b + 1
-    return "insertion", f"p.{_span(ref, k, k + 1)}ins{three}", k
+
+INDEL = r"^c\.(\d+)(?:_(\d+))?(delins|del|dup|ins)([ACGT]*)$"
 
 
 def consequence_indels(names: DataFrame, targets: DataFrame, by: Sequence[str] = ("dataset_id",)) -> DataFrame:
-    """What coding indels do to the protein, once per distinct name: ``class, pro_key, position``.
+    """What coding deletions, insertions, duplications and replacements do to the protein, once per distinct name: ``class, pro_key, position``.
 
-    ``targets(dataset_id, sequence)`` holds the coding sequence from its first base.
+    ``targets(dataset_id, sequence)`` holds the coding sequence from its first base. Both proteins are compared as letters: what they share at the beginning,
+    then at the end, leaves the residues removed and those put in, and these say what the change is called. A replacement by as many bases is compared codon by codon.
+    Names of other kinds get the class of their region (introns, untranslated ends), unreadable ones nulls.
     """
-    rows = names.select(*by, "variant").distinct().join(targets.select(*by, "sequence"), list(by))
-    key_fields = ", ".join(f"{k} string" for k in by)
-
-    def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            got = [indel_consequence(v, s) for v, s in zip(b["variant"], b["sequence"])]
-            out = b[[*by, "variant"]].copy()
-            out["class"], out["pro_key"] = [g[0] for g in got], [g[1] for g in got]
-            out["position"] = pd.array([g[2] for g in got], dtype="Int32")
-            yield out
-
-    return rows.mapInPandas(describe, f"{key_fields}, variant string, class string, pro_key string, position int")
+    rows = names.select(*by, "variant").distinct().join(targets.select(*by, F.upper("sequence").alias("dna")), list(by))
+    part = lambda i: F.regexp_extract("variant", INDEL, i)
+    start = part(1).try_cast("int")
+    rows = settle(rows, kind=F.nullif(part(3), F.lit("")), s=start, e=F.coalesce(part(2).try_cast("int"), start), bases=part(4))
+    inside = (F.col("s") >= 1) & (F.col("e") >= F.col("s")) & (F.col("e") <= F.length("dna"))
+    # The bases kept before the change, the first base kept after it, and what is put between.
+    kept = F.when(F.col("kind") == "dup", F.col("e")).when(F.col("kind") == "ins", F.col("s")).otherwise(F.col("s") - 1)
+    again = F.when(F.col("kind").isin("dup", "ins"), kept + 1).otherwise(F.col("e") + 1)
+    put = F.when(F.col("kind") == "dup", F.substr("dna", F.col("s"), F.col("e") - F.col("s") + 1)).otherwise(F.col("bases"))
+    rows = settle(rows, known=F.coalesce(inside, F.lit(False)), kept=kept, altered=F.concat(F.substr("dna", F.lit(1), kept), put, F.substr("dna", again)))
+    change = F.length("altered") - F.length("dna")
+    rows = settle(rows, r=_up_to_stop(protein(F.col("dna"))), whole=protein(F.col("altered")), change=change, moved=F.pmod(change, F.lit(3)) != 0, swap=(F.col("kind") == "delins") & (change == 0))
+    ends = F.col("r").endswith("*")
+    # In frame, the protein ends where the reference's now ends, or at a stop there or later; without its stop it goes on to the next.
+    now = F.substr("whole", F.lit(1), F.length("r") + F.floor(F.col("change") / 3).cast("int"))
+    framed = F.when(F.locate("*", F.substr(now, F.length("r"))) > 0, _up_to_stop(now, F.length("r"))).when(ends & ~now.endswith("*"), _up_to_stop(F.col("whole"), F.length(now) + 1)).otherwise(now)
+    rows = settle(rows, n=F.when(F.col("moved"), _up_to_stop(F.col("whole"))).otherwise(framed))
+    letters = lambda c: F.filter(F.split(c, ""), lambda x: x != "")
+    rows = settle(rows, rs=letters(F.col("r")), ns=letters(F.col("n")))
+    rows = settle(rows, k=_shared(F.col("rs"), F.col("ns")))
+    tail = F.least(_shared(F.reverse("rs"), F.reverse("ns")), F.least(F.size("rs"), F.size("ns")) - F.col("k"))
+    middle = lambda text, size: F.substr(text, F.col("k") + 1, size - F.col("k") - F.col("tail"))
+    rows = settle(rows, tail=tail)
+    rows = settle(rows, gone=middle("r", F.size("rs")), put=_up_to_stop(middle("n", F.size("ns"))))
+
+    p = F.col("k") + 1
+    at = lambda i: _three(F.substr("r", i, F.lit(1)))
+    number = lambda i: F.concat(at(i), i.cast("string"))
+    span = lambda i, n: F.when(n > 1, F.concat(number(i), F.lit("_"), number(i + n - 1))).otherwise(number(i))
+    told = lambda cls, key, place: F.struct(F.lit(cls).alias("class"), key.cast("string").alias("pro_key"), place.cast("int").alias("position"))
+    p_ = lambda *parts: F.concat(F.lit("p."), *parts)
+    none = F.lit(None)
+    n_gone, n_put = F.length("gone"), F.length("put")
+    methionine, stop_here = F.col("r").startswith("M"), ends & (p == F.size("rs"))
+    first = F.floor(F.col("kept") / 3).cast("int") + 1
+    before = F.col("k") - n_put + 1
+    fs = F.least(p, F.size("rs"))
+    stops = F.col("put").startswith("*")
+    # Replacements of as many bases: the codons that change, and their residues up to a stop they make.
+    codon = lambda c, i: F.substr(c, 3 * i - 2, F.lit(3))
+    steps = F.transform(F.sequence(F.lit(1), F.greatest(F.size("rs"), F.lit(1))), lambda i: F.struct(i.alias("i"), F.substr("r", i, F.lit(1)).alias("r"), F.substr("whole", i, F.lit(1)).alias("a"), (codon("dna", i) != codon("altered", i)).alias("c")))
+    rows = settle(rows, steps=F.when(F.col("swap"), F.filter(steps, lambda x: x["c"])))
+    rows = settle(rows, diffs=F.filter("steps", lambda x: x["r"] != x["a"]))
+    stop_at = F.array_position(F.transform("diffs", lambda x: x["a"]), "*").cast("int")
+    rows = settle(rows, diffs=F.when(stop_at > 0, F.slice("diffs", F.lit(1), stop_at)).otherwise(F.col("diffs")))
+    listed = lambda xs, f: F.when(F.size(xs) == 1, p_(F.get(F.transform(xs, f), 0))).otherwise(p_(F.lit("["), F.array_join(F.transform(xs, f), ";"), F.lit("]")))
+    d0, n_diffs = F.get("diffs", 0), F.size("diffs")
+    changes = lambda x: F.concat(_three(x["r"]), x["i"].cast("string"), _three(x["a"]))
+    swapped = (
+        F.when(F.size("steps") == 0, told("wild type", F.lit("p.="), none))
+        .when(n_diffs == 0, told("synonymous", listed("steps", lambda x: F.concat(_three(x["r"]), x["i"].cast("string"), F.lit("="))), F.get("steps", 0)["i"]))
+        .when((d0["i"] == 1) & methionine, told("start lost", F.when(n_diffs == 1, listed("diffs", changes)), F.lit(1)))
+        .when(n_diffs > 1, told("multi-variant", listed("diffs", changes), d0["i"]))
+        .when(d0["r"] == "*", told("stop lost", listed("diffs", changes), d0["i"]))
+        .when(d0["a"] == "*", told("nonsense", listed("diffs", changes), d0["i"]))
+        .otherwise(told("missense", listed("diffs", changes), d0["i"]))
+    )
+    shifted = (
+        F.when((F.col("k") < F.size("rs")) & F.substr("n", p, F.lit(1)).eqNullSafe("*"), told("nonsense", p_(number(p), F.lit("Ter")), p))
+        .when(stop_here & (F.size("ns") > F.col("k")), told("stop lost", p_(number(p), _three(F.substr("n", p, F.lit(1)))), p))
+        .otherwise(told("frameshift", p_(number(fs), F.lit("fs")), fs))
+    )
+    in_frame = (
+        F.when(stops & (F.col("k") >= F.size("rs")), told("synonymous", p_(F.lit("Ter"), p.cast("string"), F.lit("=")), p))
+        .when(stops, told("nonsense", p_(number(p), F.lit("Ter")), p))
+        .when(stop_here, told("stop lost", p_(number(p), F.coalesce(F.nullif(_three(F.substr("put", F.lit(1), F.lit(1))), F.lit("")), F.lit("Xaa"))), p))
+        .when((n_gone == 1) & (n_put == 1), told("missense", p_(number(p), _three(F.col("put"))), p))
+        .when((n_gone > 0) & (n_put > 0), told("deletion-insertion", p_(span(p, n_gone), F.lit("delins"), _three(F.col("put"))), p))
+        .when((n_gone > 0) & ends & (p + n_gone == F.size("rs")), told("nonsense", p_(number(p), F.lit("Ter")), p))
+        .when(n_gone > 0, told("deletion", p_(span(p, n_gone), F.lit("del")), p))
+        .when((before >= 1) & (F.substr("r", before, n_put) == F.col("put")), told("duplication", p_(span(before, n_put), F.lit("dup")), before))
+        .otherwise(told("insertion", p_(number(F.col("k")), F.lit("_"), number(p), F.lit("ins"), _three(F.col("put"))), F.col("k")))
+    )
+    coding = (
+        F.when(F.col("swap"), swapped)
+        .when((F.col("r") == F.col("n")) & (first > F.size("rs")), told("synonymous", F.lit("p.="), none))
+        .when(F.col("r") == F.col("n"), told("synonymous", p_(number(first), F.lit("=")), first))
+        .when((F.size("ns") == 0) | ((F.col("k") == 0) & methionine), told("start lost", none, F.lit(1)))
+        .when(F.col("moved"), shifted)
+        .otherwise(in_frame)
+    )
+    offsets = F.transform(F.regexp_extract_all("variant", F.lit(r"\d([+-]\d+)"), 1), lambda x: F.abs(x.cast("int")))
+    region = (
+        F.when(F.col("variant").rlike(r"^c\.\S*\d[+-]\d"), F.when(F.exists(offsets, lambda x: x <= 2), "splice site").otherwise("intronic"))
+        .when(F.col("variant").rlike(r"^c\.-\d+_\d+(del|delins)"), "start lost").when(F.col("variant").rlike(r"^c\.-\d"), "5' UTR").when(F.col("variant").rlike(r"^c\.\*\d"), "3' UTR")
+    )
+    out = settle(rows, told=F.when(F.col("kind").isNull(), F.struct(region.alias("class"), none.cast("string").alias("pro_key"), none.cast("int").alias("position"))).when(F.col("known"), coding))
+    return out.select(*by, "variant", "told.class", "told.pro_key", "told.position")
 
 
 def combine_codons(counts: DataFrame, consequences: DataFrame, by: Sequence[str] = ("dataset_id",)) -> tuple[DataFrame, DataFrame]:
@@ -439,12 +465,11 @@ def names_from_sequences(df: DataFrame, wt: str, column: str = "sequence") -> Da
     """Adds ``nt_key`` and ``pro_key`` of a whole coding sequence, compared with the wild type ``wt``."""
     s = F.upper(column)
     ok = (F.length(s) == len(wt)) & s.rlike("^[ACGT]+$")
-    ref_protein = _protein(wt, False)
     letter = lambda text, i: F.lit(text).substr(i, F.lit(1))
     moved = F.filter(F.sequence(F.lit(1), F.lit(len(wt))), lambda i: F.substr(s, i, F.lit(1)) != letter(wt, i))
     nt = F.transform("__m", lambda i: F.concat(i.cast("string"), letter(wt, i), F.lit(">"), F.substr(s, i, F.lit(1))))
     codons = F.array_distinct(F.transform("__m", lambda i: F.floor((i - 1) / 3 + 1).cast("int")))
-    residues = F.transform(codons, lambda k: F.struct(k.alias("k"), letter(ref_protein, k).alias("r"), translated(F.substr(s, 3 * k - 2, F.lit(3))).alias("a")))
+    residues = F.transform(codons, lambda k: F.struct(k.alias("k"), translated(F.lit(wt).substr(3 * k - 2, F.lit(3))).alias("r"), translated(F.substr(s, 3 * k - 2, F.lit(3))).alias("a")))
     write = lambda p, xs: F.when(F.size(xs) == 1, F.concat(F.lit(p), F.get(xs, F.lit(0)))).otherwise(F.concat(F.lit(p + "["), F.array_join(xs, ";"), F.lit("]")))
     changed = F.transform(F.filter("__r", lambda x: x["r"] != x["a"]), lambda x: F.concat(three_of(x["r"]), x["k"].cast("string"), three_of(x["a"])))
     quiet = F.transform("__r", lambda x: F.concat(three_of(x["r"]), x["k"].cast("string"), F.lit("=")))

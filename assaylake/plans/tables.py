@@ -143,8 +143,8 @@ def n10(t: Facts):
 
 # The wild-type coding sequence: the first codon of each residue of the target.
 _CODON_OF = {}
-for _codon, _aa in nm.CODE.items():
-    _CODON_OF.setdefault(_aa, _codon)
+for _i, _aa in enumerate(nm.GENETIC_CODE):
+    _CODON_OF.setdefault(_aa, nm.BASES[_i // 16] + nm.BASES[_i // 4 % 4] + nm.BASES[_i % 4])
 WT_DNA = "".join(_CODON_OF["ARNDCQEGHILKMFPSTWYV"[(p * 7) % 20]] for p in range(1, N_POSITIONS + 1))
 LENGTH = len(WT_DNA)
 
@@ -192,13 +192,46 @@ def n6(t: Facts):
     return nm.consequence_subs(nt_names(t), codons(t))
 
 
-INDEL = f"CASE l_linenumber % 4 WHEN 0 THEN concat('c.', CAST({_N1} AS STRING), 'del') WHEN 1 THEN concat('c.', CAST({_LO} AS STRING), '_', CAST({_HI} + 1 AS STRING), 'del') WHEN 2 THEN concat('c.', CAST({_N1} AS STRING), '_', CAST({_N1} + 1 AS STRING), 'insGAT') ELSE concat('c.', CAST({_N1} AS STRING), '_', CAST({_N1} + 2 AS STRING), 'dup') END"
-
-
-@query("n7_consequence_indels", "dataset_id:s variant:s class:s pro_key:s position:i")
+# The target with its stop codon, so that changes reach it.
+STOPPED = WT_DNA + "TAA"
+_INDELS = [
+    f"concat('c.', CAST({_N1} AS STRING), 'del')", f"concat('c.', CAST({_LO} AS STRING), '_', CAST({_HI} + 1 AS STRING), 'del')", f"concat('c.', CAST({_N1} AS STRING), '_', CAST({_N1} + 1 AS STRING), 'insGAT')",
+    f"concat('c.', CAST({_N1} AS STRING), '_', CAST({_N1} + 2 AS STRING), 'dup')", f"concat('c.', CAST({_N1} AS STRING), '_', CAST({_N1} + 2 AS STRING), 'delinsTGATAC')", f"concat('c.', CAST({_N1} AS STRING), '_', CAST({_N1} + 5 AS STRING), 'delinsGCA')",
+    f"concat('c.', CAST({_N1} AS STRING), '_', CAST({_N1} + 1 AS STRING), 'insTAAG')", f"concat('c.', CAST({_LO} AS STRING), '_', CAST({_HI} + 3 AS STRING), 'dup')",
+]
+INDEL = "CASE l_suppkey % 8 " + " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(_INDELS)) + " END"
+_T = "substr('" + THREE_LETTER + "', CAST(3 * instr('ARNDCQEGHILKMFPSTWYV*', {x}) - 2 AS INT), 3)"
+_PROTEIN = "array_to_string(list_transform(range(0, length({x}) // 3), lambda i: substr('" + nm.GENETIC_CODE + "', CAST(1 + 16 * (instr('TCAG', substr({x}, 3 * i + 1, 1)) - 1) + 4 * (instr('TCAG', substr({x}, 3 * i + 2, 1)) - 1) + instr('TCAG', substr({x}, 3 * i + 3, 1)) - 1 AS INT), 1)), '')"
+_TOSTOP = "CASE WHEN instr({x}, '*') > 0 THEN left({x}, instr({x}, '*')) ELSE {x} END"
+_LETTERS3 = "array_to_string(list_transform(string_split({x}, ''), lambda c: " + _T.format(x="c") + "), '')"
+_NUM = lambda i: f"concat({_T.format(x=f'substr(r, CAST({i} AS INT), 1)')}, CAST({i} AS VARCHAR))"
+_SPAN = lambda i, n: f"concat({_NUM(i)}, CASE WHEN {n} > 1 THEN concat('_', {_NUM(f'({i} + {n} - 1)')}) ELSE '' END)"
+SHARED_SQL["indel_names"] = f"SELECT DISTINCT {DATASET} AS dataset_id, {INDEL} AS variant FROM lineitem"
+SHARED_SQL["indel_edits"] = f"""SELECT dataset_id, variant, s, e, kind, '{STOPPED}' AS dna, CASE kind WHEN 'dup' THEN concat(left('{STOPPED}', e), substr('{STOPPED}', s, e - s + 1), substr('{STOPPED}', e + 1))
+    WHEN 'ins' THEN concat(left('{STOPPED}', s), bases, substr('{STOPPED}', s + 1)) ELSE concat(left('{STOPPED}', s - 1), bases, substr('{STOPPED}', e + 1)) END AS altered, CASE kind WHEN 'dup' THEN e WHEN 'ins' THEN s ELSE s - 1 END AS kept
+    FROM (SELECT *, CAST(regexp_extract(variant, '^c.([0-9]+)', 1) AS INT) AS s, CAST(coalesce(nullif(regexp_extract(variant, '_([0-9]+)', 1), ''), regexp_extract(variant, '^c.([0-9]+)', 1)) AS INT) AS e,
+    regexp_extract(variant, '(delins|del|dup|ins)', 1) AS kind, regexp_extract(variant, '([ACGT]*)$', 1) AS bases FROM indel_names)"""
+SHARED_SQL["indel_proteins"] = f"""SELECT *, CASE WHEN (length(altered) - length(dna)) % 3 <> 0 THEN {_TOSTOP.format(x='w')} WHEN instr(substr(w, length(r)), '*') > 0 THEN left(w, length(r) - 1 + instr(substr(w, length(r)), '*')) ELSE w END AS n
+    FROM (SELECT *, {_PROTEIN.format(x='altered')} AS w, {_TOSTOP.format(x=_PROTEIN.format(x='dna'))} AS r FROM indel_edits WHERE e <= length(dna))"""
+SHARED_SQL["indel_middles"] = """SELECT *, substr(r, k + 1, length(r) - k - t) AS gone, CASE WHEN instr(p0, '*') > 0 THEN left(p0, instr(p0, '*')) ELSE p0 END AS put FROM (SELECT *, substr(n, k + 1, length(n) - k - t) AS p0 FROM (
+    SELECT *, list_max(list_filter(range(0, least(length(r), length(n)) - k + 1), lambda i: right(r, i) = right(n, i))) AS t FROM (SELECT *, list_max(list_filter(range(0, least(length(r), length(n)) + 1), lambda i: left(r, i) = left(n, i))) AS k FROM indel_proteins)))"""
+
+
+@query(
+    "n7_consequence_indels",
+    "dataset_id:s variant:s class:s pro_key:s position:i",
+    f"""SELECT dataset_id, variant, class, CASE class WHEN 'frameshift' THEN concat('p.', {_NUM('least(k + 1, length(r))')}, 'fs') WHEN 'nonsense' THEN concat('p.', {_NUM('(k + 1)')}, 'Ter') WHEN 'stop lost' THEN concat('p.Ter', CAST(k + 1 AS VARCHAR), coalesce(nullif({_T.format(x='substr(n, CAST(k + 1 AS INT), 1)')}, ''), 'Xaa'))
+        WHEN 'synonymous' THEN CASE WHEN kept // 3 >= length(r) THEN 'p.=' ELSE concat('p.', {_NUM('(kept // 3 + 1)')}, '=') END WHEN 'missense' THEN concat('p.', {_NUM('(k + 1)')}, {_T.format(x='put')}) WHEN 'deletion-insertion' THEN concat('p.', {_SPAN('(k + 1)', 'length(gone)')}, 'delins', {_LETTERS3.format(x='put')})
+        WHEN 'deletion' THEN concat('p.', {_SPAN('(k + 1)', 'length(gone)')}, 'del') WHEN 'duplication' THEN concat('p.', {_SPAN('(k - length(put) + 1)', 'length(put)')}, 'dup') WHEN 'insertion' THEN concat('p.', {_NUM('k')}, '_', {_NUM('(k + 1)')}, 'ins', {_LETTERS3.format(x='put')}) END AS pro_key,
+        CASE class WHEN 'frameshift' THEN least(k + 1, length(r)) WHEN 'synonymous' THEN CASE WHEN kept // 3 < length(r) THEN kept // 3 + 1 END WHEN 'duplication' THEN k - length(put) + 1 WHEN 'insertion' THEN k ELSE k + 1 END AS position FROM (
+        SELECT *, CASE WHEN n = r THEN 'synonymous' WHEN n = '' THEN 'start lost' WHEN (length(altered) - length(dna)) % 3 <> 0 THEN CASE WHEN k < length(r) AND substr(n, CAST(k + 1 AS INT), 1) = '*' THEN 'nonsense' WHEN k + 1 = length(r) AND length(n) > k THEN 'stop lost' ELSE 'frameshift' END
+          WHEN left(put, 1) = '*' THEN 'nonsense' WHEN k + 1 = length(r) THEN 'stop lost' WHEN length(gone) = 1 AND length(put) = 1 THEN 'missense' WHEN gone <> '' AND put <> '' THEN 'deletion-insertion'
+          WHEN gone <> '' AND k + 1 + length(gone) = length(r) THEN 'nonsense' WHEN gone <> '' THEN 'deletion' WHEN k >= length(put) AND substr(r, CAST(k - length(put) + 1 AS INT), length(put)) = put THEN 'duplication' ELSE 'insertion' END AS class FROM indel_middles)
+        UNION ALL SELECT dataset_id, variant, NULL, NULL, NULL FROM indel_edits WHERE e > length(dna)""",
+)
 def n7(t: Facts):
     names = t.table("lineitem").selectExpr(f"{DATASET} AS dataset_id", f"{INDEL} AS variant")
-    return nm.consequence_indels(names, t.datasets.withColumn("sequence", F.lit(WT_DNA)))
+    return nm.consequence_indels(names, t.datasets.withColumn("sequence", F.lit(STOPPED)))
 
 
 _ROWS = f"""SELECT {DATASET} AS dataset_id, l_suppkey AS row_no, concat('c.', CAST({_N1} AS STRING), {_base(_N1)}, '>', {_other(_N1, '0')}) AS variant, l_linestatus AS sample_id,

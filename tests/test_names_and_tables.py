@@ -22,13 +22,54 @@ def test_parse_variants(spark):
     assert got == names
 
 
-def test_indels():
-    dna = "ATGGCTGGTTGGTAA"
-    assert nm.indel_consequence("c.4_6del", dna)[:2] == ("deletion", "p.Ala2del")
-    assert nm.indel_consequence("c.5del", dna)[0] == "frameshift"
-    assert nm.indel_consequence("c.4_6dup", dna)[:2] == ("duplication", "p.Ala2dup")
-    assert nm.indel_consequence("c.6_7insTGG", dna)[:2] == ("insertion", "p.Ala2_Gly3insTrp")
-    assert nm.indel_consequence("c.1_2del", dna)[0] == "start lost"
+# Coding sequences: M A G W stop, and M A A G L without a stop.
+SHORT, OPEN = "ATGGCTGGTTGGTAA", "ATGGCTGCTGGTCTT"
+INDELS = [
+    (SHORT, "c.4_6del", "deletion", "p.Ala2del", 2),
+    (SHORT, "c.4_9del", "deletion", "p.Ala2_Gly3del", 2),
+    (SHORT, "c.5del", "frameshift", "p.Ala2fs", 2),
+    (SHORT, "c.4_6dup", "duplication", "p.Ala2dup", 2),
+    (SHORT, "c.4_9dup", "duplication", "p.Ala2_Gly3dup", 2),
+    (SHORT, "c.6_7insTGG", "insertion", "p.Ala2_Gly3insTrp", 2),
+    (SHORT, "c.1_2del", "start lost", None, 1),
+    (SHORT, "c.13_15delinsTGGTAA", "stop lost", "p.Ter5Trp", 5),
+    (SHORT, "c.13_15delinsTGG", "stop lost", "p.Ter5Trp", 5),
+    (SHORT, "c.13_15del", "stop lost", "p.Ter5Xaa", 5),
+    (SHORT, "c.7_12del", "nonsense", "p.Gly3Ter", 3),
+    (SHORT, "c.13_15dup", "synonymous", "p.=", None),
+    (SHORT, "c.12_13insTAA", "synonymous", "p.Ter5=", 5),
+    (SHORT, "c.6_7insTAA", "nonsense", "p.Gly3Ter", 3),
+    (SHORT, "c.6_7insTGGTAATGG", "insertion", "p.Ala2_Gly3insTrpTer", 2),
+    (SHORT, "c.9_10insTAAG", "nonsense", "p.Trp4Ter", 4),
+    (SHORT, "c.4_9delinsTGG", "deletion-insertion", "p.Ala2_Gly3delinsTrp", 2),
+    (SHORT, "c.4_6delinsTGG", "missense", "p.Ala2Trp", 2),
+    (SHORT, "c.4_9delinsGCCGGA", "synonymous", "p.[Ala2=;Gly3=]", 2),
+    (SHORT, "c.4_9delinsTGGTGG", "multi-variant", "p.[Ala2Trp;Gly3Trp]", 2),
+    (SHORT, "c.4_9delinsTAATGG", "nonsense", "p.Ala2Ter", 2),
+    (SHORT, "c.1_6delinsGTGTGG", "start lost", None, 1),
+    (OPEN, "c.4_6del", "deletion", "p.Ala3del", 3),
+    (OPEN, "c.4_6dup", "duplication", "p.Ala3dup", 3),
+    (OPEN, "c.14_15del", "frameshift", "p.Leu5fs", 5),
+    (SHORT, "c.88+1_88+5del", "splice site", None, None),
+    (SHORT, "c.88+10del", "intronic", None, None),
+    (SHORT, "c.-4del", "5' UTR", None, None),
+    (SHORT, "c.-4_2del", "start lost", None, None),
+    (SHORT, "c.*4del", "3' UTR", None, None),
+    (SHORT, "c.14_19del", None, None, None),
+    (SHORT, "nonsense name", None, None, None),
+]
+
+
+def test_indels(spark):
+    targets = spark.createDataFrame([("s", SHORT), ("o", OPEN)], "dataset_id string, sequence string")
+    names = spark.createDataFrame([("s" if dna == SHORT else "o", name) for dna, name, *_ in INDELS], "dataset_id string, variant string")
+    got = {(r.dataset_id, r.variant): (r["class"], r.pro_key, r.position) for r in nm.consequence_indels(names, targets).collect()}
+    wrong = []
+    for dna, name, cls, key, position in INDELS:
+        have = got["s" if dna == SHORT else "o", name]
+        if have[0] != cls or (key is not None and have[1] != key) or have[2] != position:
+            wrong.append((name, have, (cls, key, position)))
+    assert not wrong
 
 
 def test_read_counts_with_comments_and_gz(spark, tmp_path):
