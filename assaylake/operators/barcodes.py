@@ -87,77 +87,103 @@ def barcode_disagreement(rows: DataFrame, group: Sequence[str] = GROUP) -> DataF
     return dev.join(phi, by, "left").withColumn("z", F.when(F.col("k") >= 3, F.col("dev") / scale))
 
 
-def _remove_worst(y: np.ndarray, v: np.ndarray, scale: float, limit: float) -> tuple[np.ndarray, np.ndarray]:
-    alive, z, out = np.ones(len(y), bool), np.full(len(y), np.nan), np.zeros(len(y), bool)
-    w = 1 / v
-    while alive.sum() >= 3:
-        i = np.flatnonzero(alive)
-        sw, swy = w[i].sum(), (w[i] * y[i]).sum()
-        z[i] = (y[i] - (swy - w[i] * y[i]) / (sw - w[i])) / np.sqrt(v[i] + 1 / (sw - w[i])) / scale
-        worst = i[np.argmax(np.abs(z[i]))]
-        if not abs(z[worst]) > limit:
+#: How far below its limit a barcode is a candidate, and candidates of a variant worked through at once.
+MARGIN, HELD = 1.0, 4096
+
+
+def _set_aside(y: np.ndarray, v: np.ndarray, scale: float, limit: float, alive: int, sw: float, swy: float) -> tuple:
+    """Removes the worst of a variant's candidates until none departs by more than ``limit`` from all others.
+
+    ``alive, sw, swy`` are the totals of the whole variant, from which each candidate's departure follows. Gives the departure of each removed one (NaN for those that stay),
+    what is left of the totals, and between which bounds the mean and the total weight moved meanwhile.
+    """
+    w, z = 1 / v, np.full(len(y), np.nan)
+    there = np.ones(len(y), bool)
+    means, weights = [swy / sw], [sw]
+    while alive >= 3 and there.any():
+        i = np.flatnonzero(there)
+        others = sw - w[i]
+        now = (y[i] - (swy - w[i] * y[i]) / others) / np.sqrt(v[i] + 1 / others) / scale
+        worst = int(np.argmax(np.abs(now)))
+        if not abs(now[worst]) > limit:
             break
-        out[worst], alive[worst] = True, False
-        if alive.sum() < 3:
-            z[alive] = np.nan
-    return z, out
+        j = i[worst]
+        z[j], there[j] = now[worst], False
+        alive, sw, swy = alive - 1, sw - w[j], swy - w[j] * y[j]
+        means.append(swy / sw), weights.append(sw)
+    return z, alive, sw, swy, min(means), max(means), min(weights), max(weights)
 
 
-def barcode_outliers(rows: DataFrame, limit: float = 4.0, group: Sequence[str] = GROUP, bound: int = 512) -> DataFrame:
-    """Barcodes with ``z`` and whether each is an ``outlier``, the worst set aside one at a time.
+def barcode_outliers(rows: DataFrame, limit: float = 4.0, group: Sequence[str] = GROUP, held: int = HELD) -> DataFrame:
+    """Barcodes with ``z`` and whether each is an ``outlier``, the worst set aside one at a time; variants of any size.
 
-    ``rows`` are used barcodes with ``score, se``. Variants of at most ``bound`` barcodes are worked
-    through as arrays; larger ones in rounds, each one aggregate over all of them.
+    ``rows`` are used barcodes with ``score, se``. Only candidates, near the limit or beyond, travel as an array; the rest of a variant stands by its
+    totals. A pass then bounds, from how far mean and weight moved, whether any other barcode could have been the worst; such ones become candidates too. A variant with more than
+    ``held`` candidates is worked through under a higher limit first, which removes the same ones in the same order. The number of jobs does not depend on
+    the number of outliers below ``held`` a variant. An outlier's z is the one it was removed for; where fewer than three barcodes are left, they have none.
     """
     group = list(group)
-    judged = barcode_disagreement(rows, group)
-    member = F.struct("barcode", "score", "se")
-    small = (
-        judged.where(F.col("k") <= bound)
-        .groupBy(*group)
-        .agg(F.array_sort(F.collect_list(member)).alias("m"), F.max("phi").alias("phi"))
-    )
+    w = 1 / (F.col("se") * F.col("se"))
+    alive = cut(barcode_disagreement(rows, group).select(*group, "barcode", "score", "se", "k", "phi", "z"))
+    far = F.abs("z")
+    gone = None
 
-    @F.pandas_udf("z array<double>, outlier array<boolean>")
-    def settle(y: pd.Series, se: pd.Series, phi: pd.Series) -> pd.DataFrame:
+    @F.pandas_udf("z array<double>, alive long, sw double, swy double, low double, high double, least double, most double")
+    def settle(y: pd.Series, se: pd.Series, phi: pd.Series, lim: pd.Series, n: pd.Series, sw: pd.Series, swy: pd.Series) -> pd.DataFrame:
         got = [
-            _remove_worst(np.asarray(a, float), np.square(np.asarray(s, float)), float(np.sqrt(p)) if p == p and p else 1.0, limit)
-            for a, s, p in zip(y, se, phi.astype(float))
+            _set_aside(np.asarray(a, float), np.square(np.asarray(s, float)), float(np.sqrt(p)) if p == p and p else 1.0, x, int(k), t, u)
+            for a, s, p, x, k, t, u in zip(y, se, phi.astype(float), lim, n, sw, swy)
         ]
-        return pd.DataFrame({"z": [g[0] for g in got], "outlier": [g[1] for g in got]})
+        return pd.DataFrame(got, columns=["z", "alive", "sw", "swy", "low", "high", "least", "most"])
 
-    settled = small.withColumn("s", settle(F.transform("m", lambda r: r["score"]), F.transform("m", lambda r: r["se"]), "phi"))
-    done = settled.select(*group, "phi", F.explode(F.arrays_zip("m", F.col("s.z").alias("z"), F.col("s.outlier").alias("outlier"))).alias("r")).select(
-        *group, "r.m.barcode", "r.m.score", "r.m.se", "phi", F.when(~F.isnan("r.z"), F.col("r.z")).alias("z"), "r.outlier"
-    )
-    large = judged.where(F.col("k") > bound).select(*group, "barcode", "score", "se", "phi", "z")
-    if large.isEmpty():
-        return done
-    state = cut(large.withColumn("outlier", F.lit(False)))
+    todo = alive.where("k >= 3")
     while True:
-        worst = (
-            state.where("NOT outlier")
-            .groupBy(*group)
-            .agg(F.max(F.struct(F.abs("z").alias("a"))).alias("top"), F.count(F.lit(1)).alias("left"))
-            .where((F.col("top.a") > limit) & (F.col("left") >= 3))
-        )
-        hit = (
-            state.where("NOT outlier")
-            .join(worst.select(*group, F.col("top.a").alias("a")), group)
-            .where(F.abs("z") == F.col("a"))
-            .groupBy(*group)
-            .agg(F.min("barcode").alias("barcode"), F.lit(True).alias("hit"))
-        )
-        hit = cut(hit)
-        if hit.isEmpty():
+        n_parts = 1000
+        near = todo.groupBy(*group).agg(
+            F.max(far).alias("_top"), F.count_if(far > limit - MARGIN).alias("_n"), F.percentile_approx(F.when(far > limit - MARGIN, far), [i / n_parts for i in range(n_parts)], 10_000).alias("_q"),
+            F.count(F.lit(1)).alias("_alive"), F.sum(w).alias("_sw"), F.sum(w * F.col("score")).alias("_swy"), F.max("phi").alias("_phi"),
+        ).where(F.col("_top") > limit)
+        many = F.col("_n") > held
+        cut_at = F.get("_q", F.ceil(n_parts * (1 - held / F.col("_n"))).cast("int"))
+        wave = cut(near.withColumn("_floor", F.when(many, F.coalesce(cut_at, F.lit(limit - MARGIN))).otherwise(limit - MARGIN)).withColumn("_lim", F.when(many, F.col("_floor") + MARGIN).otherwise(limit)).drop("_q"))
+        if wave.isEmpty():
+            break
+        both = todo.join(wave, group)
+        while True:
+            chosen = both.where(far > F.col("_floor"))
+            arrays = chosen.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("barcode", "score", "se"))).alias("m"), *[F.max(c).alias(c) for c in ("_floor", "_lim", "_alive", "_sw", "_swy", "_phi")])
+            part = lambda c: F.transform("m", lambda r: r[c])
+            settled = cut(arrays.withColumn("s", settle(part("score"), part("se"), "_phi", "_lim", "_alive", "_sw", "_swy")).select(*group, "m", "_floor", "_lim", "s.*"))
+            # Beyond what any mean and weight on the way could give: |y - mean| W / (W - w) over the root of v + 1 / (W - w).
+            moved = both.drop("_floor", "_lim").join(settled.drop("m").withColumnRenamed("z", "_zs"), group).where(far <= F.col("_floor"))
+            reach = F.greatest(F.abs(F.col("score") - F.col("low")), F.abs(F.col("score") - F.col("high"))) * F.col("least") / (F.col("least") - w)
+            bound = reach / F.sqrt(1 / w + 1 / (F.col("most") - w)) / F.sqrt(F.coalesce("phi", F.lit(1.0)))
+            missed = cut(moved.where((F.col("least") <= w) | (bound > F.col("_lim"))).groupBy(*group).agg(F.min(far).alias("_low")))
+            if missed.isEmpty():
+                break
+            both = both.join(missed, group, "left").withColumn("_floor", F.least(F.col("_floor"), F.coalesce(F.col("_low") * (1 - 1e-9) - 1e-12, F.col("_floor")))).drop("_low")
+        out = settled.select(*group, F.explode(F.arrays_zip("m", F.col("z"))).alias("r")).select(*group, "r.m.barcode", F.col("r.z").alias("_z")).where(F.col("_z").isNotNull() & ~F.isnan("_z"))
+        out = cut(out)
+        gone = out if gone is None else gone.unionByName(out)
+        # Variants whose limit was raised go on from what is left of them.
+        left = settled.where(F.col("_lim") > limit).select(*group, F.col("alive").alias("k2"), F.col("sw").alias("_w"), F.col("swy").alias("_wy"))
+        if left.isEmpty():
             break
-        marked = state.join(hit, [*group, "barcode"], "left").withColumn("outlier", F.col("outlier") | F.coalesce("hit", F.lit(False))).drop("hit")
-        touched = marked.join(hit.select(*group), group, "left_semi")
-        rest = marked.join(hit.select(*group), group, "left_anti")
-        again = _leave_one_out_z(touched.where("NOT outlier").drop("z"), group)
-        again = again.withColumn("z", F.when(F.col("k") >= 3, F.col("dev") / F.sqrt(F.coalesce("phi", F.lit(1.0))))).drop("k", "dev")
-        state = cut(rest.unionByName(touched.where("outlier")).unionByName(again))
-    return done.unionByName(state.select(*done.columns))
+        rest = todo.join(left, group).join(out, [*group, "barcode"], "left_anti")
+        others = F.col("_w") - w
+        dev = (F.col("score") - (F.col("_wy") - w * F.col("score")) / others) / F.sqrt(1 / w + 1 / others)
+        todo = cut(rest.where("k2 >= 3").select(*group, "barcode", "score", "se", F.col("k2").alias("k"), "phi", (dev / F.sqrt(F.coalesce("phi", F.lit(1.0)))).alias("z")))
+    if gone is None:
+        return alive.select(*group, "barcode", "score", "se", "phi", "z", F.lit(False).alias("outlier"))
+    gone = cut(gone)
+    sums = gone.join(alive.select(*group, "barcode", "score", "se"), [*group, "barcode"]).groupBy(*group).agg(F.count(F.lit(1)).alias("_n"), F.sum(w).alias("_gw"), F.sum(w * F.col("score")).alias("_gwy"))
+    totals = alive.join(sums.select(*group), group, "left_semi").groupBy(*group).agg(F.count(F.lit(1)).alias("_k"), F.sum(w).alias("_sw"), F.sum(w * F.col("score")).alias("_swy")).join(sums, group)
+    totals = totals.select(*group, (F.col("_k") - F.col("_n")).alias("_left"), (F.col("_sw") - F.col("_gw")).alias("_w"), (F.col("_swy") - F.col("_gwy")).alias("_wy"))
+    marked = alive.join(totals, group, "left").join(gone, [*group, "barcode"], "left")
+    others = F.col("_w") - w
+    again = (F.col("score") - (F.col("_wy") - w * F.col("score")) / others) / F.sqrt(1 / w + 1 / others) / F.sqrt(F.coalesce("phi", F.lit(1.0)))
+    z = F.when(F.col("_z").isNotNull(), F.col("_z")).when(F.col("_left").isNull(), F.col("z")).when(F.col("_left") >= 3, again)
+    return marked.select(*group, "barcode", "score", "se", "phi", z.alias("z"), F.col("_z").isNotNull().alias("outlier"))
 
 
 def combine_barcodes(rows: DataFrame, how: str = "reml", group: Sequence[str] = GROUP) -> DataFrame:

@@ -310,7 +310,20 @@ def a14(t: Facts):
     return bc.barcode_disagreement(used_barcodes(t))
 
 
-@query("a15_barcode_outliers", "dataset_id:s replicate_id:s variant:s barcode:s z:d outlier:b")
+# One barcode less a step: the state is the list of those left, its totals and the one just taken out.
+A15_SQL = """WITH RECURSIVE p AS (SELECT dataset_id, replicate_id, greatest(1, median(dev * dev) / 0.454936423119572) AS phi FROM barcode_dev WHERE dev IS NOT NULL GROUP BY ALL),
+    g AS (SELECT b.dataset_id, b.replicate_id, b.variant, list({'b': b.barcode, 'y': score, 'w': 1 / (se * se)} ORDER BY b.barcode) AS m, sqrt(any_value(coalesce(phi, 1))) AS f FROM barcode_scores b LEFT JOIN p USING (dataset_id, replicate_id) GROUP BY ALL),
+    s AS (SELECT dataset_id, replicate_id, variant, f, m, CAST(NULL AS VARCHAR) AS gone, CAST(NULL AS DOUBLE) AS gone_z FROM g
+      UNION ALL SELECT dataset_id, replicate_id, variant, f, list_filter(m, lambda x: x.b <> t.b), t.b, t.z FROM (
+        SELECT *, list_sort(list_transform(m, lambda x: {'a': -abs((x.y - (swy - x.w * x.y) / (sw - x.w)) / sqrt(1 / x.w + 1 / (sw - x.w)) / f), 'b': x.b, 'z': (x.y - (swy - x.w * x.y) / (sw - x.w)) / sqrt(1 / x.w + 1 / (sw - x.w)) / f}))[1] AS t
+        FROM (SELECT *, list_sum(list_transform(m, lambda x: x.w)) AS sw, list_sum(list_transform(m, lambda x: x.w * x.y)) AS swy FROM s WHERE len(m) >= 3)) WHERE -t.a > 2.0),
+    e AS (SELECT dataset_id, replicate_id, variant, f, arg_min(m, len(m)) AS m FROM s GROUP BY ALL),
+    t AS (SELECT *, list_sum(list_transform(m, lambda x: x.w)) AS sw, list_sum(list_transform(m, lambda x: x.w * x.y)) AS swy FROM e)
+    SELECT dataset_id, replicate_id, variant, gone AS barcode, gone_z AS z, true AS outlier FROM s WHERE gone IS NOT NULL
+    UNION ALL SELECT dataset_id, replicate_id, variant, x.b, CASE WHEN n >= 3 THEN (x.y - (swy - x.w * x.y) / (sw - x.w)) / sqrt(1 / x.w + 1 / (sw - x.w)) / f END, false FROM (SELECT dataset_id, replicate_id, variant, f, sw, swy, len(m) AS n, unnest(m) AS x FROM t)"""
+
+
+@query("a15_barcode_outliers", "dataset_id:s replicate_id:s variant:s barcode:s z:d outlier:b", A15_SQL)
 def a15(t: Facts):
     return bc.barcode_outliers(used_barcodes(t), limit=2.0)
 
