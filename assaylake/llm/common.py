@@ -84,10 +84,18 @@ def longs(values) -> pa.Array:
 
 
 _LIBC: list = []
+#: What modules keep in a Python worker between tasks, by name of the module.
+KEPT: dict[str, dict] = {}
 
 
-def give_back() -> None:
-    """Returns freed memory of a Python worker to the system: workers outlive their tasks, and what one stage needed must not stay beside the next one's."""
+def give_back(keep: str | None = None) -> None:
+    """Forgets what other modules keep in a Python worker and returns freed memory to the system.
+
+    Workers outlive their tasks, and what one stage needed must not stay beside the next one's.
+    """
+    for name, kept in KEPT.items():
+        if name != keep:
+            kept.clear()
     if not _LIBC:
         try:
             libc = ctypes.CDLL("libc.so.6")

@@ -61,7 +61,7 @@ def cut_pieces(docs: DataFrame, path: str, spaces: str = "kept", end_id: int = E
                 columns = [doc.cast(pa.int64()), pa.array(piece, pa.int32()), longs(start), longs(length), longs([zlib.crc32(x) for x in payload])]
                 yield pa.RecordBatch.from_arrays(columns + ([pa.array(payload, pa.binary())] if ids else []), names)
         coder.rest()
-        give_back()
+        give_back(keep="tokens")
 
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + (["ids"] if ids else [])
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids binary" if ids else "")

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assaylake.functions.lineage import spread
-from assaylake.llm.common import longs, slices, small_batches, table
+from assaylake.llm.common import KEPT, longs, slices, small_batches, table
 from assaylake.llm.registry import query
 
 #: Two primes below 2^31 and a base for each.
@@ -26,7 +26,7 @@ BASES = (1000003721, 1812433253)
 #: Sampled lengths grow by this factor.
 GROWTH = 1.2
 BLOCK_BYTES = 2 << 20
-_POWERS: dict[tuple[int, int], np.ndarray] = {}
+_POWERS: dict[tuple[int, int], np.ndarray] = KEPT.setdefault("prefix_hashes", {})
 _LENGTHS = np.zeros(0, np.int64)
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from assaylake.llm.common import KEPT
+
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -13,7 +15,7 @@ LETTERS = np.zeros(256, bool)
 LETTERS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-_POWERS: dict[str, np.ndarray] = {}
+_POWERS: dict[str, np.ndarray] = KEPT.setdefault("terms", {})
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -26,7 +28,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 def _powers(name: str, base: int, n: int) -> np.ndarray:
     have = _POWERS.get(name)
     if have is None or len(have) < n:
-        size = max(n, 1 << 21)
+        size = max(n + n // 4, 1 << 18)
         have = np.full(size, base, U)
         have[0] = 1
         have = np.cumprod(have)

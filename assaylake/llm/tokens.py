@@ -13,6 +13,8 @@ import re
 import sys
 from array import array
 
+from assaylake.llm.common import KEPT
+
 #: White space other than ASCII's, and what only Python takes for it, as UTF-8. A text that has any is encoded whole.
 FOREIGN = [b"\x1c", b"\x1d", b"\x1e", b"\x1f", b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80"]
 #: A blank after other white space: such a text is cut before every run of white space, not at single blanks.
@@ -154,7 +156,7 @@ class Encoder:
         return b"".join(found)
 
 
-_ENCODERS: dict[tuple, Encoder] = {}
+_ENCODERS: dict[tuple, Encoder] = KEPT.setdefault("tokens", {})
 
 
 def encoder(path: str, spaces: str, width: int) -> Encoder:
