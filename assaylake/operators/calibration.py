@@ -261,24 +261,111 @@ def range_counts(scores: DataFrame, ranges: DataFrame, by: Sequence[str] = KEYS)
     return ranges.select(*by, "label").join(hit, [*by, "label"], "left").na.fill(0, ["n", "p", "b"])
 
 
-# Cumulative probabilities of a Poisson count with mean 1.
-_POISSON = np.cumsum(np.exp(-1.0) / np.array([1, 1, 2, 6, 24, 120, 720, 5040, 40320, 362880], dtype=float))
+# Where the resampled curves are read.
+SPECIFICITIES = [k * 0.05 for k in range(21)]
+RECALLS = [(k + 1) * 0.05 for k in range(20)]
+#: Resamples drawn in one task.
+DRAWS = 100
 
 
-def bootstrap(controls: DataFrame, samples: int = 2000, seed: int = 20261009, side: str = "below", rule: str = "error", by: Sequence[str] = KEYS, row_id: str = "key") -> DataFrame:
-    """Percentile intervals of AUC, PR area and thresholds over Poisson-weighted resamples.
+def _curve_measures(u: np.ndarray, p: np.ndarray, b: np.ndarray, rule: str, error: float) -> list[float]:
+    """AUC, PR area, both thresholds (oriented, infinite for an empty class), whether they are one, sensitivities and precisions of one resample.
 
-    Each control counts a Poisson(1) number of times in each sample, from a hash of its key, the
-    sample and the seed, so every sample is one weighting of the same steps.
+    ``u`` descends from the most abnormal-like score; ``p`` and ``b`` are how often each was drawn.
     """
-    u = (F.xxhash64(F.col(row_id), F.col("draw"), F.lit(seed)).bitwiseAND(F.lit((1 << 53) - 1)) / float(1 << 53)).alias("u")
-    rows = controls.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(samples)))).select("*", u)
-    weight = sum((F.when(F.col("u") > float(c), 1).otherwise(0) for c in _POISSON), F.lit(0))
-    keyed = [*by, "draw"]
-    steps = cut(control_steps(rows.withColumn("w", weight).where("w > 0"), side, keyed, "w"))
-    measured = areas(steps, keyed).join(thresholds(roc(steps, keyed), rule, side=side, by=keyed), keyed)
-    long = measured.select(*by, F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in ("auc", "pr_auc", "abnormal", "normal")])))
-    return quantiles(long, [*by, "metric"], "value", {"low": 0.025, "median": 0.5, "high": 0.975}, count="samples")
+    there = (p + b) > 0
+    u, p, b = u[there], p[there].astype(float), b[there].astype(float)
+    tp, fp = np.cumsum(p), np.cumsum(b)
+    n_p, n_b = tp[-1], fp[-1]
+    tp0, fp0 = tp - p, fp - b
+    auc = float((b * (tp0 + p / 2)).sum() / n_p / n_b)
+    own = p > 0
+    h = b[own] / p[own]
+    slope, rest = 1 + h, (fp0[own] - h * tp0[own]) / n_p
+    with np.errstate(divide="ignore", invalid="ignore"):
+        bent = (p[own] / n_p - rest / slope * (np.log(slope * tp[own] / n_p + rest) - np.log(slope * tp0[own] / n_p + rest))) / slope
+    area = float(np.where(rest == 0, p[own] / n_p / slope, bent).sum())
+    # Points of the ROC curve: before the first score, between neighbours, after the last.
+    cut_at = np.concatenate([[np.inf], (u[:-1] + u[1:]) / 2, [-np.inf]])
+    hits, alarms = np.concatenate([[0.0], tp]), np.concatenate([[0.0], fp])
+    sens, spec = hits / n_p, (n_b - alarms) / n_b
+    if rule == "youden":
+        best = np.lexsort((alarms, -(sens + spec)))[0]
+        low = high = float(cut_at[best])
+    else:
+        few, most = np.flatnonzero(alarms <= np.floor(error * n_b + 1e-9)), np.flatnonzero(n_p - hits <= np.floor(error * n_p + 1e-9))
+        high = float(cut_at[few[np.lexsort((alarms[few], -hits[few]))[0]]])
+        low = float(cut_at[most[np.lexsort((-hits[most], alarms[most]))[0]]])
+        if high < low:
+            high = low = (high + low) / 2
+    found = []
+    for g in SPECIFICITIES:
+        same = np.flatnonzero(spec == g)
+        above, below = np.flatnonzero(spec > g), np.flatnonzero(spec < g)
+        if len(same):
+            found.append(float(sens[same[-1]]))
+        elif len(above) and len(below):
+            i, j = above[-1], below[0]
+            found.append(float(sens[i] + (g - spec[i]) / (spec[j] - spec[i]) * (sens[j] - sens[i])))
+        else:
+            found.append(float("nan"))
+    for g in RECALLS:
+        i = np.flatnonzero(own & (tp >= g * n_p - 1e-9))
+        if not len(i):
+            found.append(float("nan"))
+            continue
+        i = i[0]
+        x = max(0.0, min(p[i], g * n_p - tp0[i]))
+        found.append(float((tp0[i] + x) / (tp0[i] + x + fp0[i] + b[i] / p[i] * x)))
+    return [auc, area, high, low, float(high == low), *found]
+
+
+MEASURES = [("auc", None), ("pr_auc", None), ("abnormal", None), ("normal", None), ("without_zone", None), *[("sensitivity", g) for g in SPECIFICITIES], *[("precision", g) for g in RECALLS]]
+
+
+def bootstrap(controls: DataFrame, samples: int = 2000, seed: int = 20261009, side: str = "below", rule: str = "error", error: float = 0.05, by: Sequence[str] = KEYS) -> DataFrame:
+    """Percentile intervals of the areas, thresholds and curves over stratified resamples: ``metric, at, low, median, high, samples``.
+
+    ``at`` is the specificity of a sensitivity, the recall of a precision. Each side's controls are drawn again, as many as it has: after they are summed per distinct score, a resample is
+    two multinomial draws over the scores, so controls are never expanded. Resamples of a set are dealt over tasks, each with the set's scores once; a threshold
+    beyond every score is no value (``samples`` counts the others); ``without_zone`` has the share of resamples without a score between the thresholds as its ``median`` (a mean).
+    """
+    by = list(by)
+    back = -1.0 if side == "below" else 1.0
+    rows = controls.where("score IS NOT NULL AND NOT isnan(score) AND side IN ('P', 'B')")
+    steps = rows.groupBy(*by, (F.col("score").cast("double") * back).alias("u")).agg(F.count_if(F.col("side") == "P").alias("p"), F.count_if(F.col("side") == "B").alias("b"))
+    steps = cut(steps)
+    both = steps.groupBy(*by).agg(F.sum("p").alias("_p"), F.sum("b").alias("_b")).where("_p > 0 AND _b > 0").select(*by)
+    dealt = steps.join(both, by).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(-(-samples // DRAWS) - 1))))
+    kinds = ", ".join(f"{k} {steps.schema[k].dataType.simpleString()}" for k in by)
+
+    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("u", ascending=False)
+        u, p, b = (pdf[c].to_numpy() for c in ("u", "p", "b"))
+        block = int(pdf["block"].iloc[0])
+        names = [pdf[k].iloc[0] for k in by]
+        rng = np.random.default_rng([seed, block, *"|".join(map(str, names)).encode()])
+        out = []
+        for _ in range(min(DRAWS, samples - block * DRAWS)):
+            values = _curve_measures(u, rng.multinomial(p.sum(), p / p.sum()), rng.multinomial(b.sum(), b / b.sum()), rule, error)
+            values[2:4] = [back * v for v in values[2:4]]
+            out += [(*names, m, at, v if np.isfinite(v) else None) for (m, at), v in zip(MEASURES, values)]
+        return pd.DataFrame(out, columns=[*by, "metric", "at", "value"]).astype({"at": float, "value": float})
+
+    drawn = dealt.groupBy(*by, "block").applyInPandas(draw, f"{kinds}, metric string, at double, value double")
+    drawn = drawn.withColumn("at", F.when(~F.isnan("at"), F.col("at"))).withColumn("value", F.when(~F.isnan("value"), F.col("value")))
+    q = drawn.groupBy(*by, "metric", "at").agg(F.percentile("value", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975))).alias("_q"), F.avg("value").alias("_m"), F.count("value").alias("samples"))
+    share = F.col("metric") == "without_zone"
+    return q.select(*by, "metric", "at", F.when(~share, F.get("_q", 0)).alias("low"), F.when(share, F.col("_m")).otherwise(F.get("_q", 1)).alias("median"), F.when(~share, F.get("_q", 2)).alias("high"), "samples")
+
+
+def given_thresholds(sets: DataFrame, side: str = "below", by: Sequence[str] = KEYS) -> DataFrame:
+    """Thresholds given with each set (``abnormal, normal``) in the form of :func:`thresholds`, and the ``problem`` with them: missing, or on the wrong sides of each other."""
+    a, n = F.col("abnormal").cast("double"), F.col("normal").cast("double")
+    wrong = a > n if side == "below" else a < n
+    finite = lambda c: F.coalesce(~F.isnan(c) & (F.abs(c) < float("inf")), F.lit(False))
+    problem = F.when(~(finite(a) & finite(n)), "not two numbers").when(wrong, "abnormal beyond normal")
+    return sets.select(*by, a.alias("abnormal"), n.alias("normal"), F.lit(False).alias("crossed"), problem.alias("problem"))
 
 
 # The levels of score evidence, from the most benign.

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from assaylake.functions.order import quantiles
 from assaylake.operators import calibration as cal
 from assaylake.plans.facts import SHARED_SQL, Facts
 from assaylake.plans.registry import query
@@ -174,9 +175,37 @@ def k10(t: Facts):
     return cal.class_rates(cal.class_counts(controls(t), limits(t)))
 
 
-@query("k11_bootstrap", "set_id:s metric:s low:d median:d high:d samples:i")
+@query("k11_bootstrap", "set_id:s metric:s at:d low:d median:d high:d samples:i")
 def k11(t: Facts):
-    return cal.bootstrap(controls(t), samples=100)
+    return cal.bootstrap(controls(t))
+
+
+SHARED_SQL["given_sets"] = "SELECT set_id, quantile_cont(score, 0.3) AS abnormal, CASE WHEN set_id = 'es' THEN quantile_cont(score, 0.1) ELSE quantile_cont(score, 0.6) END AS normal FROM controls GROUP BY set_id"
+
+
+def given_sets(t: Facts):
+    q = quantiles(controls(t), ["set_id"], "score", {"abnormal": 0.3, "n1": 0.1, "n6": 0.6})
+    return q.select("set_id", "abnormal", F.when(F.col("set_id") == "es", F.col("n1")).otherwise(F.col("n6")).alias("normal"))
+
+
+@query(
+    "k8_given_thresholds",
+    "set_id:s abnormal:d normal:d problem:s",
+    "SELECT set_id, abnormal, normal, CASE WHEN abnormal > normal THEN 'abnormal beyond normal' END AS problem FROM given_sets",
+)
+def k8_given(t: Facts):
+    return cal.given_thresholds(given_sets(t))
+
+
+@query(
+    "k9_given_classes",
+    "set_id:s class:s p:i b:i n_p:i n_b:i",
+    """SELECT set_id, class, count(*) FILTER (side = 'P') AS p, count(*) FILTER (side = 'B') AS b, any_value(n_p) AS n_p, any_value(n_b) AS n_b FROM (
+       SELECT *, CASE WHEN score <= abnormal THEN 'abnormal-like' WHEN score > normal THEN 'WT-like' ELSE 'intermediate' END AS class, count(*) FILTER (side = 'P') OVER (PARTITION BY set_id) AS n_p, count(*) FILTER (side = 'B') OVER (PARTITION BY set_id) AS n_b
+       FROM controls JOIN given_sets USING (set_id) WHERE abnormal <= normal) GROUP BY ALL""",
+)
+def k9_given(t: Facts):
+    return cal.class_counts(controls(t), cal.given_thresholds(given_sets(t)).where("problem IS NULL").drop("problem"))
 
 
 @query(
