@@ -413,8 +413,8 @@ def unmapped_share(counts: DataFrame) -> DataFrame:
 def split_half(barcodes: DataFrame, minimum: float = AGREEMENT_INPUT, by: Sequence[str] = ("dataset_id", "replicate_id")) -> DataFrame:
     """Agreement of each variant's two halves of barcodes, alternating in order of identifier.
 
-    A variant may carry any number of barcodes: their places are counted in two levels, by the first
-    characters of the identifier and then within them, not in one window over the variant.
+    A variant may carry any number of barcodes: their places are counted in two levels, by ranges of
+    identifiers and then within them, not in one window over the variant.
     """
     keys = [*by, "variant"]
     placed = _alternating(barcodes, keys)
@@ -426,14 +426,22 @@ def split_half(barcodes: DataFrame, minimum: float = AGREEMENT_INPUT, by: Sequen
     return ok.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.corr(y(0), y(1)).alias("r")).where("n >= 10")
 
 
-def _alternating(barcodes: DataFrame, keys: Sequence[str], prefix: int = 2) -> DataFrame:
+#: Ranges of (variant, identifier) at least; more where the session shuffles to more partitions.
+RANGES = 128
+
+
+def _ranged(barcodes: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Adds ``__p``: the range of (keys, barcode) a row lies in. Ranges follow the data, so identifiers that begin alike, or one variant with most of them, are spread too."""
+    n = max(RANGES, int(barcodes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return cut(barcodes.repartitionByRange(n, *keys, "barcode").withColumn("__p", F.spark_partition_id()))
+
+
+def _alternating(barcodes: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Adds ``half``: the parity of a barcode's place in its variant, by identifier.
 
-    Two levels: a window inside identifiers sharing their first characters, and an offset per such
-    group from a small table of counts.
+    Two levels: a window inside a range of identifiers, and an offset per range from a small table of counts.
     """
-    part = F.substring("barcode", 1, prefix)
-    rows = barcodes.withColumn("__p", part)
+    rows = _ranged(barcodes, keys)
     inside = Window.partitionBy(*keys, "__p").orderBy("barcode")
     before = Window.partitionBy(*keys).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
     offsets = rows.groupBy(*keys, "__p").agg(F.count(F.lit(1)).alias("__n")).select(*keys, "__p", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))

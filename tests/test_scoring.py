@@ -166,3 +166,17 @@ def test_weights_by_substitutions(spark):
     df = spark.createDataFrame([("d", n, 5.0, 5.0) for n in names], "dataset_id string, variant string, c0 double, ct double")
     got = {r.variant: r.weight for r in dm.substitution_weights(df).collect()}
     assert got[names[0]] == pytest.approx(np.sqrt(30)) and got[names[-1]] == pytest.approx(np.sqrt(np.sqrt(34)))
+
+
+def test_halves_alternate_in_ranges_that_follow_the_data(spark):
+    from assaylake.operators import qc
+
+    rng = np.random.default_rng(6)
+    codes = sorted({"ACGTACGT" + "".join(rng.choice(list("ACGT"), 14)) for _ in range(20_000)})
+    rows = [("d", "r", "hot", c) for c in codes] + [("d", "r", f"v{i % 40}", c) for i, c in enumerate(codes[:400])]
+    df = spark.createDataFrame(rows, "dataset_id string, replicate_id string, variant string, barcode string")
+    keys = ["dataset_id", "replicate_id", "variant"]
+    sizes = [r["count"] for r in qc._ranged(df, keys).groupBy("__p").count().collect()]
+    assert max(sizes) < 0.02 * len(rows)
+    got = [r.half for r in qc._alternating(df, keys).where("variant = 'hot'").orderBy("barcode").collect()]
+    assert got == [i % 2 for i in range(len(codes))]
