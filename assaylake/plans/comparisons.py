@@ -226,7 +226,14 @@ def r5(t: Facts):
     return rb.by_choice(moved(t))
 
 
-@query("r5_choice_correlation", "dataset_id:s spec_id:i n:i r:d")
+_RANK = "rank() OVER (PARTITION BY dataset_id, spec_id ORDER BY {c}) + (count(*) OVER (PARTITION BY dataset_id, spec_id, {c}) - 1) / 2"
+
+
+@query(
+    "r5_choice_correlation",
+    "dataset_id:s spec_id:i n:i r:d",
+    f"""SELECT dataset_id, spec_id, count(*) AS n, CASE WHEN count(*) >= 3 THEN corr(a, b) END AS r FROM (SELECT dataset_id, spec_id, {_RANK.format(c="effect_0")} AS a, {_RANK.format(c="effect")} AS b FROM moved_rows WHERE spec_kind = 'single' AND call IS NOT NULL) GROUP BY ALL""",
+)
 def r5_rho(t: Facts):
     return rb.choice_correlation(moved(t))
 
