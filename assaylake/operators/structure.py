@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from assaylake.functions.kernels import normal_upper_tail
 from assaylake.functions.lineage import cut
@@ -57,27 +58,67 @@ def effects_p_values(effects: DataFrame, by: Sequence[str] = ("dataset_id",)) ->
     return benjamini_hochberg(p, by)
 
 
-def cluster_test(coords: DataFrame, distance: float, permutations: int = 200, fraction: float = 0.2, strata: int = 3, seed: int = 1, by: Sequence[str] = ("dataset_id",)) -> DataFrame:
-    """Pairs of least tolerant positions within a distance, against draws stratified by accessibility.
-
-    ``coords(dataset_id, position, x, y, z, rsa, value)``: a protein's positions. Draws rank positions
-    by a seeded hash within a stratum; neighbour pairs are found once.
+#: Draws of the cluster test, the share of positions called least tolerant, and the fewest and most strata.
+PERMUTATIONS, LEAST_TOLERANT, STRATA = 1000, 0.2, (4, 16)
+
+
+def cluster_strata(n: int) -> int:
+    """Strata of accessibility for ``n`` positions: about twelve positions each, from 4 to 16."""
+    return int(min(STRATA[1], max(STRATA[0], np.floor(n / 12 + 0.5))))
+
+
+def _clustered(positions: pd.DataFrame, pairs: pd.DataFrame, permutations: int, fraction: float, strata: int | None, seed: list[int]) -> tuple:
+    """Observed pairs of one protein; their mean, and how many draws reached them, within strata and over all positions."""
+    positions = positions.sort_values("position")
+    name, n = positions["position"].to_numpy(), len(positions)
+    k = max(2, int(np.floor(fraction * n + 0.5)))
+    chosen = np.lexsort((name, positions["value"].to_numpy()))[:k]
+    s = strata or cluster_strata(n)
+    stratum = np.empty(n, int)
+    stratum[np.lexsort((name, positions["rsa"].to_numpy()))] = np.minimum(s - 1, np.arange(n) * s // n)
+    a, b = (np.searchsorted(name, pairs[c].to_numpy()) for c in ("a", "b"))
+    wanted = np.bincount(stratum[chosen], minlength=s)
+    rng = np.random.default_rng(seed)
+
+    def counted(taken: np.ndarray) -> np.ndarray:
+        return (taken[:, a] & taken[:, b]).sum(axis=1)
+
+    mask = np.zeros((1, n), bool)
+    mask[0, chosen] = True
+    observed = int(counted(mask)[0])
+    within, anywhere = [], []
+    for start in range(0, permutations, 100):
+        luck = rng.random((min(100, permutations - start), n))
+        taken = np.zeros(luck.shape, bool)
+        for i in np.flatnonzero(wanted):
+            members = np.flatnonzero(stratum == i)
+            picked = members[np.argsort(luck[:, members], axis=1)[:, : wanted[i]]]
+            np.put_along_axis(taken, picked, True, axis=1)
+        within.append(counted(taken))
+        taken = np.zeros(luck.shape, bool)
+        np.put_along_axis(taken, np.argsort(rng.random(luck.shape), axis=1)[:, :k], True, axis=1)
+        anywhere.append(counted(taken))
+    within, anywhere = np.concatenate(within), np.concatenate(anywhere)
+    return n, k, s, observed, float(within.mean()), int((within >= observed).sum()), float(anywhere.mean()), int((anywhere >= observed).sum())
+
+
+def cluster_test(coords: DataFrame, distance: float, permutations: int = PERMUTATIONS, fraction: float = LEAST_TOLERANT, strata: int | None = None, seed: int = 1, by: Sequence[str] = ("dataset_id",)) -> DataFrame:
+    """Pairs of least tolerant positions within a distance, against draws stratified by accessibility and against draws from all positions.
+
+    ``coords(dataset_id, position, x, y, z, rsa, value)``: a protein's positions; fewer than ten give no row. Neighbour pairs are found by cells of space, and the draws of a protein, bounded by its length,
+    are made in one task. ``expected, exceeded, p`` are of the stratified draws, ``any_…`` of the others: what burial alone would explain lies between the two.
     """
     by = list(by)
-    rows = coords.where("value IS NOT NULL AND rsa IS NOT NULL AND x IS NOT NULL")
-    w = Window.partitionBy(*by)
-    placed = rows.select(
-        *by, "position", "x", "y", "z", F.count(F.lit(1)).over(w).alias("n"), (F.row_number().over(w.orderBy("rsa", "position")) - 1).alias("r"), F.row_number().over(w.orderBy("value", "position")).alias("v")
-    ).where("n >= 10")
-    placed = cut(placed.withColumn("stratum", F.least(F.lit(strata - 1), F.floor(F.col("r") * strata / F.col("n"))).cast("int")).withColumn("chosen", F.col("v") <= F.greatest(F.lit(2), F.round(fraction * F.col("n")))))
-    drawn = placed.where("chosen").groupBy(*by, "stratum").agg(F.count(F.lit(1)).alias("k"))
-    perm = placed.join(drawn, [*by, "stratum"]).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(permutations))))
-    luck = F.xxhash64("position", "draw", F.lit(seed))
-    picked = perm.withColumn("o", F.row_number().over(Window.partitionBy(*by, "draw", "stratum").orderBy(luck, "position"))).where("o <= k")
-    sets = picked.select(*by, "draw", "position").unionByName(placed.where("chosen").select(*by, F.lit(0).alias("draw"), "position"))
+    rows = coords.where("value IS NOT NULL AND rsa IS NOT NULL AND x IS NOT NULL").select(*by, "position", "x", "y", "z", "rsa", "value")
+    enough = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).where("_n >= 10").select(*by)
+    placed = cut(rows.join(enough, by))
     pairs = cut(neighbor_pairs(placed, distance, by).select(*by, "a", "b"))
-    hits = pairs.join(sets.withColumnRenamed("position", "a"), [*by, "a"]).join(sets.withColumnRenamed("position", "b"), [*by, "draw", "b"]).groupBy(*by, "draw").agg(F.count(F.lit(1)).alias("pairs"))
-    every = placed.select(*by).distinct().withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(permutations)))).join(hits, [*by, "draw"], "left").na.fill(0, ["pairs"])
-    observed = every.where("draw = 0").select(*by, F.col("pairs").alias("observed"))
-    out = every.where("draw > 0").join(observed, by).groupBy(*by, "observed").agg(F.avg("pairs").alias("expected"), F.count(F.when(F.col("pairs") >= F.col("observed"), 1)).alias("exceeded"))
-    return out.withColumn("p", (1 + F.col("exceeded")) / (permutations + 1.0))
+    kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in by)
+
+    def test(key, positions: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
+        got = _clustered(positions, near, permutations, fraction, strata, [seed, *"|".join(map(str, key)).encode()])
+        return pd.DataFrame([[*key, *got]], columns=[*by, "n", "k", "strata", "observed", "expected", "exceeded", "any_expected", "any_exceeded"])
+
+    out = placed.groupBy(*by).cogroup(pairs.groupBy(*by)).applyInPandas(test, f"{kinds}, n long, k long, strata long, observed long, expected double, exceeded long, any_expected double, any_exceeded long")
+    share = lambda c: (1 + F.col(c)) / (permutations + 1.0)
+    return out.withColumn("p", share("exceeded")).withColumn("any_p", share("any_exceeded"))

@@ -275,7 +275,7 @@ def t2_p(t: Facts):
     return st.effects_p_values(st.effects_by_class(classed(t)))
 
 
-@query("t3_cluster_test", "dataset_id:s observed:i expected:d exceeded:i p:d")
+@query("t3_cluster_test", "dataset_id:s n:i k:i strata:i observed:i expected:d exceeded:i p:d any_expected:d any_exceeded:i any_p:d")
 def t3(t: Facts):
     return st.cluster_test(coords(t), 0.12)
 
