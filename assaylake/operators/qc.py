@@ -363,6 +363,7 @@ def _chi2_over_df(z: float, df: Column) -> Column:
 def time_fit(slopes: DataFrame, by: Sequence[str] = ("dataset_id", "replicate_id")) -> DataFrame:
     """Departure of time courses from a line: χ²/df over its median, and the share beyond 99.9%."""
     df = F.col("points") - 2
+    slopes = cut(slopes.select(*by, "state", "points", "n_times", "fit"))
     # Normal quantiles at one half and at 99.9%.
     judged = slopes.where("state = 'used' AND points >= 3 AND fit IS NOT NULL").withColumn("__r", F.col("fit") / _chi2_over_df(0.0, df)).withColumn(
         "__b", (F.col("fit") > _chi2_over_df(3.0902, df)).cast("double")

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from assaylake.functions.expressions import settle
 from assaylake.functions.order import median
 from assaylake.operators.ratio import BY_REPLICATE, PSEUDOCOUNT
 
@@ -80,27 +81,27 @@ def slope_scores(
     )
     usable = F.col("first_cnt").isNotNull() & (n >= need)
     sw = _sum(pts, lambda p: p["w"])
-    out = (
-        fits.withColumn("state", state)
-        .withColumn("points", n)
-        .withColumn("__mx", _sum(pts, lambda p: p["w"] * p["x"]) / sw)
-        .withColumn("__my", _sum(pts, lambda p: p["w"] * p["y"]) / sw)
-        .withColumn("__sxx", _sum(pts, lambda p: p["w"] * (p["x"] - F.col("__mx")) * (p["x"] - F.col("__mx"))))
-        .withColumn("__sxy", _sum(pts, lambda p: p["w"] * (p["x"] - F.col("__mx")) * (p["y"] - F.col("__my"))))
-        .withColumn("score", F.when(usable & (F.col("__sxx") > 0), F.col("__sxy") / F.col("__sxx")))
-        .withColumn("intercept", F.col("__my") - F.col("score") * F.col("__mx"))
+    # Each step is settled: as one expression, a filter on the fit would repeat the sums inside one another.
+    out = settle(
+        fits.withColumn("state", state).withColumn("points", n),
+        __mx=_sum(pts, lambda p: p["w"] * p["x"]) / sw,
+        __my=_sum(pts, lambda p: p["w"] * p["y"]) / sw,
     )
+    out = settle(
+        out,
+        __sxx=_sum(pts, lambda p: p["w"] * (p["x"] - F.col("__mx")) * (p["x"] - F.col("__mx"))),
+        __sxy=_sum(pts, lambda p: p["w"] * (p["x"] - F.col("__mx")) * (p["y"] - F.col("__my"))),
+    )
+    out = settle(out, score=F.when(usable & (F.col("__sxx") > 0), F.col("__sxy") / F.col("__sxx")))
+    out = settle(out, intercept=F.col("__my") - F.col("score") * F.col("__mx"))
     err = lambda p: p["y"] - F.col("intercept") - F.col("score") * p["x"]
     df = F.col("points") - 2
-    out = (
-        out.withColumn("__rss", _sum(pts, lambda p: p["w"] * err(p) * err(p)))
-        .withColumn("fit", F.when(df > 0, _sum(pts, lambda p: err(p) * err(p) / p["v"]) / df))
-        .withColumn(
-            "se_counting",
-            F.sqrt(_sum(pts, lambda p: p["w"] * p["w"] * (p["x"] - F.col("__mx")) * (p["x"] - F.col("__mx")) * p["v"])) / F.col("__sxx"),
-        )
-        .withColumn("se_residual", F.when(df > 0, F.sqrt(F.col("__rss") / df / F.col("__sxx"))))
-    )
+    out = settle(
+        out,
+        __rss=_sum(pts, lambda p: p["w"] * err(p) * err(p)),
+        fit=F.when(df > 0, _sum(pts, lambda p: err(p) * err(p) / p["v"]) / df),
+        se_counting=F.when(F.col("__sxx") > 0, F.sqrt(_sum(pts, lambda p: p["w"] * p["w"] * (p["x"] - F.col("__mx")) * (p["x"] - F.col("__mx")) * p["v"])) / F.col("__sxx")),
+    ).withColumn("se_residual", F.when((df > 0) & (F.col("__sxx") > 0), F.sqrt(F.col("__rss") / df / F.col("__sxx"))))
     floor = F.when(df > 0, F.greatest("se_residual", "se_counting"))
     first = F.get("pts", F.lit(0))
     return out.select(

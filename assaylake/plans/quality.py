@@ -249,8 +249,8 @@ _CHI = "pow(1 - 2 / (9 * (n - 2)) + {z} * sqrt(2 / (9 * (n - 2))), 3)"
 
 
 def time_slopes(t: Facts):
-    rows = time_rows(t)
-    return sl.slope_scores(rows, sl.time_normalizers(rows, "full"))
+    rows = cut(time_rows(t))
+    return sl.slope_scores(rows, cut(sl.time_normalizers(rows, "full")))
 
 
 @query(
