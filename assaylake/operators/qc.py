@@ -403,10 +403,10 @@ def barcode_histogram(seen: DataFrame, by: Sequence[str] = ("dataset_id", "repli
 
 
 def unmapped_share(counts: DataFrame) -> DataFrame:
-    """Share of reads in barcodes that name no variant."""
-    c = F.when(F.col("cnt") > 0, F.col("cnt"))
-    s = counts.groupBy("dataset_id").agg(
-        F.sum(c).alias("reads"), F.sum(F.when(F.col("variant").isNull(), c)).alias("unmapped_reads"), F.count_distinct(F.when(F.col("variant").isNull(), F.col("barcode"))).alias("unmapped")
+    """Share of reads in barcodes that name no variant, and how many of these were read at all."""
+    unnamed = F.col("variant").isNull()
+    s = counts.where("cnt > 0").groupBy("dataset_id").agg(
+        F.sum("cnt").alias("reads"), F.sum(F.when(unnamed, F.col("cnt"))).alias("unmapped_reads"), F.count_distinct(F.when(unnamed, F.col("barcode"))).alias("unmapped")
     )
     return s.select("dataset_id", "reads", "unmapped", (F.coalesce("unmapped_reads", F.lit(0.0)) / F.col("reads")).alias("unmapped_share"))
 

@@ -6,6 +6,12 @@ from assaylake.functions import order
 from assaylake.operators import qc, slope
 
 
+def test_unmapped_barcodes_without_reads_are_not_counted(spark):
+    rows = [("A", "b1", "v", 5.0), ("A", "b2", None, 3.0), ("A", "b3", None, 0.0), ("A", "b4", None, None), ("B", "b5", None, 0.0)]
+    got = qc.unmapped_share(spark.createDataFrame(rows, "dataset_id string, barcode string, variant string, cnt double")).collect()
+    assert [(r.dataset_id, r.reads, r.unmapped, r.unmapped_share) for r in got] == [("A", 8.0, 1, 0.375)]
+
+
 def test_a_filter_on_the_fit_does_not_repeat_its_sums(spark):
     rows = spark.createDataFrame([("A", "r1", "v", "missense", float(t), 10.0 + t * t) for t in range(5)] + [("A", "r1", "w", "missense", 0.0, 4.0)], "dataset_id string, replicate_id string, variant string, kind string, time double, cnt double")
     fits = slope.slope_scores(rows, slope.time_normalizers(rows, "full"))
