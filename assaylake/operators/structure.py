@@ -102,15 +102,15 @@ def _clustered(positions: pd.DataFrame, pairs: pd.DataFrame, permutations: int,
     return n, k, s, observed, float(within.mean()), int((within >= observed).sum()), float(anywhere.mean()), int((anywhere >= observed).sum())
 
 
-def cluster_test(coords: DataFrame, distance: float, permutations: int = PERMUTATIONS, fraction: float = LEAST_TOLERANT, strata: int | None = None, seed: int = 1, by: Sequence[str] = ("dataset_id",)) -> DataFrame:
+def cluster_test(coords: DataFrame, distance: float, permutations: int = PERMUTATIONS, fraction: float = LEAST_TOLERANT, strata: int | None = None, seed: int = 1, by: Sequence[str] = ("dataset_id",), least: int = 10) -> DataFrame:
     """Pairs of least tolerant positions within a distance, against draws stratified by accessibility and against draws from all positions.
 
-    ``coords(dataset_id, position, x, y, z, rsa, value)``: a protein's positions; fewer than ten give no row. Neighbour pairs are found by cells of space, and the draws of a protein, bounded by its length,
+    ``coords(dataset_id, position, x, y, z, rsa, value)``: a protein's positions; fewer than ``least`` give no row. Neighbour pairs are found by cells of space, and the draws of a protein, bounded by its length,
     are made in one task. ``expected, exceeded, p`` are of the stratified draws, ``any_…`` of the others: what burial alone would explain lies between the two.
     """
     by = list(by)
     rows = coords.where("value IS NOT NULL AND rsa IS NOT NULL AND x IS NOT NULL").select(*by, "position", "x", "y", "z", "rsa", "value")
-    enough = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).where("_n >= 10").select(*by)
+    enough = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least).select(*by)
     placed = cut(rows.join(enough, by))
     pairs = cut(neighbor_pairs(placed, distance, by).select(*by, "a", "b"))
     kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in by)

@@ -2,8 +2,12 @@
 
 import random
 
+import duckdb
+
 from assaylake.functions import order
 from assaylake.operators import qc, slope
+from assaylake.plans.catalog import QUERIES
+from tests.compare import difference
 
 
 def test_unmapped_barcodes_without_reads_are_not_counted(spark):
@@ -35,3 +39,16 @@ def test_groups_of_any_size_give_the_same_steps(spark, monkeypatch):
     assert steps() == small
     monkeypatch.setattr(order, "HELD", 0)
     assert steps() == small
+
+
+def test_observed_pairs_of_short_proteins(spark, tmp_path):
+    rng = random.Random(3)
+    rows = [(i, 0 if i < 4 else 1, [float(round(rng.random() / 8, 6)) for _ in range(5)]) for i in range(40)] + [(600, 2, [0.1, 0.2, 0.3, 0.4, 0.5])]
+    path = str(tmp_path / "embeddings.parquet")
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").coalesce(1).write.parquet(path)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{path}/*.parquet'")
+    query = QUERIES["t3_observed_pairs"]
+    got = query.run(spark, str(tmp_path))
+    assert difference(got, con, query.oracle()) is None
+    assert {r.dataset_id for r in got.collect()} == {"P0-0", "P1-0", "P2-1"}
