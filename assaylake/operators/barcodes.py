@@ -78,7 +78,7 @@ def barcode_disagreement(rows: DataFrame, group: Sequence[str] = GROUP) -> DataF
     φ is the median dev² over the median of χ²₁, at least 1; z is NULL for fewer than three.
     """
     by = list(group[:-1])
-    dev = _leave_one_out_z(rows, group)
+    dev = cut(_leave_one_out_z(cut(rows), group))
     squares = dev.where("dev IS NOT NULL").withColumn("__d2", F.col("dev") * F.col("dev"))
     phi = median(squares, by, "__d2", "__m", count="compared").select(
         *by, F.greatest(F.lit(1.0), F.col("__m") / MEDIAN_CHI2_1).alias("phi"), "compared"
@@ -124,7 +124,7 @@ def barcode_outliers(rows: DataFrame, limit: float = 4.0, group: Sequence[str] =
     """
     group = list(group)
     w = 1 / (F.col("se") * F.col("se"))
-    alive = cut(barcode_disagreement(rows, group).select(*group, "barcode", "score", "se", "k", "phi", "z"))
+    alive = cut(barcode_disagreement(rows.select(*group, "barcode", "score", "se"), group).select(*group, "barcode", "score", "se", "k", "phi", "z"))
     far = F.abs("z")
     gone = None
 

@@ -375,11 +375,12 @@ def q21_overall(t: Facts):
 
 @query("q21_barcode_time_bin_findings", "dataset_id:s finding:s status:s n_na:i n_pass:i n_review:i n_fail:i worst_value:d")
 def q21_more(t: Facts):
-    seen_bc = barcode_rows(t).where("c0 > 0 AND ct IS NOT NULL")
+    seen_bc = cut(barcode_rows(t).where("c0 > 0 AND ct IS NOT NULL"))
     outliers = bc.barcode_outliers(used_barcodes(t), 4.0)
-    by = outliers.groupBy("dataset_id", "replicate_id").agg(F.avg(F.col("outlier").cast("double")).alias("share"), F.max("phi").alias("phi"))
-    fit = qc.time_fit(time_slopes(t))
-    shares = qc.bin_metrics(bin_rows(t)).groupBy("dataset_id", "replicate_id").agg(F.min("share").alias("smallest"))
+    by = cut(outliers.groupBy("dataset_id", "replicate_id").agg(F.avg(F.col("outlier").cast("double")).alias("share"), F.max("phi").alias("phi")))
+    fit = cut(qc.time_fit(time_slopes(t)))
+    gates = cut(qc.bin_metrics(cut(bin_rows(t))))
+    shares = gates.groupBy("dataset_id", "replicate_id").agg(F.min("share").alias("smallest"))
     flow = t.rep_score.groupBy("dataset_id", "variant").agg(F.max((F.col("state") == "used").cast("int")).alias("ok"), F.max((F.col("state") != "not counted").cast("int")).alias("measured"))
     scored = flow.where("measured = 1").groupBy("dataset_id").agg(F.avg("ok").alias("fraction"))
     parts = [
@@ -392,7 +393,7 @@ def q21_more(t: Facts):
         fd.metric(fit, "time-points", "replicate_id", F.col("fewer") / F.col("fits")),
         fd.metric(fit, "time-fit", "replicate_id", F.col("departure")),
         fd.metric(shares, "bin-occupancy", "replicate_id", F.col("smallest")),
-        fd.metric(qc.bin_metrics(bin_rows(t)), "cells-per-bin", "replicate_id", F.col("cells_per_variant")),
+        fd.metric(gates, "cells-per-bin", "replicate_id", F.col("cells_per_variant")),
     ]
     out = parts[0]
     for p in parts[1:]:
