@@ -3,6 +3,7 @@
 import random
 
 import duckdb
+import pytest
 
 from assaylake.functions import order
 from assaylake.operators import qc, slope
@@ -52,3 +53,22 @@ def test_observed_pairs_of_short_proteins(spark, tmp_path):
     got = query.run(spark, str(tmp_path))
     assert difference(got, con, query.oracle()) is None
     assert {r.dataset_id for r in got.collect()} == {"P0-0", "P1-0", "P2-1"}
+
+
+def test_single_alternatives_run_no_combinations(monkeypatch):
+    from types import SimpleNamespace
+
+    from assaylake.plans import comparisons
+
+    class Ran(Exception):
+        pass
+
+    def ran(pairs, specs):
+        raise Ran([s["kind"] for s in specs])
+
+    monkeypatch.setattr(comparisons, "cut", lambda df: df)
+    monkeypatch.setattr(comparisons.rb, "run_specs", ran)
+    for name in ("r5_by_choice", "r5_choice_correlation"):
+        with pytest.raises(Ran) as e:
+            QUERIES[name].build(SimpleNamespace(pairs=None))
+        assert e.value.args[0] == ["declared"] + ["single"] * 10
