@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assaylake.functions.expressions import settle
+from assaylake.functions.lineage import cut, spread
 from assaylake.operators.qc import BASES, GENETIC_CODE, translated
 
 # Residues in map order, one letter and three; names that mean none or the wild type.
@@ -352,7 +353,12 @@ def consequence_indels(names: DataFrame, targets: DataFrame, by: Sequence[str] =
     then at the end, leaves the residues removed and those put in, and these say what the change is called. A replacement by as many bases is compared codon by codon.
     Names of other kinds get the class of their region (introns, untranslated ends), unreadable ones nulls.
     """
-    rows = names.select(*by, "variant").distinct().join(targets.select(*by, F.upper("sequence").alias("dna")), list(by))
+    # What a name does depends on its target alone: assays of one target share the work, once per name and different target.
+    given = targets.select(*by, F.upper("sequence").alias("_dna"))
+    different = cut(given.select(F.col("_dna").alias("dna")).distinct().withColumn("_target", F.monotonically_increasing_id()))
+    of = cut(given.join(different, F.col("_dna").eqNullSafe(F.col("dna"))).select(*by, "_target"))
+    asked = cut(names.select(*by, "variant").distinct().join(of, list(by)))
+    rows = spread(cut(asked.select("_target", "variant").distinct())).join(different, "_target")
     part = lambda i: F.regexp_extract("variant", INDEL, i)
     start = part(1).try_cast("int")
     rows = settle(rows, kind=F.nullif(part(3), F.lit("")), s=start, e=F.coalesce(part(2).try_cast("int"), start), bases=part(4))
@@ -439,7 +445,8 @@ def consequence_indels(names: DataFrame, targets: DataFrame, by: Sequence[str] =
         .when(F.col("variant").rlike(r"^c\.-\d+_\d+(del|delins)"), "start lost").when(F.col("variant").rlike(r"^c\.-\d"), "5' UTR").when(F.col("variant").rlike(r"^c\.\*\d"), "3' UTR")
     )
     out = settle(rows, told=F.when(F.col("kind").isNull(), F.struct(region.alias("class"), none.cast("string").alias("pro_key"), none.cast("int").alias("position"))).when(F.col("known"), coding))
-    return out.select(*by, "variant", "told.class", "told.pro_key", "told.position")
+    told_of = cut(out.select("_target", "variant", "told.class", "told.pro_key", "told.position"))
+    return asked.join(told_of, ["_target", "variant"], "left").select(*by, "variant", "class", "pro_key", "position")
 
 
 def combine_codons(counts: DataFrame, consequences: DataFrame, by: Sequence[str] = ("dataset_id",)) -> tuple[DataFrame, DataFrame]:

@@ -72,3 +72,20 @@ def test_single_alternatives_run_no_combinations(monkeypatch):
         with pytest.raises(Ran) as e:
             QUERIES[name].build(SimpleNamespace(pairs=None))
         assert e.value.args[0] == ["declared"] + ["single"] * 10
+
+
+def test_consequences_are_worked_out_once_per_target(spark, monkeypatch):
+    from assaylake.operators import names as nm
+
+    sizes = []
+    spread = nm.spread
+    monkeypatch.setattr(nm, "spread", lambda df: sizes.append(df.count()) or spread(df))
+    targets = spark.createDataFrame([("A", "ATGGCTGGTTAA"), ("B", "atggctggttaa"), ("C", "ATGTGGGGTTAA"), ("D", None)], "dataset_id string, sequence string")
+    asked = [(d, v) for d in "ABCD" for v in ("c.4_6del", "c.-3A>G", None)] * 2
+    got = nm.consequence_indels(spark.createDataFrame(asked, "dataset_id string, variant string"), targets).collect()
+    assert sizes == [9]
+    said = {(r.dataset_id, r.variant): (r["class"], r.pro_key, r.position) for r in got}
+    assert len(got) == len(said) == 12
+    assert said["A", "c.4_6del"] == said["B", "c.4_6del"] == ("deletion", "p.Ala2del", 2) and said["C", "c.4_6del"] == ("deletion", "p.Trp2del", 2)
+    assert {said[d, "c.-3A>G"] for d in "ABCD"} == {("5' UTR", None, None)}
+    assert {said["D", "c.4_6del"], *(said[d, None] for d in "ABCD")} == {(None, None, None)}
