@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from assaylake.functions.expressions import MAD_TO_SD, MEDIAN_CHI2_1
+from assaylake.functions.expressions import MAD_TO_SD, MEDIAN_CHI2_1, settle
 from assaylake.functions.lineage import cut
 from assaylake.functions.order import auc, equal_bins, median, pick_order_statistics, quantiles, value_steps, with_average_rank
 from assaylake.operators.agreement import robust_variance_line
@@ -117,13 +117,25 @@ def coverage_snv(codons: DataFrame, observed: DataFrame, by: Sequence[str] = ("d
 
 
 def stretches(positions: DataFrame, gap: int = 16, by: Sequence[str] = ("dataset_id",)) -> DataFrame:
-    """Runs of positions at most ``gap`` apart: ``start, end, n``. Groups are as long as a protein."""
-    order = Window.partitionBy(*by).orderBy("position")
-    marked = positions.select(*by, "position").distinct().withColumn(
-        "__new", (F.coalesce(F.col("position") - F.lag("position").over(order), F.lit(gap + 1)) > gap).cast("int")
+    """Runs of positions at most ``gap`` apart: ``start, end, n``.
+
+    Positions meet as bits of words of 64 before any shuffle; only the runs within a word, few where positions are dense, are put in order. Groups are as long as a protein.
+    """
+    kind = positions.schema["position"].dataType
+    bit = F.expr("shiftleft(1L, cast(pmod(__p, 64) as int))")
+    words = positions.select(*by, F.col("position").cast("long").alias("__p")).groupBy(*by, F.shiftright("__p", 6).alias("__w")).agg(F.bit_or(bit).alias("__bits"))
+    words = settle(words, __at=F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.getbit("__bits", i) == 1))
+    words = settle(words, __from=F.filter("__at", lambda x, i: F.coalesce(x - F.get("__at", i - 1) > gap, F.lit(True))))
+    inside = lambda s, i: F.filter("__at", lambda x: (x >= s) & F.coalesce(x < F.get("__from", i + 1), F.lit(True)))
+    whole = lambda x: F.shiftleft("__w", 6) + x
+    pieces = F.transform("__from", lambda s, i: F.struct(whole(s).alias("start"), whole(F.array_max(inside(s, i))).alias("end"), F.size(inside(s, i)).cast("long").alias("n")))
+    missing = F.expr("array(named_struct('start', cast(null as bigint), 'end', cast(null as bigint), 'n', 1L))")
+    order = Window.partitionBy(*by).orderBy("start")
+    marked = words.select(*by, F.inline(F.when(F.col("__w").isNull(), missing).otherwise(pieces))).withColumn(
+        "__new", F.coalesce(F.col("start") - F.lag("end").over(order) > gap, F.lit(True)).cast("int")
     )
     runs = marked.withColumn("run", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return runs.groupBy(*by, "run").agg(F.min("position").alias("start"), F.max("position").alias("end"), F.count(F.lit(1)).alias("n"))
+    return runs.groupBy(*by, "run").agg(F.min("start").cast(kind).alias("start"), F.max("end").cast(kind).alias("end"), F.sum("n").alias("n"))
 
 
 def raw_ratios(pairs: DataFrame, agreement_input: float = AGREEMENT_INPUT) -> DataFrame:

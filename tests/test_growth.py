@@ -117,3 +117,25 @@ def test_small_and_large_datasets_fit_the_same_error_model(spark, monkeypatch):
     for held in (60, 10):
         monkeypatch.setattr(dm, "HELD", held)
         assert fitted() == small
+
+
+def test_stretches_order_runs_of_words_not_positions(spark):
+    rng = random.Random(2)
+    places = {"A": [0, 1, 5, 63, 64, 81, 97, 98, 200], "B": [-70, -64, -1, 0, None], "C": sorted(rng.sample(range(-3000, 3000), 900))}
+    rows = spark.createDataFrame([(d, p) for d, ps in places.items() for p in ps * 2], "dataset_id string, position int")
+    for gap in (1, 16, 70):
+        want = []
+        for d, ps in places.items():
+            runs = [[p] for p in ps if p is None]
+            last = None
+            for p in sorted(p for p in ps if p is not None):
+                if last is None or p - last > gap:
+                    runs.append([])
+                runs[-1].append(p)
+                last = p
+            want += [(d, r[0], r[-1], len(r)) for r in runs]
+        got = qc.stretches(rows, gap)
+        assert dict(got.dtypes)["start"] == "int"
+        assert sorted(map(str, want)) == sorted(str((r.dataset_id, r.start, r.end, r.n)) for r in got.collect())
+    plan = qc.stretches(rows)._jdf.queryExecution().executedPlan().toString()
+    assert "bit_or" in plan and "lag(position" not in plan
