@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from assaylake.functions.expressions import MAD_TO_SD, MEDIAN_CHI2_1, settle
 from assaylake.functions.lineage import cut
-from assaylake.functions.order import auc, equal_bins, median, pick_order_statistics, quantiles, value_steps, with_average_rank
+from assaylake.functions.order import auc, equal_bins, median, pick_order_statistics, quantiles, small_groups, value_steps, with_average_rank
 from assaylake.operators.agreement import robust_variance_line
 
 # Counts below LOW are low, replicates are compared above AGREEMENT_INPUT reads.
@@ -177,18 +177,19 @@ def pair_metrics(raw: DataFrame, min_pairs: int = 20) -> DataFrame:
     """Agreement of replicate pairs: n, Pearson, Spearman, variance ratio, fitted multiplier and additive."""
     keys = list(PAIR)
     pairs = cut(replicate_pairs(raw).withColumn("d", F.col("ya") - F.col("yb")).withColumn("pv", F.col("va") + F.col("vb")))
-    ranked = with_average_rank(with_average_rank(pairs, keys, "ya", "ra"), keys, "yb", "rb")
+    small = small_groups(pairs, keys)
+    ranked = with_average_rank(with_average_rank(pairs, keys, "ya", "ra", small), keys, "yb", "rb", small)
     base = ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.corr("ya", "yb").alias("pearson"), F.corr("ra", "rb").alias("spearman"))
     base = base.withColumn("pearson", F.when(F.col("n") >= 3, F.col("pearson"))).withColumn("spearman", F.when(F.col("n") >= 3, F.col("spearman")))
     many = base.where(F.col("n") >= min_pairs).select(*keys)
     centred = cut(
         pairs.join(many, keys)
-        .join(median(pairs, keys, "d", "offset"), keys)
+        .join(median(pairs, keys, "d", "offset", small=small), keys)
         .withColumn("r2", (F.col("d") - F.col("offset")) * (F.col("d") - F.col("offset")))
         .withColumn("z2", F.col("r2") / F.col("pv"))
     )
-    ratio = median(centred, keys, "z2", "__m").select(*keys, (F.col("__m") / MEDIAN_CHI2_1).alias("ratio"))
-    line = robust_variance_line(centred, keys, "r2", "pv")
+    ratio = median(centred, keys, "z2", "__m", small=small).select(*keys, (F.col("__m") / MEDIAN_CHI2_1).alias("ratio"))
+    line = robust_variance_line(centred, keys, "r2", "pv", small)
     return base.join(ratio, keys, "left").join(line, keys, "left")
 
 
@@ -208,12 +209,13 @@ def leave_one_replicate_out(raw: DataFrame, n_replicates: DataFrame, min_common:
         .select("dataset_id", "variant", F.inline("reps"))
     )
     by = ["dataset_id", "r"]
-    centred = common.join(median(common, by, "y", "center", count="n"), by).where(F.col("n") >= min_common).withColumn("yc", F.col("y") - F.col("center"))
+    small = small_groups(common, by)
+    centred = common.join(median(common, by, "y", "center", count="n", small=small), by).where(F.col("n") >= min_common).withColumn("yc", F.col("y") - F.col("center"))
     w = 1 / F.col("v")
     sums = centred.groupBy("dataset_id", "variant").agg(F.sum(w).alias("sw"), F.sum(w * F.col("yc")).alias("swy"))
     z = (F.col("yc") - (F.col("swy") - w * F.col("yc")) / (F.col("sw") - w)) / F.sqrt(F.col("v") + 1 / (F.col("sw") - w))
     scored = cut(centred.join(sums, ["dataset_id", "variant"]).select(*by, z.alias("z"), (z * z).alias("z2")))
-    out = median(scored, by, "z2", "__m", count="n").join(median(scored, by, "z", "bias"), by)
+    out = median(scored, by, "z2", "__m", count="n", small=small).join(median(scored, by, "z", "bias", small=small), by)
     out = out.select("dataset_id", F.col("r").alias("replicate_id"), "n", (F.col("__m") / MEDIAN_CHI2_1).alias("dispersion"), "bias")
     # The others' median: replicates of a dataset are few, so its dispersions fit in one array.
     all_of = Window.partitionBy("dataset_id")

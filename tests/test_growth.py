@@ -139,3 +139,19 @@ def test_stretches_order_runs_of_words_not_positions(spark):
         assert sorted(map(str, want)) == sorted(str((r.dataset_id, r.start, r.end, r.n)) for r in got.collect())
     plan = qc.stretches(rows)._jdf.queryExecution().executedPlan().toString()
     assert "bit_or" in plan and "lag(position" not in plan
+
+
+def test_pairs_of_small_and_large_groups_agree(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(d, f"v{i}", f"r{r}", round(rng.gauss(0, 1), 1), rng.randrange(1, 9) / 16, True) for d, n in (("A", 130), ("B", 25), ("C", 2)) for i in range(n) for r in (1, 2, 3)]
+    raw = spark.createDataFrame(rows, "dataset_id string, variant string, replicate_id string, y double, v double, usable boolean")
+    design = spark.createDataFrame([(d, 3) for d in "ABC"], "dataset_id string, n_replicates int")
+    summed = []
+    steps = order.value_steps
+    monkeypatch.setattr(order, "value_steps", lambda *a, **k: summed.append(1) or steps(*a, **k))
+    rounded = lambda df: sorted(str([round(x, 9) if isinstance(x, float) else x for x in r]) for r in df.collect())
+    found = lambda: (rounded(qc.pair_metrics(raw)), rounded(qc.leave_one_replicate_out(raw, design)))
+    small = found()
+    assert not summed and len(small[0]) == 9
+    monkeypatch.setattr(order, "HELD", 30)
+    assert found() == small and summed
