@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from assaylake.functions.expressions import MAD_TO_SD, MEDIAN_CHI2_1, settle
 from assaylake.functions.lineage import cut
-from assaylake.functions.order import auc, equal_bins, median, pick_order_statistics, quantiles, small_groups, value_steps, with_average_rank
+from assaylake.functions.order import auc, equal_bins, median, medians, pick_order_statistics, quantiles, row_ranks, small_groups, value_steps, with_average_rank, with_median
 from assaylake.operators.agreement import robust_variance_line
 
 # Counts below LOW are low, replicates are compared above AGREEMENT_INPUT reads.
@@ -26,13 +26,13 @@ def variant_totals(counts: DataFrame, by: Sequence[str] = ("dataset_id",)) -> Da
     return counts.select(*by, "variant").distinct().groupBy(*by).agg(F.count(F.lit(1)).alias("n_variants"))
 
 
-def sample_metrics(counts: DataFrame, low: float = LOW, by: Sequence[str] = ("dataset_id", "sample_id")) -> DataFrame:
-    """Per sample: counted, missing, total, zeros, low counts, reads per variant and five quantiles."""
+def sample_metrics(counts: DataFrame, low: float = LOW, by: Sequence[str] = ("dataset_id", "sample_id"), small: bool = False) -> DataFrame:
+    """Per sample: counted, missing, total, zeros, low counts, reads per variant and five quantiles; ``small`` where all samples are (``small_groups``)."""
     c = F.col("cnt")
     sums = counts.groupBy(*by).agg(
         F.count(c).alias("counted"), F.coalesce(F.sum(c), F.lit(0.0)).alias("total"), F.count(F.when(c == 0, 1)).alias("zeros"), F.count(F.when(c < low, 1)).alias("low")
     )
-    spread = quantiles(counts, by, "cnt", {"q05": 0.05, "q25": 0.25, "q50": 0.5, "q75": 0.75, "q95": 0.95})
+    spread = quantiles(counts, by, "cnt", {"q05": 0.05, "q25": 0.25, "q50": 0.5, "q75": 0.75, "q95": 0.95}, small=small)
     n = F.col("counted")
     return (
         sums.join(variant_totals(counts, by[:-1]), list(by[:-1]))
@@ -178,16 +178,21 @@ def pair_metrics(raw: DataFrame, min_pairs: int = 20) -> DataFrame:
     keys = list(PAIR)
     pairs = cut(replicate_pairs(raw).withColumn("d", F.col("ya") - F.col("yb")).withColumn("pv", F.col("va") + F.col("vb")))
     small = small_groups(pairs, keys)
-    ranked = with_average_rank(with_average_rank(pairs, keys, "ya", "ra", small), keys, "yb", "rb", small)
+    if small:
+        # Ranks and medians of a pair of replicates by windows over one shuffle.
+        both = F.col("ya").isNotNull() & ~F.isnan("ya") & F.col("yb").isNotNull() & ~F.isnan("yb")
+        ranks = with_median(pairs, keys, "d", "offset").withColumn("ra", row_ranks(F.col("ya"), keys)).withColumn("rb", row_ranks(F.when(both, F.col("yb")), keys))
+        pairs = cut(ranks.select(*keys, "ya", "yb", "ra", "rb", "d", "pv", "offset"))
+        ranked, centre = pairs.where("ra IS NOT NULL AND rb IS NOT NULL"), None
+    else:
+        ranked = with_average_rank(with_average_rank(pairs, keys, "ya", "ra"), keys, "yb", "rb")
+        centre = median(pairs, keys, "d", "offset")
     base = ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.corr("ya", "yb").alias("pearson"), F.corr("ra", "rb").alias("spearman"))
-    base = base.withColumn("pearson", F.when(F.col("n") >= 3, F.col("pearson"))).withColumn("spearman", F.when(F.col("n") >= 3, F.col("spearman")))
-    many = base.where(F.col("n") >= min_pairs).select(*keys)
-    centred = cut(
-        pairs.join(many, keys)
-        .join(median(pairs, keys, "d", "offset", small=small), keys)
-        .withColumn("r2", (F.col("d") - F.col("offset")) * (F.col("d") - F.col("offset")))
-        .withColumn("z2", F.col("r2") / F.col("pv"))
-    )
+    base = cut(base.withColumn("pearson", F.when(F.col("n") >= 3, F.col("pearson"))).withColumn("spearman", F.when(F.col("n") >= 3, F.col("spearman"))))
+    many = pairs.join(base.where(F.col("n") >= min_pairs).select(*keys), keys, "left_semi")
+    r2 = (F.col("d") - F.col("offset")) * (F.col("d") - F.col("offset"))
+    centred = (many if centre is None else many.join(centre, keys)).select(*keys, "pv", r2.alias("r2"), (r2 / F.col("pv")).alias("z2"))
+    centred = centred if small else cut(centred)
     ratio = median(centred, keys, "z2", "__m", small=small).select(*keys, (F.col("__m") / MEDIAN_CHI2_1).alias("ratio"))
     line = robust_variance_line(centred, keys, "r2", "pv", small)
     return base.join(ratio, keys, "left").join(line, keys, "left")
@@ -210,12 +215,18 @@ def leave_one_replicate_out(raw: DataFrame, n_replicates: DataFrame, min_common:
     )
     by = ["dataset_id", "r"]
     small = small_groups(common, by)
-    centred = common.join(median(common, by, "y", "center", count="n", small=small), by).where(F.col("n") >= min_common).withColumn("yc", F.col("y") - F.col("center"))
+    centred = with_median(common, by, "y", "center", "n") if small else common.join(median(common, by, "y", "center", count="n"), by)
+    centred = centred.where(F.col("n") >= min_common).withColumn("yc", F.col("y") - F.col("center"))
     w = 1 / F.col("v")
-    sums = centred.groupBy("dataset_id", "variant").agg(F.sum(w).alias("sw"), F.sum(w * F.col("yc")).alias("swy"))
+    # A variant's replicates are few by design.
+    of_variant = Window.partitionBy("dataset_id", "variant")
+    summed = centred.select(*by, "v", "yc", F.sum(w).over(of_variant).alias("sw"), F.sum(w * F.col("yc")).over(of_variant).alias("swy"))
     z = (F.col("yc") - (F.col("swy") - w * F.col("yc")) / (F.col("sw") - w)) / F.sqrt(F.col("v") + 1 / (F.col("sw") - w))
-    scored = cut(centred.join(sums, ["dataset_id", "variant"]).select(*by, z.alias("z"), (z * z).alias("z2")))
-    out = median(scored, by, "z2", "__m", count="n", small=small).join(median(scored, by, "z", "bias", small=small), by)
+    scored = cut(summed.select(*by, z.alias("z"), (z * z).alias("z2")))
+    if small:
+        out = medians(scored, by, {"__m": "z2", "bias": "z"}, "n")
+    else:
+        out = median(scored, by, "z2", "__m", count="n").join(median(scored, by, "z", "bias"), by)
     out = out.select("dataset_id", F.col("r").alias("replicate_id"), "n", (F.col("__m") / MEDIAN_CHI2_1).alias("dispersion"), "bias")
     # The others' median: replicates of a dataset are few, so its dispersions fit in one array.
     all_of = Window.partitionBy("dataset_id")
@@ -243,7 +254,7 @@ def bin_metrics(rows: DataFrame, cells: DataFrame | None = None) -> DataFrame:
     )
 
 
-def dropout(trends: DataFrame, minimum: float = AGREEMENT_INPUT, by: Sequence[str] = ("dataset_id", "replicate_id")) -> DataFrame:
+def dropout(trends: DataFrame, minimum: float = AGREEMENT_INPUT, by: Sequence[str] = ("dataset_id", "replicate_id"), small: bool = False) -> DataFrame:
     """Of variants counted well before selection, those missing and zero after it, and their trends.
 
     ``trends(…, c0, prev, ct)``: the first, second-to-last (NULL column with two samples) and last
@@ -253,7 +264,7 @@ def dropout(trends: DataFrame, minimum: float = AGREEMENT_INPUT, by: Sequence[st
     trend = F.col("prev") / F.col("c0") if "prev" in trends.columns else F.col("c0")
     base = base.withColumn("trend", trend).withColumn("gone", F.col("ct").isNull())
     sums = base.groupBy(*by).agg(F.count(F.lit(1)).alias("counted"), F.count(F.when(F.col("gone"), 1)).alias("missing"), F.count(F.when(F.col("ct") == 0, 1)).alias("zeros"))
-    mid = median(base, [*by, "gone"], "trend", "m").groupBy(*by).agg(
+    mid = median(base, [*by, "gone"], "trend", "m", small=small).groupBy(*by).agg(
         F.max(F.when(F.col("gone"), F.col("m"))).alias("missing_trend"), F.max(F.when(~F.col("gone"), F.col("m"))).alias("counted_trend")
     )
     return sums.join(mid, list(by), "left")
@@ -347,11 +358,11 @@ def separation(scores: DataFrame, side: str = "below", by: Sequence[str] = ("dat
     )
 
 
-def resolution(scores: DataFrame, by: Sequence[str] = ("dataset_id",)) -> DataFrame:
+def resolution(scores: DataFrame, by: Sequence[str] = ("dataset_id",), small: bool = False) -> DataFrame:
     """Median SE, and its size against the gap between the control medians."""
     by = list(by)
-    se = median(scores.where("se IS NOT NULL"), by, "se", "median_se", count="n")
-    mids = median(scores.where("kind IN ('synonymous', 'nonsense') AND score IS NOT NULL"), [*by, "kind"], "score", "m").groupBy(*by).agg(
+    se = median(scores.where("se IS NOT NULL"), by, "se", "median_se", count="n", small=small)
+    mids = median(scores.where("kind IN ('synonymous', 'nonsense') AND score IS NOT NULL"), [*by, "kind"], "score", "m", small=small).groupBy(*by).agg(
         F.max(F.when(F.col("kind") == "synonymous", F.col("m"))).alias("__s"), F.max(F.when(F.col("kind") == "nonsense", F.col("m"))).alias("__n")
     )
     return se.join(mids, by, "left").select(*by, "n", "median_se", (F.col("median_se") / F.abs(F.col("__s") - F.col("__n"))).alias("resolution"))

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from assaylake.functions.lineage import cut
+from assaylake.functions.order import small_groups
 from assaylake.operators import barcodes as bc
 from assaylake.operators import findings as fd
 from assaylake.operators import qc
@@ -318,21 +319,23 @@ def q19(t: Facts):
 
 
 def count_findings(t: Facts):
-    t.pairs = cut(t.pairs)
-    raw = ratios(t)
-    pairs = qc.pair_metrics(raw).where("n >= 20").withColumn("pair", F.concat_ws("-", "rep_a", "rep_b"))
+    # Reads are summed once; counts and pairs are read from the sums.
+    samples = cut(t.samples)
+    t.pairs, t.counts = samples.drop("rows_input", "rows_output"), t.counts_of(samples)
+    small = small_groups(samples, ["dataset_id"])
+    pairs = cut(qc.pair_metrics(ratios(t)).where("n >= 20").withColumn("pair", F.concat_ws("-", "rep_a", "rep_b")))
     cover = qc.coverage(design_grid(t), seen(t)).groupBy("dataset_id").agg((F.sum("observed") / F.sum("designed")).alias("fraction"))
     t.cond_score = cut(t.cond_score)
     scored = qc.separation(t.cond_score)
     parts = [
-        fd.sample_findings(qc.sample_metrics(t.counts), F.col("sample_id").endswith("input")),
-        fd.dropout_finding(qc.dropout(t.pairs)),
+        fd.sample_findings(cut(qc.sample_metrics(t.counts, small=small)), F.col("sample_id").endswith("input")),
+        fd.dropout_finding(qc.dropout(t.pairs, small=small)),
         fd.metric(cover, "coverage", None, F.col("fraction")),
         fd.metric(pairs, "agreement", "pair", F.col("pearson")),
         fd.metric(pairs, "excess-variance", "pair", F.col("ratio")),
         fd.metric(loo(t), "outlier-replicate", "replicate_id", F.col("ratio")),
         fd.metric(scored, "separation", None, F.col("auc")),
-        fd.metric(qc.resolution(t.cond_score), "resolution", None, F.col("resolution")),
+        fd.metric(qc.resolution(t.cond_score, small=small), "resolution", None, F.col("resolution")),
     ]
     out = parts[0]
     for p in parts[1:]:

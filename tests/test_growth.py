@@ -155,3 +155,22 @@ def test_pairs_of_small_and_large_groups_agree(spark, monkeypatch):
     assert not summed and len(small[0]) == 9
     monkeypatch.setattr(order, "HELD", 30)
     assert found() == small and summed
+
+
+def test_findings_read_the_reads_once(spark):
+    found = QUERIES["q21_findings"].run(spark, "/root/testdata/sf0.001")
+    assert not [f for f in found.inputFiles() if f.endswith("lineitem.parquet")]
+
+
+def test_medians_of_small_groups_by_windows(spark):
+    rng = random.Random(9)
+    rows = [(k, rng.randrange(20) / 7 if rng.random() < 0.9 else None, rng.choice([1.0, 2.5, float("nan")])) for k, n in (("a", 41), ("b", 30), ("c", 1)) for _ in range(n)] + [("d", None, float("nan"))]
+    df = spark.createDataFrame(rows, "k string, x double, y double").cache()
+    got = {r.k: (r.n, r.x, r.y) for r in order.medians(df, ["k"], {"x": "x", "y": "y"}, "n").collect()}
+    for c, i in (("x", 1), ("y", 2)):
+        want = {r.k: r.m for r in order.median(df, ["k"], c, "m").collect()}
+        assert {k: v[i] for k, v in got.items() if v[i] is not None} == want
+    assert got["d"] == (0, None, None) and got["a"][0] == sum(1 for k, x, _ in rows if k == "a" and x is not None)
+    ranked = order.with_average_rank(df, ["k"], "x").select("k", "x", "rank").distinct()
+    mine = df.select("k", "x", order.row_ranks(order.F.col("x"), ["k"]).alias("rank")).where("x IS NOT NULL").distinct()
+    assert sorted(map(tuple, ranked.collect())) == sorted(map(tuple, mine.collect()))
