@@ -174,3 +174,14 @@ def test_medians_of_small_groups_by_windows(spark):
     ranked = order.with_average_rank(df, ["k"], "x").select("k", "x", "rank").distinct()
     mine = df.select("k", "x", order.row_ranks(order.F.col("x"), ["k"]).alias("rank")).where("x IS NOT NULL").distinct()
     assert sorted(map(tuple, ranked.collect())) == sorted(map(tuple, mine.collect()))
+
+
+def test_position_ranks_write_no_row_per_variant_and_analysis(spark, monkeypatch):
+    from assaylake.operators import robustness
+    from assaylake.plans import comparisons
+
+    written, cut = [], comparisons.cut
+    for module in (comparisons, robustness):
+        monkeypatch.setattr(module, "cut", lambda df: written.append(df.columns) or cut(df))
+    assert QUERIES["r6_position_ranks"].run(spark, "/root/testdata/sf0.001").count() > 0
+    assert written and not [c for c in written if "variant" in c and "spec_id" in c]
