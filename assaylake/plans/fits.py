@@ -36,17 +36,19 @@ def measurements(t: Facts):
 def condition_reps(t: Facts):
     from assaylake.plans.facts import Facts as _F
 
-    inputs = t.reads.where("role = 'input'").groupBy("dataset_id", "v", "replicate_id").agg(F.sum("cnt").alias("c0"))
-    outputs = t.reads.where("role = 'output'").groupBy("dataset_id", "v", "replicate_id", "condition").agg(F.sum("cnt").alias("ct"))
-    pairs = _F.named(outputs.join(inputs, ["dataset_id", "v", "replicate_id"])).drop("v", "ref")
-    r0 = t.reads.where("role = 'input'").groupBy("dataset_id", "replicate_id").agg((F.sum("cnt") + 0.5).alias("r0"))
+    # Reads are summed once: an input has no condition, a NULL one of its own.
+    sums = cut(t.reads.groupBy("dataset_id", "v", "replicate_id", "role", F.when(F.col("role") == "output", F.col("condition")).alias("condition")).agg(F.sum("cnt").alias("cnt")))
+    inputs = sums.where("role = 'input'").select("dataset_id", "v", "replicate_id", F.col("cnt").alias("c0"))
+    outputs = sums.where("role = 'output'").select("dataset_id", "v", "replicate_id", "condition", F.col("cnt").alias("ct"))
+    pairs = cut(_F.named(outputs.join(inputs, ["dataset_id", "v", "replicate_id"])).drop("v", "ref"))
+    r0 = inputs.groupBy("dataset_id", "replicate_id").agg((F.sum("c0") + 0.5).alias("r0"))
     rT = pairs.groupBy("dataset_id", "condition", "replicate_id").agg((F.sum("ct") + 0.5).alias("rt"))
     norms = rT.join(r0, ["dataset_id", "replicate_id"])
     return rt.log_ratio(rt.replicate_state(pairs), norms, "full", by=("dataset_id", "condition", "replicate_id"))
 
 
 def two_conditions(t: Facts):
-    return combine_fixed(condition_reps(t).where("state = 'used'"), ["dataset_id", "condition", "variant"])
+    return cut(combine_fixed(condition_reps(t).where("state = 'used'"), ["dataset_id", "condition", "variant"]))
 
 
 @query("a17_dimsum_fitness", "dataset_id:s replicate_id:s variant:s fitness:d", "SELECT * FROM fit_of")

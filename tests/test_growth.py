@@ -185,3 +185,14 @@ def test_position_ranks_write_no_row_per_variant_and_analysis(spark, monkeypatch
         monkeypatch.setattr(module, "cut", lambda df: written.append(df.columns) or cut(df))
     assert QUERIES["r6_position_ranks"].run(spark, "/root/testdata/sf0.001").count() > 0
     assert written and not [c for c in written if "variant" in c and "spec_id" in c]
+
+
+@pytest.mark.parametrize("name", ["a37_diff_p_values"])
+def test_reads_are_scanned_once(spark, monkeypatch, name):
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    scans, write = [], DataFrameWriter.parquet
+    scanned = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Relation [l_orderkey")
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, path, *a, **k: scans.append(scanned(self._df)) or write(self, path, *a, **k))
+    scans.append(scanned(QUERIES[name].run(spark, "/root/testdata/sf0.001")))
+    assert sum(scans) == 1
