@@ -157,6 +157,8 @@ def analyse(pairs: DataFrame, settings: Settings = Settings(), known: DataFrame
     where the reason is NULL or ``se``.
     """
     keys = ["dataset_id", "variant"]
+    # Read by the refusals, the normalizers and the scores: written once.
+    pairs = cut(pairs)
     found = [known] if known is not None else []
     if settings.normalization == "wt":
         found.append(wild_type_refusals(pairs))

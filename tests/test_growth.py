@@ -187,7 +187,7 @@ def test_position_ranks_write_no_row_per_variant_and_analysis(spark, monkeypatch
     assert written and not [c for c in written if "variant" in c and "spec_id" in c]
 
 
-@pytest.mark.parametrize("name", ["a37_diff_p_values"])
+@pytest.mark.parametrize("name", ["a37_diff_p_values", "analysis_default"])
 def test_reads_are_scanned_once(spark, monkeypatch, name):
     from pyspark.sql.readwriter import DataFrameWriter
 
