@@ -196,3 +196,12 @@ def test_reads_are_scanned_once(spark, monkeypatch, name):
     monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, path, *a, **k: scans.append(scanned(self._df)) or write(self, path, *a, **k))
     scans.append(scanned(QUERIES[name].run(spark, "/root/testdata/sf0.001")))
     assert sum(scans) == 1
+
+
+def test_refusals_of_counts_shuffle_no_names(spark):
+    from assaylake.operators import analysis
+    from assaylake.plans import analyses
+    from assaylake.plans.facts import Facts
+
+    plan = analysis.count_refusals(analyses.lab_counts(Facts(spark, "/root/testdata/sf0.001")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "concat_ws" not in plan and "p.=" not in plan
