@@ -125,11 +125,13 @@ def roc(steps: DataFrame, by: Sequence[str] = KEYS) -> DataFrame:
     by = list(by)
     below = steps.select(*by, "tp", "fp", F.col("u").alias("__prev"), (F.col("tp") - F.col("p")).alias("__tp"), (F.col("fp") - F.col("b")).alias("__fp"))
     prev = below.select(*by, F.col("__tp").alias("tp"), F.col("__fp").alias("fp"), "__prev")
-    points = steps.join(prev, [*by, "tp", "fp"], "left").select(*by, ((F.col("u") + F.col("__prev")) / 2).alias("threshold"), "tp", "fp", "n_p", "n_b", F.lit(False).alias("top"))
-    ends = steps.groupBy(*by).agg(F.max("n_p").alias("n_p"), F.max("n_b").alias("n_b")).select(
-        *by, F.lit(None).cast("double").alias("threshold"), F.lit(0).cast("long").alias("tp"), F.lit(0).cast("long").alias("fp"), "n_p", "n_b", F.lit(True).alias("top")
-    )
-    both = points.unionByName(ends)
+    points = steps.join(prev, [*by, "tp", "fp"], "left")
+    sizes = ["n_p", "n_b"]
+    point = F.struct(((F.col("u") + F.col("__prev")) / 2).alias("threshold"), "tp", "fp", *sizes, F.lit(False).alias("top"))
+    # The end before every score comes from the first step, not from a union: Spark 4.1 takes parts of a union that are dealt alike for one, and runs them as two.
+    end = F.struct(F.lit(None).cast("double").alias("threshold"), F.lit(0).cast("long").alias("tp"), F.lit(0).cast("long").alias("fp"), *sizes, F.lit(True).alias("top"))
+    first = (F.col("tp") == F.col("p")) & (F.col("fp") == F.col("b"))
+    both = points.select(*by, F.inline(F.when(first, F.array(point, end)).otherwise(F.array(point))))
     return both.withColumn("sensitivity", F.col("tp") / F.col("n_p")).withColumn("specificity", (F.col("n_b") - F.col("fp")) / F.col("n_b"))
 
 

@@ -58,3 +58,23 @@ def test_given_thresholds_are_checked(spark):
     sets = spark.createDataFrame([("a", 1.0, 2.0), ("b", 3.0, 2.0), ("c", None, 2.0), ("d", 2.0, float("nan"))], "set_id string, abnormal double, normal double")
     assert {r.set_id: r.problem for r in cal.given_thresholds(sets).collect()} == {"a": None, "b": "abnormal beyond normal", "c": "not two numbers", "d": "not two numbers"}
     assert {r.set_id: r.problem for r in cal.given_thresholds(sets, "above").collect()}["a"] == "abnormal beyond normal"
+
+
+@pytest.mark.parametrize("threshold", ["20k", "10m"])
+def test_classes_of_controls_are_counted_once(spark, tmp_path, threshold):
+    rows = [(f"s{i % 4}", "P" if (i * 7) % 5 < 2 else "B", float((i * 37) % 101)) for i in range(400)]
+    spark.createDataFrame(rows, "set_id string, side string, score double").write.parquet(str(tmp_path / "c"))
+    read = spark.read.parquet(str(tmp_path / "c"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        got = cal.class_counts(read, cal.thresholds(cal.roc(cal.control_steps(read)))).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert len(got) == len({(r.set_id, r["class"]) for r in got}) and sum(r.p + r.b for r in got) == len(rows)
+    assert {(r.n_p, r.n_b) for r in got} == {(40, 60)}
+
+
+def test_ends_of_the_curve(spark):
+    got = sorted((r.tp, r.fp, r.top, r.threshold) for r in cal.roc(cal.control_steps(controls(spark).where("score > 1.5 OR score < -1.5"))).collect())
+    assert got[0] == (0, 0, True, None) and [r[2] for r in got].count(True) == 1 and [r[3] for r in got].count(None) == 2
