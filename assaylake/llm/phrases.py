@@ -1,12 +1,12 @@
-"""Phrase collocation mining: broadcast double-array tries of Apriori-safe candidates.
+"""Phrase collocation mining: double-array tries of Apriori-safe candidates.
 
 Words are counted first. A pair can reach the least count only where both words do, a triple only where
 both of its pairs do; bitmaps of the words and pairs that do (a fixed most number of bits, strangers may
 pass, none is lost) thin out the positions of which pairs, then triples, are summed. What reaches the least count is a
-candidate. Candidates become double-array tries over the digits of their words' numbers; numpy takes the states
-of all positions of a block of text one digit further at a time, bincounts the accepting states, and
-Spark sums the shards. A trie holds at most ``MOST_PHRASES`` phrases; more candidates make more tries,
-each broadcast for a pass of its own.
+candidate. Candidates are dealt by hash to shards of about ``MOST_PHRASES``, each of which becomes a double-array trie over the
+digits of its words' numbers. The texts are read once for all tries: what occurs of the phrases that two bitmaps let
+through is summed in the task and sent to its shard, where numpy takes the states of many occurrences one digit further at a
+time and bincounts the accepting states. So work and shuffle grow with the texts, not with the texts times the tries.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from assaylake.functions.lineage import cut, spread
-from assaylake.llm.common import binary_of, longs, numbered, slices, small_batches, table
+from assaylake.llm.common import binary_of, longs, slices, small_batches, table
 from assaylake.llm.registry import query
 from assaylake.llm.terms import LOWER, U, hashes, mixed, runs
 
@@ -29,8 +29,9 @@ INSIDE_PERCENT = 50
 #: Bytes of text held at once, and sums held in a task before they are passed on.
 BLOCK_BYTES = 4 << 20
 MOST_SUMS = 1 << 20
-#: Phrases of one trie; bits of a bitmap for each entry, and at most.
-MOST_PHRASES = 1 << 18
+#: Phrases of one trie, about, and occurrences taken through it together; bits of a bitmap for each entry, and at most.
+MOST_PHRASES = 1 << 14
+MOST_ROWS = 1 << 16
 BITS_EACH, MOST_BITS = 16, 28
 NO_LANG = "und"
 
@@ -108,34 +109,52 @@ def _has(bits: np.ndarray, codes: np.ndarray) -> np.ndarray:
     return (bits[(at >> U(6)).astype(np.int64)] >> (at & U(63))) & U(1) > 0
 
 
+def _task_sums(batches: Iterator[pa.RecordBatch], picks: dict) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Number of words, codes, hashes of the words (a row for each place) and occurrences of the phrases of a task, each summed as far as ``MOST_SUMS`` allow.
+
+    ``picks``: for a number of words, the first positions of its phrases in a block of words.
+    """
+    held: dict[int, list[tuple]] = {n: [] for n in picks}
+
+    def merged(n):
+        code, rows, f = (np.concatenate(x, axis=-1) for x in zip(*held[n]))
+        code, first, back = np.unique(code, return_index=True, return_inverse=True)
+        return code, rows[:, first], np.bincount(back, f).astype(np.int64)
+
+    for w in _blocks(batches):
+        for n, pick in picks.items():
+            at = pick(w)
+            rows = np.stack([w.hash[at + i] for i in range(n)])
+            code, first, f = np.unique(_codes(*rows), return_index=True, return_counts=True)
+            held[n].append((code, rows[:, first], f))
+            if sum(len(c) for c, _, _ in held[n]) > MOST_SUMS:
+                held[n] = [merged(n)]
+                if len(held[n][0][0]) > MOST_SUMS // 2:
+                    yield n, *held[n].pop()
+    for n, some in held.items():
+        if some:
+            yield n, *merged(n)
+
+
 def _summed(docs: DataFrame, n: int, safe) -> DataFrame:
     """h1 … hn, f: occurrences of the runs of ``n`` linked words whose first positions ``safe`` gives for a block of words."""
     names = [f"h{i + 1}" for i in range(n)]
 
     def count(batches):
-        held: list[tuple] = []
-
-        def out():
-            code = np.concatenate([c for c, _, _ in held])
-            _, first, back = np.unique(code, return_index=True, return_inverse=True)
-            f = np.bincount(back, np.concatenate([f for _, _, f in held])).astype(np.int64)
-            rows = np.concatenate([r for _, r, _ in held], axis=1)[:, first]
-            held.clear()
+        for _, _, rows, f in _task_sums(batches, {n: safe}):
             yield pa.RecordBatch.from_arrays([*[longs(r.view(np.int64)) for r in rows], longs(f)], [*names, "f"])
 
-        for w in _blocks(batches):
-            at = safe(w)
-            rows = np.stack([w.hash[at + i] for i in range(n)])
-            code, first, f = np.unique(_codes(*rows), return_index=True, return_counts=True)
-            held.append((code, rows[:, first], f))
-            if sum(len(c) for c, _, _ in held) > MOST_SUMS:
-                yield from out()
-        if held:
-            yield from out()
-
     return _texts(docs).mapInArrow(count, ", ".join(f"{h} long" for h in names) + ", f long").groupBy(*names).agg(F.sum("f").alias("f"))
 
 
+def _pairs_in(w: _Words, bits: np.ndarray) -> np.ndarray:
+    """Of every word but the last, whether it and the next are linked and a pair of the bitmap."""
+    linked = np.zeros(max(len(w.hash) - 1, 0), bool)
+    first = np.flatnonzero(w.linked)
+    linked[first] = _has(bits, _codes(w.hash[first], w.hash[first + 1]))
+    return linked
+
+
 def candidates(docs: DataFrame, frequent: DataFrame, least: int = LEAST) -> DataFrame:
     """h1, h2, h3 (null in pairs): every run of two or three words that occurs at least ``least`` times.
 
@@ -152,10 +171,8 @@ def candidates(docs: DataFrame, frequent: DataFrame, least: int = LEAST) -> Data
     bits = sc.broadcast(bitmap(pairs, ["h1", "h2"], pairs.count()))
 
     def safe(w):
-        linked = np.zeros(len(w.hash), bool)
-        first = np.flatnonzero(w.linked)
-        linked[first] = _has(bits.value, _codes(w.hash[first], w.hash[first + 1]))
-        return np.flatnonzero(linked[1:] & linked[:-1]) if len(linked) else first
+        linked = _pairs_in(w, bits.value)
+        return np.flatnonzero(linked[1:] & linked[:-1])
 
     triples = _summed(docs, 3, safe).where(F.col("f") >= least).drop("f")
     return pairs.withColumn("h3", F.lit(None).cast("long")).unionByName(triples)
@@ -248,54 +265,117 @@ def _ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0, dtype=np.int32) + np.repeat((start - (ends - n)).astype(np.int32), n)
 
 
-def _counted_by(docs: DataFrame, phrases: pa.Table) -> DataFrame:
-    """The phrases of one trie with their occurrences ``a`` in all texts."""
-    spark = docs.sparkSession
-    h = [phrases[c].to_numpy(zero_copy_only=False) for c in ("h1", "h2")]
-    third = phrases["h3"].is_valid().to_numpy(zero_copy_only=False)
-    h = np.stack([*h, phrases["h3"].fill_null(0).to_numpy(zero_copy_only=False)], axis=1).view(U)
-    known = np.unique(np.concatenate([h[:, :2].ravel(), h[third, 2]]))
-    trie = Trie((np.searchsorted(known, h) % max(len(known), 1)).astype(np.int32), 2 + third, len(known))
-    told = spark.sparkContext.broadcast((known, trie.digits, trie.base, trie.check))
+#: A row of a shard by the last two bits of its key: a candidate, or what occurs of a phrase. Candidates come first.
+PAIR, TRIPLE, PAIR_SEEN, TRIPLE_SEEN = range(4)
+ROW = "key long, h1 long, h2 long, h3 long, f long"
 
-    def count(batches):
-        known, digits, base, check = told.value
-        trie = Trie.__new__(Trie)
-        trie.digits, trie.base, trie.check = digits, base, check
-        sums = np.zeros(len(base), np.int64)
-        for w in _blocks(batches):
-            place = np.minimum(np.searchsorted(known, w.hash), len(known) - 1)
-            word = np.where(known[place] == w.hash, place, -1)
-            at = np.arange(len(word))
-            state = trie.step(np.zeros(len(word), np.int64), word)
-            for _ in range(2):
-                on = np.flatnonzero((state >= 0) & (at < len(word) - 1))
-                on = on[w.linked[at[on]]]
-                at = at[on] + 1
-                state = trie.step(state[on], word[at])
-                sums += np.bincount(state[state >= 0], minlength=len(sums))
-        some = np.flatnonzero(sums)
-        yield pa.RecordBatch.from_arrays([longs(some), longs(sums[some])], ["state", "a"])
-
-    totals = _texts(docs).mapInArrow(count, "state long, a long").groupBy("state").agg(F.sum("a").alias("a"))
-    named = spark.createDataFrame(phrases.append_column("state", longs(trie.states)))
-    return named.join(totals, "state").drop("state")
+
+def _rows(code: np.ndarray, shards: int, kind, rows: np.ndarray, f: np.ndarray) -> pa.RecordBatch:
+    key = (code % U(shards)).astype(np.int64) * 4 + kind
+    h = [rows[i] if i < len(rows) else np.zeros(len(code), U) for i in range(3)]
+    return pa.RecordBatch.from_arrays([longs(key), *[longs(x.view(np.int64)) for x in h], longs(f)], ["key", "h1", "h2", "h3", "f"])
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Rows of one key, about ``MOST_ROWS`` at most: key, hashes, f."""
+
+    def pieces(held):
+        rows = pa.Table.from_batches(held)
+        key, *h, f = (rows[c].to_numpy() for c in ("key", "h1", "h2", "h3", "f"))
+        h = np.stack(h).view(U)
+        ends = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), len(key)]
+        for a, b in zip(ends, ends[1:]):
+            if a < b:
+                yield int(key[a]), h[:, a:b], f[a:b]
+
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= MOST_ROWS:
+            yield from pieces(held)
+            held, n = [], 0
+    if held:
+        yield from pieces(held)
+
+
+class _Shard:
+    """The candidates of a shard in a trie, and how often each occurs."""
+
+    def __init__(self, named: list[tuple[int, np.ndarray]]):
+        self.h = np.concatenate([h for _, h in named], axis=1)
+        self.third = np.repeat([kind == TRIPLE for kind, _ in named], [h.shape[1] for _, h in named])
+        self.known = np.unique(np.concatenate([self.h[:2].ravel(), self.h[2, self.third]]))
+        numbers = np.searchsorted(self.known, self.h.T) % len(self.known)
+        self.trie = Trie(numbers.astype(np.int32), 2 + self.third, len(self.known))
+        self.sums = np.zeros(len(self.trie.base), np.int64)
+
+    def add(self, h: np.ndarray, f: np.ndarray) -> None:
+        state = np.zeros(h.shape[1], np.int64)
+        for word in h:
+            place = np.minimum(np.searchsorted(self.known, word), len(self.known) - 1)
+            state = self.trie.step(state, np.where(self.known[place] == word, place, -1))
+        on = state >= 0
+        self.sums += np.bincount(state[on], f[on], minlength=len(self.sums)).astype(np.int64)
+
+    def counted(self) -> pa.RecordBatch:
+        h1, h2, h3 = (x.view(np.int64) for x in self.h)
+        return pa.RecordBatch.from_arrays([longs(h1), longs(h2), pa.array(h3, mask=~self.third), longs(self.sums[self.trie.states])], ["h1", "h2", "h3", "a"])
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The candidates of the shards of a partition, whose rows are in the order of their keys, with their occurrences."""
+    at, named, shard = None, [], None
+    for key, h, f in _pieces(batches):
+        if key >> 2 != at:
+            if shard:
+                yield shard.counted()
+            at, named, shard = key >> 2, [], None
+        kind = key & 3
+        if kind in (PAIR, TRIPLE):
+            named.append((kind, h))
+            continue
+        if named and not shard:
+            shard = _Shard(named)
+        if shard:  # otherwise only strangers of the bitmaps came to the shard
+            shard.add(h[: 2 if kind == PAIR_SEEN else 3], f)
+    if shard:
+        yield shard.counted()
 
 
 def phrase_counts(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """h1, h2, h3, a: candidates (with their ``lang``) and their exact number of occurrences, counted by tries of at most ``MOST_PHRASES``.
+    """h1, h2, h3, a: candidates and their exact number of occurrences, counted by tries of about ``MOST_PHRASES``, one pass over the texts for all.
 
-    Candidates are dealt to tries in the order of their language, and a trie only passes over the texts of its languages.
+    ``found`` is read several times and should be written. A shard's rows pass through one task, its candidates first; only they are held.
     """
-    parts = -(-found.count() // MOST_PHRASES)
-    texts = docs.select(F.coalesce("lang", F.lit(NO_LANG)).alias("lang"), "text")
-    dealt = cut(numbered(found, [F.col(c) for c in ("lang", "h1", "h2", "h3")], "_nth").withColumn("_trie", F.floor(F.col("_nth") / MOST_PHRASES))) if parts > 1 else found.withColumn("_trie", F.lit(0))
-    reach = {r._trie: r for r in dealt.groupBy("_trie").agg(F.min("lang").alias("low"), F.max("lang").alias("high")).collect()}
-    out = found.select("h1", "h2", "h3", F.lit(0).cast("long").alias("a")).limit(0)
-    for part in range(parts):
-        some = dealt.where(F.col("_trie") == part).select("h1", "h2", "h3").toArrow()
-        out = out.unionByName(cut(_counted_by(texts.where(F.col("lang").between(reach[part].low, reach[part].high)), some)))
-    return out
+    sc = docs.sparkSession.sparkContext
+    pairs, triples = found.where("h3 is null"), found.where("h3 is not null")
+    n_pairs, n_triples = pairs.count(), triples.count()
+    shards = 1 + (n_pairs + n_triples) * 5 // (MOST_PHRASES * 4)
+    two, three = sc.broadcast(bitmap(pairs, ["h1", "h2"], n_pairs)), sc.broadcast(bitmap(triples, ["h1", "h2", "h3"], n_triples))
+
+    def deal(batches):
+        for batch in batches:
+            third = batch["h3"].is_valid().to_numpy(zero_copy_only=False)
+            h = np.stack([batch[c].fill_null(0).to_numpy(zero_copy_only=False) for c in ("h1", "h2", "h3")]).view(U)
+            code = np.where(third, _codes(*h), _codes(*h[:2]))
+            yield _rows(code, shards, np.where(third, TRIPLE, PAIR), h, np.zeros(len(code), np.int64))
+
+    def second(w):
+        return np.flatnonzero(_pairs_in(w, two.value))
+
+    def third(w):
+        linked = _pairs_in(w, two.value)
+        at = np.flatnonzero(linked[1:] & linked[:-1])
+        return at[_has(three.value, _codes(w.hash[at], w.hash[at + 1], w.hash[at + 2]))]
+
+    def seen(batches):
+        for n, code, rows, f in _task_sums(batches, {2: second, 3: third}):
+            yield _rows(code, shards, PAIR_SEEN if n == 2 else TRIPLE_SEEN, rows, f)
+
+    rows = found.mapInArrow(deal, ROW).unionByName(_texts(docs).mapInArrow(seen, ROW))
+    dealt = rows.repartition(F.shiftright("key", 2)).sortWithinPartitions("key")
+    return dealt.mapInArrow(_counted, "h1 long, h2 long, h3 long, a long")
 
 
 def _score(a: Column, left: Column, right: Column) -> Column:
@@ -314,8 +394,7 @@ def collocations(docs: DataFrame, least: int = LEAST, inside_percent: int = INSI
     counted = cut(words(docs))
     totals = counted.groupBy("lang").agg(F.sum("f").alias("n"))
     frequent = cut(counted.where(F.col("f") >= least).select("lang", "hash", "word", "f"))
-    found = candidates(docs, frequent, least).join(frequent.select("lang", F.col("hash").alias("h1")), "h1")
-    phrases = cut(phrase_counts(docs, cut(found)).where(F.col("a") >= least))
+    phrases = cut(phrase_counts(docs, cut(candidates(docs, frequent, least))).where(F.col("a") >= least))
     word = lambda i: frequent.select(F.col("hash").alias(f"h{i}"), F.col("word").alias(f"w{i}"), F.col("f").alias(f"f{i}"))
     pairs = phrases.where("h3 is null").select("h1", "h2", "a")
     triples = phrases.where("h3 is not null")

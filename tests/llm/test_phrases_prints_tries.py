@@ -54,6 +54,19 @@ def test_phrases_equal_brute_force(spark, monkeypatch, least, most):
         assert [r.phrase for r in sorted((r for r in first if r.lang == lang), key=lambda r: r.rank)] == [x[1] for x in want]
 
 
+def test_texts_are_read_once_for_all_tries(spark, monkeypatch):
+    monkeypatch.setattr(phrases, "MOST_PHRASES", 3)
+    monkeypatch.setattr(phrases, "MOST_SUMS", 8)
+    monkeypatch.setattr(phrases, "MOST_ROWS", 8)
+    reads, texts = [], phrases._texts
+    monkeypatch.setattr(phrases, "_texts", lambda docs: reads.append(1) or texts(docs))
+    rows = phrase_rows()
+    got = phrases.collocations(spark.createDataFrame(rows, SCHEMA), least=2).collect()
+    # Words, pairs and triples are summed once each; the fourth reading serves every trie.
+    assert len(reads) == 4
+    assert sorted((r.lang, r.phrase, r.a, r.l, r.r, r.n, int(r.score)) for r in got) == brute_phrases(rows, 2)
+
+
 def test_phrases_of_an_empty_table(spark):
     assert phrases.collocations(spark.createDataFrame([], SCHEMA)).count() == 0
 
