@@ -205,3 +205,30 @@ def test_refusals_of_counts_shuffle_no_names(spark):
 
     plan = analysis.count_refusals(analyses.lab_counts(Facts(spark, "/root/testdata/sf0.001")))._jdf.queryExecution().optimizedPlan().toString()
     assert "concat_ws" not in plan and "p.=" not in plan
+
+
+def test_verdicts_of_small_and_large_datasets_agree(spark, monkeypatch):
+    from assaylake.operators import robustness
+    from assaylake.plans import comparisons
+
+    written, cut = [], comparisons.cut
+    for module in (comparisons, robustness):
+        monkeypatch.setattr(module, "cut", lambda df: written.append(df.columns) or cut(df))
+    rng = random.Random(6)
+    rows = []
+    for d, n in (("A", 60), ("B", 25), ("C", 3), ("D", 0)):
+        for v, kind in [("p.=", "wild type")] + [(f"p.v{i}", "synonymous" if i % 6 == 0 else "missense") for i in range(n)]:
+            for r in ("r1", "r2", "r3"):
+                c0, ct = float(rng.choice([0, 1, 3, 12, 40, 90])), float(rng.choice([0, 2, 15, 60]))
+                rows.append((d, r, v, kind, 1, None if rng.random() < 0.1 or (d, v, r) == ("B", "p.=", "r2") else c0, None if d == "D" or rng.random() < 0.1 else ct))
+    pairs = spark.createDataFrame(rows, "dataset_id string, replicate_id string, variant string, kind string, position int, c0 double, ct double").cache()
+
+    def judged():
+        found = robustness.spec_verdicts(pairs, comparisons.SPECS, comparisons.LIMIT, comparisons.calls)
+        return sorted(str([round(x, 9) if isinstance(x, float) else x for x in r]) for r in found.collect())
+
+    small = judged()
+    assert len(small) > 60 and not [c for c in written if "variant" in c and "spec_id" in c]
+    for held in (100, 0):
+        monkeypatch.setattr(robustness, "HELD", held)
+        assert judged() == small
