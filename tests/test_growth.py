@@ -232,3 +232,14 @@ def test_verdicts_of_small_and_large_datasets_agree(spark, monkeypatch):
     for held in (100, 0):
         monkeypatch.setattr(robustness, "HELD", held)
         assert judged() == small
+
+
+def test_verdicts_write_no_row_per_variant_and_analysis(spark, monkeypatch):
+    from assaylake.operators import robustness
+    from assaylake.plans import comparisons
+
+    written, cut = [], comparisons.cut
+    for module in (comparisons, robustness):
+        monkeypatch.setattr(module, "cut", lambda df: written.append(df.columns) or cut(df))
+    QUERIES["r4_verdicts"].run(spark, "/root/testdata/sf0.001")
+    assert written and not [c for c in written if "variant" in c and "spec_id" in c]
